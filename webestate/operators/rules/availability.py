@@ -2,191 +2,189 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webestate.functions.checks import final_url, observation_summary
 from webestate.functions.urls import host_of
 from webestate.operators.rules.base import (
-    ENTRY_GROUPS, Rule, RuleContext, draft, effective_attempts, emit, findings_from, int_param, register_rule,
+    ENTRY_GROUPS, Rule, RuleContext, draft, effective_attempts, emit, findings_from, int_param, quoted, register_rule,
 )
 
 REPEAT = "suggestion.repeatedly-unavailable.v1"
-ONE_RUN = ("Attempts are those of one run; they are not spread over days.",)
-
-
-def text(*parts) -> Column:
-    return F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
-
-
-def snapshot(group: str) -> Column:
-    """Bounded evidence: counts and the first row; all rows are in entry_evidence."""
-    return F.to_json(F.struct(
-        F.col(f"{group}_n").alias("rows"), F.col(f"{group}_attempt").alias("max_attempt"),
-        F.col(f"{group}_first").alias("first"), F.col(f"{group}_last").cast("string").alias("last_checked_at"),
-    ))
-
-
-def entry_draft(rule_id: str, category: str, group: str, suggestion: str, evidence: str, **fields) -> Column:
-    first = F.col(f"{group}_first")
+BY_HAND = "suggestion.manual-verification.v1"
+ONE_RUN = "array('Attempts are those of one run; they are not spread over days.')"
+
+
+def text(template: str, **values: str) -> str:
+    """SQL concatenation of a template whose {names} stand for SQL expressions."""
+    parts, rest = [], template
+    while rest:
+        head, brace, tail = rest.partition("{")
+        if head:
+            parts.append(quoted(head))
+        if not brace:
+            break
+        name, _, rest = tail.partition("}")
+        parts.append(values.get(name, name))
+    return "concat(" + ", ".join(parts) + ")"
+
+
+def entry_draft(rule_id: str, category: str, group: str, suggestion: str, evidence_type: str, **fields: str) -> str:
+    """Finding over a group of entry checks. Evidence is bounded: counts and the
+    first row; every row behind it is in entry_evidence."""
     return draft(
         rule_id, category, suggestion,
-        first_observed_at=first["checked_at"], last_observed_at=F.col(f"{group}_last"),
-        affected_urls=[F.col("canonical_url")], evidence_type=evidence,
-        evidence_source_url=F.col("canonical_url"), related_observation_id=first["observation_id"],
-        evidence_content=snapshot(group), **fields,
+        first_observed_at=f"{group}_first.checked_at", last_observed_at=f"{group}_last",
+        affected_urls="array(canonical_url)", evidence_type=quoted(evidence_type), evidence_source_url="canonical_url",
+        related_observation_id=f"{group}_first.observation_id",
+        evidence_content=f"to_json(struct({group}_n AS rows, {group}_attempt AS max_attempt, {group}_first AS first, "
+                         f"CAST({group}_last AS string) AS last_checked_at))",
+        **fields,
     )
 
 
-def unavailable(ctx: RuleContext, parameters: dict, prior: Column) -> Column:
+def unavailable(ctx: RuleContext, parameters: dict, prior: str) -> str:
     count = effective_attempts("failed")
-    return emit(count >= int_param(parameters, "spacedAttempts", 3), entry_draft(
+    return emit(f"{count} >= {int_param(parameters, 'spacedAttempts', 3)}", entry_draft(
         "availability.unavailable.v1", "availability", "failed", REPEAT, "http_response_snapshot",
-        title="Portal entry point unavailable",
-        summary=text("Unavailable during ", count, " checks on ", F.col("failed_dates"), "."),
-        severity="critical", confidence="high", check_status="fail", limitations=ONE_RUN,
-        evidence_description=text("The entry page at ", F.col("canonical_url"), " failed to load on ", F.col("failed_n"), " attempt(s)."),
+        title="'Portal entry point unavailable'",
+        summary=text("Unavailable during {count} checks on {failed_dates}.", count=count),
+        severity="'critical'", confidence="'high'", check_status="'fail'", limitations=ONE_RUN,
+        evidence_description=text("The entry page at {canonical_url} failed to load on {failed_n} attempt(s)."),
     ))
 
 
-def server_error(ctx: RuleContext, parameters: dict, prior: Column) -> Column:
+def server_error(ctx: RuleContext, parameters: dict, prior: str) -> str:
     count, least = effective_attempts("server"), int_param(parameters, "minRepeatedOccurrences", 2)
-    sustained = count > least
-    return emit(count >= least, entry_draft(
+    sustained = f"{count} > {least}"
+    return emit(f"{count} >= {least}", entry_draft(
         "availability.server-error.v1", "availability", "server", REPEAT, "http_response_snapshot",
-        title=F.when(sustained, "Sustained server errors on entry point").otherwise("Repeated server errors on entry point"),
-        summary=text("The entry page returned a server error (5xx) on ", count, " of ", F.col("entries"), " check(s) (", F.col("server_dates"), ")."),
-        severity=F.when(sustained, "critical").otherwise("significant"),
-        confidence="high", check_status="fail", limitations=ONE_RUN,
-        evidence_description=text("The entry page at ", F.col("canonical_url"), " returned a server error on ", F.col("server_n"), " attempt(s)."),
+        title=f"if({sustained}, 'Sustained server errors on entry point', 'Repeated server errors on entry point')",
+        summary=text("The entry page returned a server error (5xx) on {count} of {entries} check(s) ({server_dates}).", count=count),
+        severity=f"if({sustained}, 'critical', 'significant')",
+        confidence="'high'", check_status="'fail'", limitations=ONE_RUN,
+        evidence_description=text("The entry page at {canonical_url} returned a server error on {server_n} attempt(s)."),
     ))
 
 
-def not_found(ctx: RuleContext, parameters: dict, prior: Column) -> Column:
-    count, status = effective_attempts("missing"), F.col("missing_first")["http_status"]
-    return emit(count >= int_param(parameters, "minRepeatedOccurrences", 2), entry_draft(
+def not_found(ctx: RuleContext, parameters: dict, prior: str) -> str:
+    count = effective_attempts("missing")
+    return emit(f"{count} >= {int_param(parameters, 'minRepeatedOccurrences', 2)}", entry_draft(
         "availability.not-found.v1", "availability", "missing", REPEAT, "http_response_snapshot",
-        title="Entry URL not found",
-        summary=text("The official entry URL returned ", status, " on ", count, " of ", F.col("entries"), " check(s) (", F.col("missing_dates"), ")."),
-        severity="critical", confidence="high", check_status="fail", limitations=ONE_RUN,
-        evidence_description=text("The entry page at ", F.col("canonical_url"), " returned ", status, " on ", count, " attempt(s)."),
+        title="'Entry URL not found'",
+        summary=text("The official entry URL returned {missing_first.http_status} on {count} of {entries} check(s) ({missing_dates}).", count=count),
+        severity="'critical'", confidence="'high'", check_status="'fail'", limitations=ONE_RUN,
+        evidence_description=text("The entry page at {canonical_url} returned {missing_first.http_status} on {count} attempt(s).", count=count),
     ))
 
 
-def automation_blocked(ctx: RuleContext, parameters: dict, prior: Column) -> Column:
-    url = F.col("canonical_url")
-    return emit(F.col("blocked_n") > 0, entry_draft(
-        "availability.automation-blocked.v1", "availability", "blocked", "suggestion.manual-verification.v1", "http_response_snapshot",
-        title="Automated check was blocked",
-        summary=text("The automated crawler was blocked (bot-block or CAPTCHA) while checking ", url, "; this is not evidence the page is broken for a human visitor."),
-        severity="advisory", confidence="low", check_status="not_assessable", review_status="not_assessable",
-        limitations=("A blocked automated check says nothing about human visitors; check by hand.",),
-        evidence_description=text("The automated check of ", url, " was blocked."),
+def automation_blocked(ctx: RuleContext, parameters: dict, prior: str) -> str:
+    return emit("blocked_n > 0", entry_draft(
+        "availability.automation-blocked.v1", "availability", "blocked", BY_HAND, "http_response_snapshot",
+        title="'Automated check was blocked'",
+        summary=text("The automated crawler was blocked (bot-block or CAPTCHA) while checking {canonical_url}; this is not evidence the page is broken for a human visitor."),
+        severity="'advisory'", confidence="'low'", check_status="'not_assessable'", review_status="'not_assessable'",
+        limitations="array('A blocked automated check says nothing about human visitors; check by hand.')",
+        evidence_description=text("The automated check of {canonical_url} was blocked."),
     ))
 
 
-def access_restricted(ctx: RuleContext, parameters: dict, prior: Column) -> Column:
-    url, first = F.col("canonical_url"), F.col("restricted_first")
-    shown = F.coalesce(first["http_status"].cast("string"), first["error_code"])
-    return emit(F.col("restricted_n") > 0, entry_draft(
-        "availability.access-restricted.v1", "availability", "restricted", "suggestion.manual-verification.v1", "http_response_snapshot",
-        title="Entry page requires authentication or restricts access",
-        summary=text("The entry page returned ", shown, " while checking ", url, "; this may reflect a legitimate access restriction rather than a broken page."),
-        severity="advisory", confidence="low", check_status="not_assessable",
-        limitations=("Whether the restriction is intended needs a person to confirm.",),
-        evidence_description=text(url, " returned ", shown, ", an access-restriction response."),
+def access_restricted(ctx: RuleContext, parameters: dict, prior: str) -> str:
+    shown = "coalesce(CAST(restricted_first.http_status AS string), restricted_first.error_code)"
+    return emit("restricted_n > 0", entry_draft(
+        "availability.access-restricted.v1", "availability", "restricted", BY_HAND, "http_response_snapshot",
+        title="'Entry page requires authentication or restricts access'",
+        summary=text("The entry page returned {shown} while checking {canonical_url}; this may reflect a legitimate access restriction rather than a broken page.", shown=shown),
+        severity="'advisory'", confidence="'low'", check_status="'not_assessable'",
+        limitations="array('Whether the restriction is intended needs a person to confirm.')",
+        evidence_description=text("{canonical_url} returned {shown}, an access-restriction response.", shown=shown),
     ))
 
 
-def certificate_failure(ctx: RuleContext, parameters: dict, prior: Column) -> Column:
-    url, code = F.col("canonical_url"), F.col("tls_first")["error_code"]
-    return emit(F.col("tls_n") > 0, entry_draft(
+def certificate_failure(ctx: RuleContext, parameters: dict, prior: str) -> str:
+    return emit("tls_n > 0", entry_draft(
         "https.certificate-failure.v1", "https", "tls", "suggestion.certificate-failure.v1", "certificate_detail",
-        title=F.when(code == "TLS_CERT_EXPIRED", "Certificate expired").otherwise("Certificate hostname mismatch"),
-        summary=text("Accessing ", url, " produced a certificate error (", code, ") as observed by the client."),
-        severity="significant", confidence="high", check_status="fail",
-        limitations=("Seen in an ordinary page request, not in a certificate scan.",),
-        evidence_description=text(url, " produced a certificate error: ", code, "."),
+        title="if(tls_first.error_code = 'TLS_CERT_EXPIRED', 'Certificate expired', 'Certificate hostname mismatch')",
+        summary=text("Accessing {canonical_url} produced a certificate error ({tls_first.error_code}) as observed by the client."),
+        severity="'significant'", confidence="'high'", check_status="'fail'",
+        limitations="array('Seen in an ordinary page request, not in a certificate scan.')",
+        evidence_description=text("{canonical_url} produced a certificate error: {tls_first.error_code}."),
     ))
 
 
-def no_freshness_signal(ctx: RuleContext, parameters: dict, prior: Column) -> Column:
-    seen = F.col("clean_first")["checked_at"]
-    return emit(F.col("clean_n") > 0, draft(
-        "freshness.no-signal.v1", "freshness", "suggestion.potential-staleness.v1",
-        title="No freshness signal detected",
-        summary="No recent update signal was detected in the sampled pages.",
-        severity="advisory", confidence="low", check_status="not_applicable",
-        first_observed_at=seen, last_observed_at=seen, affected_urls=[F.col("canonical_url")],
-        limitations=("Page metadata only; dates in the text were not read.",),
-        evidence_type="text_excerpt", evidence_source_url=F.col("canonical_url"),
-        related_observation_id=F.col("clean_first")["observation_id"],
-        evidence_description=text("No freshness signal was extracted for ", F.col("canonical_url"), "."),
-        evidence_content=snapshot("clean"),
+def no_freshness_signal(ctx: RuleContext, parameters: dict, prior: str) -> str:
+    # Only the first clean check counts, so the span is one instant.
+    finding = entry_draft(
+        "freshness.no-signal.v1", "freshness", "clean", "suggestion.potential-staleness.v1", "text_excerpt",
+        title="'No freshness signal detected'",
+        summary="'No recent update signal was detected in the sampled pages.'",
+        severity="'advisory'", confidence="'low'", check_status="'not_applicable'",
+        limitations="array('Page metadata only; dates in the text were not read.')",
+        evidence_description=text("No freshness signal was extracted for {canonical_url}."),
+    ).replace("'last_observed_at', CAST(clean_last AS", "'last_observed_at', CAST(clean_first.checked_at AS")
+    return emit("clean_n > 0", finding)
+
+
+def coverage_summary(ctx: RuleContext, parameters: dict, prior: str) -> str:
+    full = f"(pages_observed >= {ctx.max_pages} OR budget_cut)"
+    note = f"""concat_ws(' ',
+        {text('{pages_observed} page(s) observed (configured maximum: ' + str(ctx.max_pages) + ').')},
+        if({full}, 'The per-portal page budget was reached; deeper coverage was not attempted.', NULL),
+        if(depth_reached, 'The configured maximum crawl depth ({ctx.max_depth}) was reached.', NULL),
+        if(robots_skips > 0, {text('{robots_skips} URL(s) were not fetched because robots.txt disallowed them.')}, NULL),
+        if(skipped > 0, {text('{skipped} URL(s) in total were not fetched this run (see evidence for reasons).')}, NULL))"""
+    return emit("covered", draft(
+        "crawl_coverage.summary.v1", "crawl_coverage", "suggestion.no-action.v1",
+        title="'Crawl coverage summary'", summary=note, severity="'advisory'", confidence="'high'",
+        check_status=f"if({full} OR depth_reached OR robots_skips > 0, 'warning', 'not_applicable')",
+        review_status="'automated_observation'",
+        first_observed_at=f"coalesce(first_checked, {ctx.now})", last_observed_at=f"coalesce(last_checked, {ctx.now})",
+        affected_urls="array(canonical_url)",
+        limitations="array('Bounded by page, depth and robots limits; an unobserved page is not a passing page.')",
+        evidence_type="'text_excerpt'", evidence_source_url="canonical_url", related_observation_id="NULL",
+        evidence_description=text("Coverage summary for {portal_id}: {note}", note=note),
+        evidence_content="to_json(struct(pages_observed, page_rows, skipped, robots_skips))",
     ))
 
 
-def coverage_summary(ctx: RuleContext, parameters: dict, prior: Column) -> Column:
-    observed, skipped, robots = F.col("pages_observed"), F.col("skipped"), F.col("robots_skips")
-    full = (observed >= ctx.max_pages) | F.col("budget_cut")
-    note = F.concat_ws(
-        " ",
-        text(observed, f" page(s) observed (configured maximum: {ctx.max_pages})."),
-        F.when(full, "The per-portal page budget was reached; deeper coverage was not attempted."),
-        F.when(F.col("depth_reached"), f"The configured maximum crawl depth ({ctx.max_depth}) was reached."),
-        F.when(robots > 0, text(robots, " URL(s) were not fetched because robots.txt disallowed them.")),
-        F.when(skipped > 0, text(skipped, " URL(s) in total were not fetched this run (see evidence for reasons).")),
+def per_row(rule_id: str, category: str, suggestion: str, evidence_type: str, **fields: str) -> str:
+    """Finding about one observation row."""
+    return draft(
+        rule_id, category, suggestion, "manual_assessment", subject="observation_id",
+        severity="'advisory'", confidence="'medium'", check_status="'warning'",
+        first_observed_at="checked_at", last_observed_at="checked_at",
+        evidence_type=quoted(evidence_type), evidence_source_url="requested_url", related_observation_id="observation_id", **fields,
     )
-    limited = full | F.col("depth_reached") | (robots > 0)
-    return emit(F.col("covered"), draft(
-        "crawl_coverage.summary.v1", "crawl_coverage", "suggestion.no-action.v1",
-        title="Crawl coverage summary", summary=note, severity="advisory", confidence="high",
-        check_status=F.when(limited, "warning").otherwise("not_applicable"), review_status="automated_observation",
-        first_observed_at=F.coalesce("first_checked", ctx.now), last_observed_at=F.coalesce("last_checked", ctx.now),
-        affected_urls=[F.col("canonical_url")],
-        limitations=("Bounded by page, depth and robots limits; an unobserved page is not a passing page.",),
-        evidence_type="text_excerpt", evidence_source_url=F.col("canonical_url"), related_observation_id=F.lit(None),
-        evidence_description=text("Coverage summary for ", F.col("portal_id"), ": ", note),
-        evidence_content=F.to_json(F.struct("pages_observed", "page_rows", "skipped", "robots_skips")),
-    ))
 
 
 def cross_domain(ctx: RuleContext, parameters: dict) -> DataFrame:
     rows = ctx.entry_rows.withColumn("target", final_url(F.col("final_url"), F.col("redirect_chain")))
     rows = rows.withColumn("target_host", host_of(F.col("target"))).filter(
-        F.col("target_host").isNotNull() & ~F.exists("hostnames", lambda h: F.lower(h) == F.col("target_host"))
+        "target_host IS NOT NULL AND NOT exists(hostnames, h -> lower(h) = target_host)"
     )
-    url, target = F.col("requested_url"), F.col("target")
-    return findings_from(rows, draft(
-        "redirect.cross-domain.v1", "availability", "suggestion.directory-mismatch.v1",
-        subject=F.col("observation_id"),
-        title="Redirect leaves the portal's registered hosts",
-        summary=text("The entry URL ", url, " finally resolved to ", target, ", outside the portal's registered hostnames."),
-        severity="advisory", confidence="medium", check_status="warning",
-        first_observed_at=F.col("checked_at"), last_observed_at=F.col("checked_at"), affected_urls=[url, target],
-        limitations=("A redirect to another domain can be a planned move; review by hand.",),
-        evidence_type="redirect_chain", evidence_source_url=url, related_observation_id=F.col("observation_id"),
-        evidence_description=text("Requesting ", url, " redirected to ", target, "."),
-        evidence_content=F.to_json("redirect_chain"),
+    return findings_from(rows, per_row(
+        "redirect.cross-domain.v1", "availability", "suggestion.directory-mismatch.v1", "redirect_chain",
+        title=quoted("Redirect leaves the portal's registered hosts"),
+        summary=text("The entry URL {requested_url} finally resolved to {target}, outside the portal's registered hostnames."),
+        affected_urls="array(requested_url, target)",
+        limitations="array('A redirect to another domain can be a planned move; review by hand.')",
+        evidence_description=text("Requesting {requested_url} redirected to {target}."),
+        evidence_content="to_json(redirect_chain)",
     ))
 
 
 def no_tls_upgrade(ctx: RuleContext, parameters: dict) -> DataFrame:
-    url, target = F.col("requested_url"), F.coalesce("final_url", "requested_url")
-    rows = ctx.entry_rows.filter(
-        F.col("error_code").isNull() & target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") & ~target.rlike("(?i)^https:")
+    rows = ctx.entry_rows.withColumn("target", F.coalesce("final_url", "requested_url")).filter(
+        F.col("error_code").isNull() & F.col("target").rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") & ~F.col("target").rlike("(?i)^https:")
     )
-    return findings_from(rows, draft(
-        "https.no-tls-upgrade.v1", "https", "suggestion.certificate-failure.v1", action="manual_assessment",
-        subject=F.col("observation_id"),
-        title="Entry page is not served over HTTPS",
-        summary=text("The final destination for ", url, " (", target, ") does not use HTTPS."),
-        severity="advisory", confidence="medium", check_status="warning",
-        first_observed_at=F.col("checked_at"), last_observed_at=F.col("checked_at"), affected_urls=[target],
-        limitations=("Only the scheme of the final destination was looked at.",),
-        evidence_type="http_response_snapshot", evidence_source_url=url, related_observation_id=F.col("observation_id"),
-        evidence_description=text(url, " was served at ", target, "."),
-        evidence_content=F.to_json(F.struct("requested_url", "final_url", "http_status")),
+    return findings_from(rows, per_row(
+        "https.no-tls-upgrade.v1", "https", "suggestion.certificate-failure.v1", "http_response_snapshot",
+        title="'Entry page is not served over HTTPS'",
+        summary=text("The final destination for {requested_url} ({target}) does not use HTTPS."),
+        affected_urls="array(target)", limitations="array('Only the scheme of the final destination was looked at.')",
+        evidence_description=text("{requested_url} was served at {target}."),
+        evidence_content="to_json(struct(requested_url, final_url, http_status))",
     ))
 
 
@@ -197,9 +195,9 @@ def entry_evidence(ctx: RuleContext) -> DataFrame:
         "availability.not-found.v1": "missing", "availability.automation-blocked.v1": "blocked",
         "availability.access-restricted.v1": "restricted", "https.certificate-failure.v1": "tls",
     }
-    hits = F.array_compact(F.array(*(F.when(ENTRY_GROUPS[g](), F.lit(r)) for r, g in rules.items())))
+    hits = ", ".join(f"if({ENTRY_GROUPS[g]}, '{r}', NULL)" for r, g in rules.items())
     return ctx.entry_rows.select(
-        "portal_id", "seq", "observation_id", F.explode(hits).alias("rule_id"),
+        "portal_id", "seq", "observation_id", F.expr(f"explode(array_compact(array({hits})))").alias("rule_id"),
         observation_summary().alias("observation_summary"),
     )
 

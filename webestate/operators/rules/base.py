@@ -1,6 +1,6 @@
 """Rule interface, registry and the single-pass evaluation plan.
 
-Two kinds of rule exist. A *portal rule* is an array-of-findings expression over
+Two kinds of rule exist. A *portal rule* is an array-of-findings SQL expression over
 one wide row per portal (the profile), so all of them share one plan. A *table
 rule* returns its own findings frame, for rules that work per row or per group
 of an observation table.
@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FINDING_FIELDS = (
@@ -22,6 +22,14 @@ FINDING_FIELDS = (
     "evidence_description", "evidence_source_url", "related_observation_id", "evidence_content",
 )
 
+FIELD_TYPES = {
+    "affected_urls": "array<string>", "limitations": "array<string>",
+    "first_observed_at": "timestamp_ntz", "last_observed_at": "timestamp_ntz",
+}
+NO_FINDINGS = "CAST(array() AS array<struct<" + ",".join(
+    f"{name}:{FIELD_TYPES.get(name, 'string')}" for name in FINDING_FIELDS
+) + ">>)"
+
 # Suggestion id -> suggested action.
 SUGGESTIONS = {
     "suggestion.repeatedly-unavailable.v1": "repair",
@@ -48,14 +56,13 @@ TOTAL_FAILURE = (
 )
 
 ENTRY_GROUPS = {
-    "failed": lambda: F.col("error_code").isin(*TOTAL_FAILURE),
-    "server": lambda: F.col("error_code") == "HTTP_SERVER_ERROR",
-    "missing": lambda: F.col("http_status").isin(404, 410),
-    "blocked": lambda: F.col("error_code") == "AUTOMATION_BLOCKED",
-    "restricted": lambda: (F.col("error_code") == "AUTH_REQUIRED")
-    | ((F.col("error_code") == "HTTP_CLIENT_ERROR") & (F.col("http_status") == 403)),
-    "tls": lambda: F.col("error_code").isin("TLS_CERT_EXPIRED", "TLS_HOST_MISMATCH"),
-    "clean": lambda: F.col("error_code").isNull(),
+    "failed": "error_code IN (" + ", ".join(f"'{c}'" for c in TOTAL_FAILURE) + ")",
+    "server": "error_code = 'HTTP_SERVER_ERROR'",
+    "missing": "http_status IN (404, 410)",
+    "blocked": "error_code = 'AUTOMATION_BLOCKED'",
+    "restricted": "(error_code = 'AUTH_REQUIRED' OR (error_code = 'HTTP_CLIENT_ERROR' AND http_status = 403))",
+    "tls": "error_code IN ('TLS_CERT_EXPIRED', 'TLS_HOST_MISMATCH')",
+    "clean": "error_code IS NULL",
 }
 
 
@@ -74,8 +81,8 @@ class RuleContext:
     max_depth: int = 2
 
     @property
-    def now(self) -> Column:
-        return F.lit(self.analyzed_at).cast("timestamp_ntz")
+    def now(self) -> str:
+        return f"TIMESTAMP_NTZ'{self.analyzed_at}'"
 
     @cached_property
     def entry_rows(self) -> DataFrame:
@@ -89,23 +96,20 @@ class RuleContext:
     @cached_property
     def entry(self) -> DataFrame:
         """One row per portal: counts, first row and dates of each kind of entry check."""
-        row = F.struct("checked_at", "http_status", "error_code", "error_message", "observation_id")
-        aggs = [
-            F.count("*").alias("entries"),
-            F.min_by("final_url", "seq").alias("first_final_url"),
-        ]
-        for name, test in ENTRY_GROUPS.items():
-            hit = test()
+        row = "struct(checked_at, http_status, error_code, error_message, observation_id)"
+        aggs = ["count(*) AS entries", "min_by(final_url, seq) AS first_final_url"]
+        for name, hit in ENTRY_GROUPS.items():
+            at = f"CASE WHEN {hit} THEN seq END"
             aggs += [
-                F.count_if(hit).alias(f"{name}_n"),
-                F.max(F.when(hit, F.col("attempt"))).alias(f"{name}_attempt"),
-                F.min_by(row, F.when(hit, F.col("seq"))).alias(f"{name}_first"),
-                F.max_by("checked_at", F.when(hit, F.col("seq"))).alias(f"{name}_last"),
+                f"count_if({hit}) AS {name}_n",
+                f"max(CASE WHEN {hit} THEN attempt END) AS {name}_attempt",
+                f"min_by({row}, {at}) AS {name}_first",
+                f"max_by(checked_at, {at}) AS {name}_last",
             ]
             if name in ("failed", "server", "missing"):
-                day = F.when(hit, F.date_format("checked_at", "yyyy-MM-dd"))
-                aggs.append(F.array_join(F.array_sort(F.collect_set(day)), ", ").alias(f"{name}_dates"))
-        return self.entry_rows.groupBy("portal_id").agg(*aggs)
+                day = f"CASE WHEN {hit} THEN date_format(checked_at, 'yyyy-MM-dd') END"
+                aggs.append(f"array_join(array_sort(collect_set({day})), ', ') AS {name}_dates")
+        return self.entry_rows.groupBy("portal_id").agg(*map(F.expr, aggs))
 
     @cached_property
     def coverage(self) -> DataFrame:
@@ -130,9 +134,9 @@ class RuleContext:
         )
 
 
-def effective_attempts(group: str) -> Column:
+def effective_attempts(group: str) -> str:
     """Larger of the number of rows and the highest attempt number in them."""
-    return F.greatest(F.col(f"{group}_n"), F.coalesce(F.col(f"{group}_attempt"), F.lit(0)).cast("bigint"), F.lit(0).cast("bigint"))
+    return f"greatest({group}_n, coalesce({group}_attempt, 0), 0L)"
 
 
 def coverage_facts(pages: DataFrame, skips: DataFrame) -> DataFrame:
@@ -163,13 +167,18 @@ def coverage_facts(pages: DataFrame, skips: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule: identity plus exactly one of ``portal_findings`` or ``evaluate``."""
+    """A rule: identity plus exactly one of ``portal_findings`` or ``evaluate``.
+
+    ``portal_findings(ctx, parameters, prior)`` returns a SQL expression over the
+    profile row whose value is an array of findings, or null; ``prior`` names the
+    column with the findings of the portal rules before it.
+    """
 
     rule_id: str
     category: str
     description: str
     version: int = 1
-    portal_findings: Callable[[RuleContext, dict, Column], Column] | None = None
+    portal_findings: Callable[[RuleContext, dict, str], str] | None = None
     evaluate: Callable[[RuleContext, dict], DataFrame] | None = None
     defaults: dict = field(default_factory=dict)
 
@@ -201,32 +210,34 @@ def int_param(parameters: dict, name: str, fallback: int) -> int:
     return value if isinstance(value, int) and not isinstance(value, bool) and value > 0 else fallback
 
 
-def draft(rule: Rule | str, category: str, suggestion: str, action: str | None = None, **fields) -> Column:
-    """One finding as a struct with the common fields in fixed order."""
-    rule_id = rule if isinstance(rule, str) else rule.rule_id
-    values = {
-        "rule_id": rule_id, "category": category, "suggestion_rule_id": suggestion,
-        "suggested_action": action or SUGGESTIONS.get(suggestion, "manual_assessment"),
-        "review_status": "pending_review", "subject": "", **fields,
-    }
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def typed(name: str, value) -> Column:
-        if name in ("affected_urls", "limitations"):
-            items = value if isinstance(value, Column) else F.array(*(v if isinstance(v, Column) else F.lit(v) for v in value))
-            return items.cast("array<string>").alias(name)
-        col = value if isinstance(value, Column) else F.lit(value)
-        return col.cast("timestamp_ntz" if name.endswith("_observed_at") else "string").alias(name)
 
-    return F.struct(*(typed(name, values[name]) for name in FINDING_FIELDS))
+def draft(rule_id: str, category: str, suggestion: str, action: str | None = None, **fields: str) -> str:
+    """SQL for one finding struct with the common fields in fixed order.
 
+    Field values are SQL expressions; ``suggestion`` is an expression when it is not a bare id.
+    """
+    bare = suggestion in SUGGESTIONS
+    values = {
+        "rule_id": quoted(rule_id), "category": quoted(category), "review_status": "'pending_review'", "subject": "''",
+        "suggestion_rule_id": quoted(suggestion) if bare else suggestion,
+        "suggested_action": quoted(action or SUGGESTIONS[suggestion]), **fields,
+    }
+    return "named_struct(" + ", ".join(
+        f"'{name}', CAST({values[name]} AS {FIELD_TYPES.get(name, 'string')})" for name in FINDING_FIELDS
+    ) + ")"
 
-def emit(condition: Column, finding: Column) -> Column:
+
+def emit(condition: str, finding: str) -> str:
     """A one-finding array when the condition holds, else null."""
-    return F.when(condition, F.array(finding))
+    return f"CASE WHEN {condition} THEN array({finding}) END"
 
 
-def findings_from(df: DataFrame, finding: Column) -> DataFrame:
-    return df.select("portal_id", finding.alias("f")).select("portal_id", "f.*")
+def findings_from(df: DataFrame, finding: str) -> DataFrame:
+    return df.selectExpr("portal_id", f"{finding} AS f").select("portal_id", "f.*")
 
 
 def run_rules(ctx: RuleContext, checks: list[dict] | None = None) -> DataFrame:
@@ -237,15 +248,15 @@ def run_rules(ctx: RuleContext, checks: list[dict] | None = None) -> DataFrame:
     for rule, parameters in selected:
         if rule.portal_findings is None:
             continue
-        wide = ctx.profile if wide is None else wide
-        empty = F.array().cast(_finding_array_type())
-        prior = F.concat(*[F.coalesce(F.col(a), empty) for a in arrays]) if arrays else empty
-        name = f"__f{len(arrays)}"
-        wide = wide.withColumn(name, rule.portal_findings(ctx, parameters, prior))
-        arrays.append(name)
+        wide = ctx.profile.withColumn("prior", F.expr(NO_FINDINGS)) if wide is None else wide
+        own = f"coalesce({rule.portal_findings(ctx, parameters, 'prior')}, {NO_FINDINGS})"
+        if rule.category == "availability":
+            wide = wide.withColumn("prior", F.expr(f"concat(prior, {own})"))
+        else:
+            arrays.append(own)
     if wide is not None:
-        every = F.flatten(F.array_compact(F.array(*arrays)))
-        frames.append(wide.select("portal_id", F.explode(every).alias("f")).select("portal_id", "f.*"))
+        every = "concat(" + ", ".join(["prior", *arrays]) + ")"
+        frames.append(wide.selectExpr("portal_id", f"explode({every}) AS f").select("portal_id", "f.*"))
     for rule, parameters in selected:
         if rule.evaluate is not None:
             frames.append(rule.evaluate(ctx, parameters))
@@ -257,15 +268,6 @@ def run_rules(ctx: RuleContext, checks: list[dict] | None = None) -> DataFrame:
     return out
 
 
-def _finding_array_type() -> str:
-    parts = []
-    for name in FINDING_FIELDS:
-        kind = "array<string>" if name in ("affected_urls", "limitations") else (
-            "timestamp_ntz" if name.endswith("_observed_at") else "string")
-        parts.append(f"{name}:{kind}")
-    return f"array<struct<{','.join(parts)}>>"
-
-
 def scoped_portals(portals: DataFrame, pages: DataFrame) -> DataFrame:
     """Portals with at least one page observation; all of them when there is none at all."""
     if pages.select("portal_id").isEmpty():

@@ -2,85 +2,85 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webestate.functions.text import name_tokens, names_disagree
-from webestate.functions.urls import host_of
 from webestate.operators.rules.availability import text
-from webestate.operators.rules.base import Rule, RuleContext, draft, emit, register_rule
+from webestate.operators.rules.base import Rule, RuleContext, draft, emit, quoted, register_rule
 
 MISMATCH = "suggestion.directory-mismatch.v1"
+DIRECTORIES = "filter(sources, s -> s.source_type = 'official_directory')"
 
 
-def directories() -> Column:
-    return F.filter("sources", lambda s: s["source_type"] == "official_directory")
-
-
-def unavailable_destination(ctx: RuleContext, parameters: dict, prior: Column) -> Column:
-    critical = F.transform(
-        F.filter(prior, lambda f: (f["category"] == "availability") & (f["severity"] == "critical")),
-        lambda f: f["rule_id"],
+def listing(rule_id: str, **fields: str) -> str:
+    """Finding about a portal's directory listing."""
+    return draft(
+        rule_id, "directory_mismatch", MISMATCH, severity="'advisory'",
+        evidence_type="'directory_listing'", related_observation_id="NULL", **fields,
     )
-    rules = F.array_join(critical, ", ")
-    found = F.transform(directories(), lambda s: draft(
-        "directory_mismatch.unavailable-destination.v1", "directory_mismatch", MISMATCH,
-        subject=s["source_id"], title="Directory entry points to an unavailable destination",
-        summary=text("The official directory linked to a destination that returned an availability failure (", rules, ")."),
-        severity="advisory", confidence="medium", check_status="fail",
-        first_observed_at=s["retrieved_at"], last_observed_at=ctx.now,
-        affected_urls=[s["source_url"], F.col("canonical_url")],
-        limitations=("Built on this run's availability findings; the listing was not fetched again.",),
-        evidence_type="directory_listing", evidence_source_url=s["source_url"], related_observation_id=F.lit(None),
-        evidence_description=text('The directory source "', s["source_name"], '" lists ', s["source_url"], ", found critically unavailable."),
-        evidence_content=F.to_json(F.struct(s["source_id"].alias("source_id"), critical.alias("rules"))),
-    ))
-    return F.when(F.size(critical) > 0, found)
-
-
-def disagreements(source: Column, name: Column, canonical: Column, final: Column) -> Column:
-    """Reasons, in order name, host, redirect; nulls where a test does not apply."""
-    listed, own, seen = host_of(source["source_url"]), host_of(canonical), host_of(final)
-    return F.array_compact(F.array(
-        F.when(
-            names_disagree(name_tokens(source["source_name"]), name_tokens(name)),
-            text('the directory\'s listed name "', source["source_name"], '" shares no significant word with the portal\'s recorded name "', name, '"'),
-        ),
-        F.when(listed != own, text("the directory's listed URL host (", listed, ") differs from the portal's canonical URL host (", own, ")")),
-        F.when(seen != listed, text("the directory's listed URL host (", listed, ") differs from where the portal's entry page was ultimately observed (", seen, ")")),
-    ))
 
 
-def listed_vs_observed(ctx: RuleContext, parameters: dict, prior: Column) -> Column:
-    name, url = F.col("name"), F.col("canonical_url")
-    judged = F.transform(directories(), lambda s: F.struct(
-        s.alias("s"), disagreements(s, name, url, F.col("first_final_url")).alias("reasons")))
-    return F.transform(F.filter(judged, lambda j: F.size(j["reasons"]) > 0), lambda j: draft(
-        "directory_mismatch.listed-vs-observed.v1", "directory_mismatch", MISMATCH,
-        subject=j["s"]["source_id"], title="Directory listing disagrees with observed destination",
-        summary=text("The official directory listing for this portal disagrees with what was observed: ", F.array_join(j["reasons"], "; "), "."),
-        severity="advisory", confidence="low", check_status="warning",
-        first_observed_at=j["s"]["retrieved_at"], last_observed_at=ctx.now, affected_urls=[j["s"]["source_url"], url],
-        limitations=("Names are compared by shared words only; confirm by hand.",),
-        evidence_type="directory_listing", evidence_source_url=j["s"]["source_url"], related_observation_id=F.lit(None),
-        evidence_description=text('Directory source "', j["s"]["source_name"], '" compared against portal "', name, '".'),
-        evidence_content=F.to_json(F.struct(j["s"].alias("source"), name.alias("name"), url.alias("url"))),
-    ))
-
-
-def official_not_listed(ctx: RuleContext, parameters: dict, prior: Column) -> Column:
-    name, url = F.col("name"), F.col("canonical_url")
-    wanted = (F.col("official_status") == "verified") & (F.size("sources") > 0) & (F.size(directories()) == 0)
-    return emit(wanted, draft(
-        "directory_mismatch.official-portal-not-listed.v1", "directory_mismatch", MISMATCH,
-        title="Verified portal absent from official directory",
-        summary=text(name, " is a verified official portal but is not backed by any official_directory-typed source in this inventory."),
-        severity="advisory", confidence="medium", check_status="warning",
-        first_observed_at=ctx.now, last_observed_at=ctx.now, affected_urls=[url],
-        limitations=("Only the sources attached to this portal were looked at.",),
-        evidence_type="directory_listing", evidence_source_url=url, related_observation_id=F.lit(None),
-        evidence_description=text(name, " (", url, ") is verified but has no official_directory source."),
-        evidence_content=F.to_json(F.struct(F.col("portal_id"), F.col("sources"))),
+def unavailable_destination(ctx: RuleContext, parameters: dict, prior: str) -> str:
+    critical = f"transform(filter({prior}, f -> f.category = 'availability' AND f.severity = 'critical'), f -> f.rule_id)"
+    finding = listing(
+        "directory_mismatch.unavailable-destination.v1", subject="s.source_id",
+        title="'Directory entry points to an unavailable destination'",
+        summary=text("The official directory linked to a destination that returned an availability failure ({rules}).", rules=f"array_join({critical}, ', ')"),
+        confidence="'medium'", check_status="'fail'", first_observed_at="s.retrieved_at", last_observed_at=ctx.now,
+        affected_urls="array(s.source_url, canonical_url)", evidence_source_url="s.source_url",
+        limitations=f"array({quoted('Built on the availability findings of this run; the listing was not fetched again.')})",
+        evidence_description=text('The directory source "{s.source_name}" lists {s.source_url}, found critically unavailable.'),
+        evidence_content=f"to_json(struct(s.source_id AS source_id, {critical} AS rules))",
+    )
+    return f"CASE WHEN size({critical}) > 0 THEN transform({DIRECTORIES}, s -> {finding}) END"
+
+
+def host(url: str) -> str:
+    return f"nullif(lower(regexp_extract({url}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#: ]+)', 1)), '')"
+
+
+def tokens(name: str) -> str:
+    return f"filter(split(lower({name}), '[^a-z0-9]+'), t -> length(t) >= 3)"
+
+
+def listed_vs_observed(ctx: RuleContext, parameters: dict, prior: str) -> str:
+    listed, own, seen = host("s.source_url"), host("canonical_url"), host("first_final_url")
+    a, b = tokens("s.source_name"), tokens("name")
+    # Reasons in order name, host, redirect.
+    name_reason = text(
+        'the directory\'s listed name "{s.source_name}" shares no significant word with the portal\'s recorded name "{name}"')
+    host_reason = text(
+        "the directory's listed URL host ({listed}) differs from the portal's canonical URL host ({own})", listed=listed, own=own)
+    seen_reason = text(
+        "the directory's listed URL host ({listed}) differs from where the portal's entry page was ultimately observed ({seen})", listed=listed, seen=seen)
+    reasons = f"""array_compact(array(
+        if(size({a}) > 0 AND size({b}) > 0 AND NOT arrays_overlap({a}, {b}), {name_reason}, NULL),
+        if({listed} <> {own}, {host_reason}, NULL), if({seen} <> {listed}, {seen_reason}, NULL)))"""
+    finding = listing(
+        "directory_mismatch.listed-vs-observed.v1", subject="j.s.source_id",
+        title="'Directory listing disagrees with observed destination'",
+        summary=text("The official directory listing for this portal disagrees with what was observed: {why}.", why="array_join(j.reasons, '; ')"),
+        confidence="'low'", check_status="'warning'", first_observed_at="j.s.retrieved_at", last_observed_at=ctx.now,
+        affected_urls="array(j.s.source_url, canonical_url)", evidence_source_url="j.s.source_url",
+        limitations="array('Names are compared by shared words only; confirm by hand.')",
+        evidence_description=text('Directory source "{j.s.source_name}" compared against portal "{name}".'),
+        evidence_content="to_json(struct(j.s AS source, name, canonical_url))",
+    )
+    judged = f"transform({DIRECTORIES}, s -> struct(s AS s, {reasons} AS reasons))"
+    return f"transform(filter({judged}, j -> size(j.reasons) > 0), j -> {finding})"
+
+
+def official_not_listed(ctx: RuleContext, parameters: dict, prior: str) -> str:
+    return emit(f"official_status = 'verified' AND size(sources) > 0 AND size({DIRECTORIES}) = 0", listing(
+        "directory_mismatch.official-portal-not-listed.v1",
+        title="'Verified portal absent from official directory'",
+        summary=text("{name} is a verified official portal but is not backed by any official_directory-typed source in this inventory."),
+        confidence="'medium'", check_status="'warning'", first_observed_at=ctx.now, last_observed_at=ctx.now,
+        affected_urls="array(canonical_url)", evidence_source_url="canonical_url",
+        limitations="array('Only the sources attached to this portal were looked at.')",
+        evidence_description=text("{name} ({canonical_url}) is verified but has no official_directory source."),
+        evidence_content="to_json(struct(portal_id, sources))",
     ))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webestate.functions.checks import VERIFYING_SOURCE_TYPES
@@ -37,29 +37,23 @@ def officially_sourced(portals: DataFrame, sources: DataFrame) -> DataFrame:
     return refs.join(official, "source_id", "left_semi").select("portal_id").distinct()
 
 
-def broken_link_severity(official: Column, source_pages: Column) -> Column:
-    return F.when(official, "critical").when(source_pages >= 3, "significant").otherwise("advisory")
-
-
 def broken_links(ctx: RuleContext, parameters: dict) -> DataFrame:
     flags = ctx.portals.select("portal_id").join(
         officially_sourced(ctx.portals, ctx.sources).withColumn("official", F.lit(True)), "portal_id", "left"
     ).fillna({"official": False})
     groups = broken_destinations(ctx.links).join(flags, "portal_id")
-    official, pages, dest = F.col("official"), F.col("source_pages"), F.col("destination").cast("string")
+    suggestion = "if(official, 'suggestion.official-link-dead.v1', 'suggestion.broken-navigation.v1')"
     return findings_from(groups, draft(
-        "broken_link.repeated-failure.v1", "broken_link",
-        F.when(official, "suggestion.official-link-dead.v1").otherwise("suggestion.broken-navigation.v1"),
-        action="repair", subject=dest, title="Broken link destination",
-        summary=text("The destination ", dest, " failed from ", pages, " source page(s) on this portal (", F.array_join("codes", ", "), ")."),
-        severity=broken_link_severity(official, pages),
-        confidence=F.when(F.col("retried"), "high").otherwise("medium"), check_status="fail",
-        first_observed_at=F.col("first_checked"), last_observed_at=F.col("last_checked"), affected_urls=[dest],
-        limitations=[F.when(official, "Raised because the portal has an official source, not because this page is one.")
-                     .otherwise("Based on the number of linking pages only.")],
-        evidence_type="link_check_result", evidence_source_url=dest, related_observation_id=F.lit(None),
-        evidence_description=text(dest, " failed link checks from ", pages, " source page(s)."),
-        evidence_content=F.to_json(F.struct("destination", "source_pages", "link_rows", "codes")),
+        "broken_link.repeated-failure.v1", "broken_link", suggestion, "repair",
+        subject="destination", title="'Broken link destination'",
+        summary=text("The destination {destination} failed from {source_pages} source page(s) on this portal ({codes}).", codes="array_join(codes, ', ')"),
+        severity="CASE WHEN official THEN 'critical' WHEN source_pages >= 3 THEN 'significant' ELSE 'advisory' END",
+        confidence="if(retried, 'high', 'medium')", check_status="'fail'",
+        first_observed_at="first_checked", last_observed_at="last_checked", affected_urls="array(CAST(destination AS string))",
+        limitations="array(if(official, 'Raised because the portal has an official source, not because this page is one.', 'Based on the number of linking pages only.'))",
+        evidence_type="'link_check_result'", evidence_source_url="destination", related_observation_id="NULL",
+        evidence_description=text("{destination} failed link checks from {source_pages} source page(s)."),
+        evidence_content="to_json(struct(destination, source_pages, link_rows, codes))",
     ))
 
 

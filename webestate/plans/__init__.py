@@ -1,4 +1,4 @@
 """Named queries over the given tables."""
 
-from webestate.plans import rule_queries  # noqa: F401
+from webestate.plans import rule_queries, rollup_queries  # noqa: F401, I001
 from webestate.plans.catalog import ORACLES, QUERIES  # noqa: F401
