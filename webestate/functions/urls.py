@@ -1,8 +1,4 @@
-"""URL expressions: parsing, canonical form, resolution, scope.
-
-The multi-step jobs are DataFrame -> DataFrame so that each step becomes one
-projection; Catalyst then keeps the regex results instead of repeating them.
-"""
+"""URL expressions: parsing, canonical form, resolution, scope."""
 
 from __future__ import annotations
 
@@ -56,204 +52,147 @@ class CrawlPolicy:
     disabled_domains: tuple[str, ...] = ()
     url_options: UrlOptions = field(default_factory=UrlOptions)
 
+# The multi-step expressions below are SQL text. ``bind`` names an intermediate
+# value through a one-element array: a lambda variable is evaluated once and the
+# optimizer never copies its definition into every place that uses it.
+
 
-def unicode_trim(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+def bind(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _percent_encode(text: Column, keep: str) -> Column:
+# Characters that stay as they are in a path and in a query.
+PATH_KEEP = r"\x21\x23-\x3B\x3D\x40-\x5F\x61-\x7A\x7C\x7E"
+QUERY_KEEP = r"\x21\x24-\x26\x28-\x3B\x3D\x3F-\x7E"
+
+
+def _percent_encoded(value: str, keep: str) -> str:
     """Percent-encode runs of characters outside ``keep`` (a regex class body)."""
-    runs = F.regexp_extract_all(text, F.lit(f"([{keep}]+|[^{keep}]+)"), F.lit(1))
-    encoded = F.array_join(
-        F.transform(
-            runs,
-            lambda run: F.when(run.rlike(f"^[{keep}]+$"), run).otherwise(
-                F.replace(F.url_encode(run), F.lit("+"), F.lit("%20"))
-            ),
-        ),
-        "",
+    return (
+        f"CASE WHEN {value} RLIKE r'^[{keep}]*$' THEN {value} ELSE array_join(transform("
+        f"regexp_extract_all({value}, r'([{keep}]+|[^{keep}]+)', 1), run -> CASE WHEN run RLIKE r'^[{keep}]+$' "
+        "THEN run ELSE replace(url_encode(run), '+', '%20') END), '') END"
     )
-    return F.when(text.rlike(f"^[{keep}]*$"), text).otherwise(encoded)
 
 
-# Characters that stay as they are in a path and in a query.
-_PATH_KEEP = r"\x21\x23-\x3B\x3D\x40-\x5F\x61-\x7A\x7C\x7E"
-_QUERY_KEEP = r"\x21\x24-\x26\x28-\x3B\x3D\x3F-\x7E"
-
-
-def _without_dot_segments(path: Column) -> Column:
-    dot, dotdot = r"(?i)^(\.|%2e)$", r"(?i)^(\.|%2e){2}$"
-    segments = F.split(path, "/", -1)
-    kept = F.aggregate(
-        F.slice(segments, 2, F.size(segments)),
-        F.array().cast("array<string>"),
-        lambda acc, seg: F.when(
-            seg.rlike(dotdot), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        ).when(seg.rlike(dot), acc).otherwise(F.array_append(acc, seg)),
+def _without_dot_segments(path: str) -> str:
+    kept = (
+        f"aggregate(slice(split({path}, '/', -1), 2, greatest(size(split({path}, '/', -1)) - 1, 0)), CAST(array() AS array<string>), (acc, seg) -> "
+        r"CASE WHEN seg RLIKE r'(?i)^(\.|%2e){2}$' THEN slice(acc, 1, greatest(size(acc) - 1, 0)) "
+        r"WHEN seg RLIKE r'(?i)^(\.|%2e)$' THEN acc ELSE array_append(acc, seg) END)"
     )
-    tail = F.when(path.rlike(r"(?i)/(\.|%2e){1,2}$"), F.array(F.lit(""))).otherwise(
-        F.array().cast("array<string>")
+    tail = rf"CASE WHEN {path} RLIKE r'(?i)/(\.|%2e){{1,2}}$' THEN array('') ELSE CAST(array() AS array<string>) END"
+    return (
+        rf"CASE WHEN {path} = '' THEN '/' WHEN {path} RLIKE r'(?i)(^|/)(\.|%2e){{1,2}}(/|$)' "
+        f"THEN concat('/', array_join(concat({kept}, {tail}), '/')) ELSE {path} END"
     )
-    rebuilt = F.concat(F.lit("/"), F.array_join(F.concat(kept, tail), "/"))
-    return F.when(path.rlike(r"(?i)(^|/)(\.|%2e){1,2}(/|$)"), rebuilt).otherwise(path)
 
 
-def with_url_parts(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Add struct ``out``: the parts of an absolute http(s) URL, ``valid`` false otherwise.
+def parts_sql(url: str) -> str:
+    """Struct of the parts of an absolute http(s) URL; ``valid`` is false otherwise.
 
     Internationalised hosts and numeric IPv4 spellings are taken as written.
     """
-    raw, t, auth, host, path = (f"__{out}_{s}" for s in ("raw", "t", "a", "h", "p"))
-    df = df.withColumn(
-        raw, F.regexp_replace(F.regexp_replace(F.col(column), r"^[\x00-\x20\s]+|[\x00-\x20\s]+$", ""), r"[\t\n\r]", "")
-    )
-    df = df.withColumn(t, F.struct(
-        F.col(raw).alias("u"),
-        F.lower(F.regexp_extract(raw, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)).alias("scheme"),
-    ))
-    web = F.col(f"{t}.scheme").isin("http", "https")
-    df = df.withColumn(auth, F.struct(
-        F.regexp_extract(F.col(raw), r"(?i)^https?:[/\\]*([^/\\?#]*)", 1).alias("authority"),
-        F.regexp_replace(
-            F.regexp_extract(F.col(raw), r"(?i)^https?:[/\\]*[^/\\?#]*([^?#]*)", 1), r"\\", "/"
-        ).alias("path"),
-        F.regexp_extract(F.col(raw), r"^[^?#]*\?([^#]*)", 1).alias("query"),
-        F.regexp_extract(F.col(raw), r"^[^#]*#(.*)$", 1).alias("fragment"),
-    ))
-    hostport = F.regexp_replace(F.col(f"{auth}.authority"), r"^.*@", "")
-    df = df.withColumn(host, F.struct(
-        F.lower(F.regexp_extract(hostport, r"^(\[[^\]]*\]|[^:]*)(?::[0-9]*)?$", 1)).alias("host"),
-        F.regexp_extract(hostport, r"^(?:\[[^\]]*\]|[^:]*):([0-9]+)$", 1).alias("port"),
-        F.regexp_extract(F.col(f"{auth}.authority"), r"^(.*)@", 1).alias("userinfo"),
-    ))
-    df = df.withColumn(path, _percent_encode(
-        F.when(F.col(f"{auth}.path") == "", F.lit("/")).otherwise(
-            _without_dot_segments(F.col(f"{auth}.path"))
-        ), _PATH_KEEP))
-    port = F.regexp_replace(F.col(f"{host}.port"), r"^0+(?=.)", "")
-    default_port = F.when(F.col(f"{t}.scheme") == "https", F.lit("443")).otherwise(F.lit("80"))
-    bad_host = (F.col(f"{host}.host") == "") | (
-        ~F.col(f"{host}.host").rlike(r"^\[[0-9a-f:.]+\]$")
-        & F.col(f"{host}.host").rlike(r"[\x00-\x20#/:<>?@\[\\\]^|%\x7F]")
+    bad_host = (
+        r"h.host = '' OR (NOT h.host RLIKE r'^\[[0-9a-f:.]+\]$' AND h.host RLIKE r'[\x00-\x20#/:<>?@\[\\\]^|%\x7F]')"
     )
-    bad_port = F.coalesce(port.cast("int") > 65535, F.length(port) > 5, F.lit(False))
-    df = df.withColumn(out, F.struct(
-        (web & ~bad_host & ~bad_port).alias("valid"),
-        F.col(f"{t}.scheme").alias("scheme"),
-        F.col(f"{host}.userinfo").alias("userinfo"),
-        F.col(f"{host}.host").alias("host"),
-        F.when(port == default_port, F.lit("")).otherwise(port).alias("port"),
-        F.col(path).alias("path"),
-        F.col(f"{auth}.query").alias("query"),
-        F.col(f"{auth}.fragment").alias("fragment"),
-    ))
-    return df.drop(raw, t, auth, host, path)
-
-
-def _origin(parts: str) -> Column:
-    return F.concat(
-        F.col(f"{parts}.scheme"), F.lit("://"),
-        F.when(F.col(f"{parts}.userinfo") != "", F.concat(F.col(f"{parts}.userinfo"), F.lit("@"))).otherwise(""),
-        F.col(f"{parts}.host"),
-        F.when(F.col(f"{parts}.port") != "", F.concat(F.lit(":"), F.col(f"{parts}.port"))).otherwise(""),
+    finish = f"""named_struct(
+        'valid', a.scheme IN ('http', 'https') AND NOT ({bad_host}) AND coalesce(try_cast(h.port AS bigint), 0) <= 65535,
+        'scheme', a.scheme, 'userinfo', h.userinfo, 'host', h.host,
+        'port', CASE WHEN h.port = CASE a.scheme WHEN 'https' THEN '443' ELSE '80' END THEN '' ELSE h.port END,
+        'path', {bind('dots', _without_dot_segments('a.path'), _percent_encoded('dots', PATH_KEEP))},
+        'query', a.query, 'fragment', a.fragment)"""
+    host = r"""named_struct(
+        'host', lower(regexp_extract(regexp_replace(a.authority, '^.*@', ''), r'^(\[[^\]]*\]|[^:]*)(?::[0-9]*)?$', 1)),
+        'port', regexp_replace(regexp_extract(a.authority, r'^(?:.*@)?(?:\[[^\]]*\]|[^:@]*):([0-9]+)$', 1), '^0+(?=.)', ''),
+        'userinfo', regexp_extract(a.authority, '^(.*)@', 1))"""
+    cut = r"""named_struct(
+        'scheme', lower(regexp_extract(u, r'^([A-Za-z][A-Za-z0-9+.\-]*):', 1)),
+        'authority', regexp_extract(u, r'(?i)^https?:[/\\]*([^/\\?#]*)', 1),
+        'path', replace(regexp_extract(u, r'(?i)^https?:[/\\]*[^/\\?#]*([^?#]*)', 1), r'\', '/'),
+        'query', regexp_extract(u, r'^[^?#]*\?([^#]*)', 1),
+        'fragment', regexp_extract(u, r'^[^#]*#(.*)$', 1))"""
+    return bind("u", _clean(url), bind("a", cut, bind("h", host, finish)))
+
+
+def _clean(url: str) -> str:
+    return rf"regexp_replace(regexp_replace(coalesce({url}, ''), r'(?U)^[\x00-\x20\s]+|[\x00-\x20\s]+$', ''), r'[\t\n\r]', '')"
+
+
+def _origin(parts: str) -> str:
+    return (
+        f"concat({parts}.scheme, '://', CASE WHEN {parts}.userinfo <> '' THEN concat({parts}.userinfo, '@') ELSE '' END, "
+        f"{parts}.host, CASE WHEN {parts}.port <> '' THEN concat(':', {parts}.port) ELSE '' END)"
     )
 
 
-def _canonical_query(query: Column, options: UrlOptions) -> Column:
+def _canonical_query(query: str, options: UrlOptions) -> str:
     """Form-decode, drop tracking keys, sort by (key, value), form-encode."""
-    def decode(text: Column) -> Column:
-        return F.url_decode(F.regexp_replace(text, r"%(?![0-9A-Fa-f]{2})", "%25"))
-
-    pairs = F.transform(
-        F.filter(F.split(query, "&"), lambda p: p != ""),
-        lambda p: F.struct(
-            decode(F.substring_index(p, "=", 1)).alias("k"),
-            decode(F.when(p.contains("="), F.regexp_replace(p, r"^[^=]*=", "")).otherwise("")).alias("v"),
-        ),
-    )
+    def decode(value: str) -> str:
+        return f"url_decode(regexp_replace({value}, '%(?![0-9A-Fa-f]{{2}})', '%25'))"
+
+    key = "substring_index(p, '=', 1)"
+    value = "CASE WHEN contains(p, '=') THEN regexp_replace(p, '^[^=]*=', '') ELSE '' END"
+    pairs = f"transform(filter(split({query}, '&'), p -> p <> ''), p -> named_struct('k', {decode(key)}, 'v', {decode(value)}))"
     if options.tracking_parameters:
-        pairs = F.filter(pairs, lambda p: ~p["k"].isin(*options.tracking_parameters))
+        keys = ", ".join("'" + k.replace("'", "\\'") + "'" for k in options.tracking_parameters)
+        pairs = f"filter({pairs}, p -> p.k NOT IN ({keys}))"
     if options.sort_parameters:
-        pairs = F.array_sort(pairs)
-    joined = F.array_join(
-        F.transform(pairs, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&"
+        pairs = f"array_sort({pairs})"
+    return f"CASE WHEN {query} = '' THEN '' ELSE array_join(transform({pairs}, p -> concat(url_encode(p.k), '=', url_encode(p.v))), '&') END"
+
+
+def normalized_sql(url: str, options: UrlOptions = UrlOptions(), original: str | None = None) -> str:
+    """Struct (ok, original, normalized, hostname, reason) of a raw URL."""
+    path = "x.path"
+    if options.strip_trailing_slash:
+        path = "CASE WHEN length(x.path) > 1 AND endswith(x.path, '/') THEN left(x.path, length(x.path) - 1) ELSE x.path END"
+    fragment = "''" if options.remove_fragments else "CASE WHEN x.fragment <> '' THEN concat('#', x.fragment) ELSE '' END"
+    whole = f"concat({_origin('x')}, {path}, CASE WHEN q <> '' THEN concat('?', q) ELSE '' END, {fragment})"
+    reason = (
+        f"CASE WHEN raw = '' THEN '{EMPTY_URL}' WHEN x.scheme = '' THEN '{MALFORMED_URL}' "
+        "WHEN x.scheme NOT IN ('http', 'https') THEN concat('unsupported scheme \"', x.scheme, ':\" (only http/https are admitted as portal URLs)') "
+        f"WHEN NOT x.valid THEN '{MALFORMED_URL}' END"
+    )
+    finish = (
+        f"named_struct('ok', why IS NULL, 'original', {original or url}, 'normalized', CASE WHEN why IS NULL THEN {whole} END, "
+        "'hostname', CASE WHEN why IS NULL THEN x.host END, 'reason', why)"
+    )
+    body = bind("x", parts_sql("raw"), bind("q", _canonical_query("x.query", options), bind("why", reason, finish)))
+    return bind("raw", rf"regexp_replace(coalesce({url}, ''), r'(?U)^\s+|\s+$', '')", body)
+
+
+def resolved_sql(href: str, base: str) -> str:
+    """``href`` resolved against the absolute URL ``base``; null if it cannot be."""
+    joined = rf"""CASE WHEN ref RLIKE r'^[A-Za-z][A-Za-z0-9+.\-]*:' THEN ref WHEN b.valid THEN CASE
+        WHEN ref = '' THEN concat(page, bq)
+        WHEN ref RLIKE r'^[/\\]{{2}}' THEN concat(b.scheme, ':', ref)
+        WHEN ref RLIKE r'^[/\\]' THEN concat({_origin('b')}, ref)
+        WHEN startswith(ref, '?') THEN concat(page, ref)
+        WHEN startswith(ref, '#') THEN concat(page, bq, ref)
+        ELSE concat({_origin('b')}, regexp_replace(b.path, '[^/]*$', ''), ref) END END"""
+    web = (
+        f"concat({_origin('y')}, y.path, CASE WHEN y.query <> '' THEN concat('?', {_percent_encoded('y.query', QUERY_KEEP)}) ELSE '' END, "
+        "CASE WHEN y.fragment <> '' THEN concat('#', y.fragment) ELSE '' END)"
     )
-    return F.when(query == "", F.lit("")).otherwise(joined)
+    other = "CASE WHEN y.scheme <> '' AND y.scheme NOT IN ('http', 'https') THEN concat(y.scheme, regexp_replace(j, '^[^:]*', '')) END"
+    body = bind("y", parts_sql("j"), f"CASE WHEN y.valid THEN {web} ELSE {other} END")
+    body = bind("page", f"concat({_origin('b')}, b.path)", bind("bq", "CASE WHEN b.query <> '' THEN concat('?', b.query) ELSE '' END", bind("j", joined, body)))
+    return f"CASE WHEN {href} IS NOT NULL THEN {bind('ref', _clean(href), bind('b', parts_sql(base), body))} END"
 
 
 def with_normalized_url(
     df: DataFrame, column: str, out: str, options: UrlOptions = UrlOptions(), base: str | None = None
 ) -> DataFrame:
     """Add struct ``out``(ok, original, normalized, hostname, reason) for a raw URL column."""
-    source, parts, query = f"__{out}_src", f"__{out}_parts", f"__{out}_q"
-    df = df.withColumn(source, unicode_trim(F.coalesce(F.col(column), F.lit(""))))
-    if base is not None:
-        resolved = f"__{out}_res"
-        df = with_resolved_url(df, source, base, resolved)
-        df = df.withColumn(
-            source,
-            F.when(F.col(base).isNull() | (F.col(source) == ""), F.col(source))
-            .otherwise(F.coalesce(F.col(resolved), F.col(source))),
-        ).drop(resolved)
-    df = with_url_parts(df, source, parts)
-    df = df.withColumn(query, _canonical_query(F.col(f"{parts}.query"), options))
-    path = F.col(f"{parts}.path")
-    if options.strip_trailing_slash:
-        path = F.when((F.length(path) > 1) & path.endswith("/"), F.expr(f"left({parts}.path, length({parts}.path) - 1)")).otherwise(path)
-    pieces = [_origin(parts), path, F.when(F.col(query) != "", F.concat(F.lit("?"), F.col(query))).otherwise("")]
-    if not options.remove_fragments:
-        pieces.append(F.when(F.col(f"{parts}.fragment") != "", F.concat(F.lit("#"), F.col(f"{parts}.fragment"))).otherwise(""))
-    scheme = F.col(f"{parts}.scheme")
-    reason = (
-        F.when(F.col(source) == "", F.lit(EMPTY_URL))
-        .when(scheme == "", F.lit(MALFORMED_URL))
-        .when(
-            ~scheme.isin("http", "https"),
-            F.concat(F.lit('unsupported scheme "'), scheme, F.lit(':" (only http/https are admitted as portal URLs)')),
-        )
-        .when(~F.col(f"{parts}.valid"), F.lit(MALFORMED_URL))
-    )
-    df = df.withColumn(out, F.struct(
-        reason.isNull().alias("ok"),
-        F.col(column).alias("original"),
-        F.when(reason.isNull(), F.concat(*pieces)).alias("normalized"),
-        F.when(reason.isNull(), F.col(f"{parts}.host")).alias("hostname"),
-        reason.alias("reason"),
-    ))
-    return df.drop(source, parts, query)
+    if base is None:
+        return df.withColumn(out, F.expr(normalized_sql(column, options)))
+    source = rf"CASE WHEN {base} IS NULL OR {column} RLIKE r'(?U)^\s*$' THEN {column} ELSE coalesce({resolved_sql(column, base)}, {column}) END"
+    return df.withColumn(out, F.expr(bind("src", source, normalized_sql("src", options, column))))
 
 
 def with_resolved_url(df: DataFrame, href: str, base: str, out: str) -> DataFrame:
-    """Add ``out``: ``href`` resolved against the absolute URL in ``base``; null if it cannot be."""
-    h, b, joined, parts = (f"__{out}_{s}" for s in ("h", "b", "j", "p"))
-    df = df.withColumn(h, F.regexp_replace(
-        F.regexp_replace(F.col(href), r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", ""))
-    df = with_url_parts(df, base, b)
-    ref, has_scheme = F.col(h), F.col(h).rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
-    page = F.concat(_origin(b), F.col(f"{b}.path"))
-    base_query = F.when(F.col(f"{b}.query") != "", F.concat(F.lit("?"), F.col(f"{b}.query"))).otherwise("")
-    df = df.withColumn(joined, F.when(has_scheme, ref).when(
-        F.col(f"{b}.valid"),
-        F.when(ref == "", F.concat(page, base_query))
-        .when(ref.rlike(r"^[/\\]{2}"), F.concat(F.col(f"{b}.scheme"), F.lit(":"), ref))
-        .when(ref.rlike(r"^[/\\]"), F.concat(_origin(b), ref))
-        .when(ref.startswith("?"), F.concat(page, ref))
-        .when(ref.startswith("#"), F.concat(page, base_query, ref))
-        .otherwise(F.concat(_origin(b), F.regexp_replace(F.col(f"{b}.path"), r"[^/]*$", ""), ref)),
-    ))
-    df = with_url_parts(df, joined, parts)
-    query, fragment = F.col(f"{parts}.query"), F.col(f"{parts}.fragment")
-    web = F.concat(
-        _origin(parts), F.col(f"{parts}.path"),
-        F.when(query != "", F.concat(F.lit("?"), _percent_encode(query, _QUERY_KEEP))).otherwise(""),
-        F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
-    )
-    scheme = F.col(f"{parts}.scheme")
-    df = df.withColumn(out, F.when(F.col(f"{parts}.valid"), web).when(
-        (scheme != "") & ~scheme.isin("http", "https"),
-        F.concat(scheme, F.regexp_replace(F.col(joined), r"^[^:]*", "")),
-    ))
-    return df.drop(h, b, joined, parts)
+    return df.withColumn(out, F.expr(resolved_sql(href, base)))
 
 
 def host_of(url: Column) -> Column:
@@ -263,10 +202,6 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def path_and_query(url: Column) -> Column:
-    return F.regexp_extract(url, r"^[a-z]+://[^/?#]*([^#]*)", 1)
-
-
 def portal_id(normalized: Column) -> Column:
     """Stable id: host and path segments joined by '-'."""
     path = F.regexp_extract(normalized, r"^[a-z]+://[^/?#]*([^?#]*)", 1)
@@ -277,56 +212,50 @@ def portal_id(normalized: Column) -> Column:
     return F.lower(F.concat_ws("-", host_of(normalized), segments))
 
 
-def is_domain_disabled(host: Column, domains: tuple[str, ...]) -> Column:
-    tests = [(F.lower(host) == d.lower()) | F.lower(host).endswith("." + d.lower()) for d in domains]
-    out = F.lit(False)
-    for test in tests:
-        out = out | test
-    return out
+def is_domain_disabled(host: str, domains: tuple[str, ...]) -> str:
+    """SQL condition: host equals a disabled domain or lies below one."""
+    tests = [f"lower({host}) = {_quoted(d.lower())} OR endswith(lower({host}), {_quoted('.' + d.lower())})" for d in domains]
+    return "(" + " OR ".join(tests) + ")" if tests else "false"
 
 
-def host_in_scope(host: Column, hostnames: Column) -> Column:
-    return F.exists(hostnames, lambda h: F.lower(h) == F.lower(host))
+def host_in_scope(host: str, hostnames: str) -> str:
+    return f"exists({hostnames}, known -> lower(known) = lower({host}))"
 
 
-def denylist_match(path: Column, patterns: tuple[str, ...]) -> Column:
-    """First matching pattern; patterns Java refuses are skipped."""
+def denylist_match(path: str, patterns: tuple[str, ...]) -> str:
+    """SQL for the first matching pattern; unusable patterns are skipped."""
     import re
 
-    out = F.lit(None).cast("string")
-    for pattern in reversed(patterns):
+    branches = []
+    for pattern in patterns:
         try:
             re.compile(pattern)
         except re.error:
             continue
-        out = F.when(path.rlike("(?i)" + pattern), F.lit(pattern)).otherwise(out)
-    return out
+        branches.append(f"WHEN {path} RLIKE {_quoted('(?i)' + pattern)} THEN {_quoted(pattern)}")
+    return "CASE " + " ".join(branches) + " END" if branches else "CAST(NULL AS string)"
 
 
-def route_category(path: Column, categories: tuple[str, ...] = tuple(ROUTE_CATEGORIES)) -> Column:
-    """First category in policy order whose patterns match the path (query included)."""
-    out = F.lit(None).cast("string")
-    for category in reversed(categories):
-        patterns = ROUTE_CATEGORIES.get(category, [])
-        if patterns:
-            out = F.when(path.rlike("(?i)" + "|".join(patterns)), F.lit(category)).otherwise(out)
-    return out
+def route_category(path: str, categories: tuple[str, ...] = tuple(ROUTE_CATEGORIES)) -> str:
+    """SQL for the first category in policy order whose patterns match the path (query included)."""
+    branches = [
+        f"WHEN {path} RLIKE {_quoted('(?i)' + '|'.join(ROUTE_CATEGORIES[c]))} THEN {_quoted(c)}"
+        for c in categories if ROUTE_CATEGORIES.get(c)
+    ]
+    return "CASE " + " ".join(branches) + " END" if branches else "CAST(NULL AS string)"
 
 
-def scope_reason(normalized: Column, host: Column, hostnames: Column, policy: CrawlPolicy) -> Column:
-    """Why a URL is out of scope, null when it is in scope. The first reason wins."""
-    path = path_and_query(normalized)
-    denied, category = denylist_match(path, policy.denylist_patterns), route_category(path, policy.route_categories)
-    return (
-        F.when(
-            is_domain_disabled(host, policy.disabled_domains),
-            F.concat(F.lit('domain "'), host, F.lit('" is disabled by crawl policy')),
-        )
-        .when(
-            ~host_in_scope(host, hostnames),
-            F.concat(F.lit('hostname "'), host, F.lit('" is not a registered hostname for this portal')),
-        )
-        .when(~normalized.rlike(r"^https?://"), F.lit("malformed URL"))
-        .when(denied.isNotNull(), F.concat(F.lit('matches denylisted path pattern "'), denied, F.lit('"')))
-        .when(category.isNotNull(), F.concat(F.lit('matches excluded route category "'), category, F.lit('"')))
-    )
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def scope_reason(normalized: str, host: str, hostnames: str, policy: CrawlPolicy) -> str:
+    """SQL for why a URL is out of scope, null when it is in scope. The first reason wins."""
+    tail = bind("deny", denylist_match("route", policy.denylist_patterns), bind(
+        "category", route_category("route", policy.route_categories),
+        """CASE WHEN deny IS NOT NULL THEN concat('matches denylisted path pattern "', deny, '"')
+           WHEN category IS NOT NULL THEN concat('matches excluded route category "', category, '"') END"""))
+    tail = bind("route", f"regexp_extract({normalized}, '^[a-z]+://[^/?#]*([^#]*)', 1)", tail)
+    return f"""CASE WHEN {is_domain_disabled(host, policy.disabled_domains)} THEN concat('domain "', {host}, '" is disabled by crawl policy')
+        WHEN NOT {host_in_scope(host, hostnames)} THEN concat('hostname "', {host}, '" is not a registered hostname for this portal')
+        WHEN NOT {normalized} RLIKE '^https?://' THEN 'malformed URL' ELSE {tail} END"""
