@@ -81,18 +81,16 @@ def overlap_issues(
     pairs = wanted.join(c, F.col("wanted_id") == F.col("comparison_id"), "left")
     pairs = pairs.join(known.select(F.col("known").alias("portal_a"), F.lit(True).alias("known_a")), "portal_a", "left")
     pairs = pairs.join(known.select(F.col("known").alias("portal_b"), F.lit(True).alias("known_b")), "portal_b", "left")
-    have = F.col("comparison_id").isNotNull()
-    gates = F.array_compact(F.array(
-        F.when(F.col("wanted_id").isNull(), F.struct(F.lit("missing_overlap_comparison_id"), F.lit(None).cast("string"))),
-        F.when(F.col("wanted_id").isNotNull() & ~have, F.struct(F.lit("overlap_comparison_not_found"), F.col("wanted_id"))),
-        F.when(have & (F.col("c_run") != run_id), F.struct(F.lit("cross_run_overlap_comparison"), F.col("c_run"))),
-        F.when(have & (F.col("conclusion") != "possible_overlap"), F.struct(F.lit("non_publishable_overlap_conclusion"), F.col("conclusion"))),
-        F.when(have & (F.col("portal_id") != F.col("portal_a")) & (F.col("portal_id") != F.col("portal_b")),
-               F.struct(F.lit("overlap_portal_mismatch"), F.col("portal_id").cast("string"))),
-        F.when(have & F.col("known_a").isNull(), F.struct(F.lit("overlap_portal_not_found"), F.concat(F.lit("A "), F.col("portal_a")))),
-        F.when(have & F.col("known_b").isNull(), F.struct(F.lit("overlap_portal_not_found"), F.concat(F.lit("B "), F.col("portal_b")))),
-    ).cast("array<struct<code:string,detail:string>>"))
-    flat = pairs.select("finding_id", F.explode(gates).alias("g"))
+    gates = """array_compact(array(
+        if(wanted_id IS NULL, named_struct('code', 'missing_overlap_comparison_id', 'detail', CAST(NULL AS string)), NULL),
+        if(wanted_id IS NOT NULL AND comparison_id IS NULL, named_struct('code', 'overlap_comparison_not_found', 'detail', wanted_id), NULL),
+        if(c_run <> '{run}', named_struct('code', 'cross_run_overlap_comparison', 'detail', c_run), NULL),
+        if(conclusion <> 'possible_overlap', named_struct('code', 'non_publishable_overlap_conclusion', 'detail', conclusion), NULL),
+        if(portal_id <> portal_a AND portal_id <> portal_b, named_struct('code', 'overlap_portal_mismatch', 'detail', CAST(portal_id AS string)), NULL),
+        if(comparison_id IS NOT NULL AND known_a IS NULL, named_struct('code', 'overlap_portal_not_found', 'detail', concat('A ', portal_a)), NULL),
+        if(comparison_id IS NOT NULL AND known_b IS NULL, named_struct('code', 'overlap_portal_not_found', 'detail', concat('B ', portal_b)), NULL)))
+    """.replace("{run}", run_id)
+    flat = pairs.select("finding_id", F.expr(f"explode({gates})").alias("g"))
     state = evidence_state(comparisons, "comparison_id", reviewed).filter("NOT found OR NOT reviewed")
     refs = wanted.join(state, F.col("wanted_id") == F.col("comparison_id"))
     ref_code = F.when(F.col("found"), "unreviewed_overlap_evidence").otherwise("unresolved_overlap_evidence_ref")
