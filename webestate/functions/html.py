@@ -32,6 +32,29 @@ ENTITIES = {
 HREF = r"""(?is)<a\b[^>]*\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
 
 
+HREF_SQL = "r\"" + HREF.replace('"([^"]*)"', r"\x22([^\x22]*)\x22") + "\""
+
+
+def trimmed_sql(value: str) -> str:
+    return rf"regexp_replace({value}, r'(?U)^\s+|\s+$', '')"
+
+
+def decoded_sql(value: str) -> str:
+    out = "x"
+    for name, char in ENTITIES.items():
+        out = f"replace({out}, '{name}', '{char if char != chr(39) else chr(92) + chr(39)}')"
+    return f"transform(array({value}), x -> CASE WHEN contains(x, '&') THEN {out} ELSE x END)[0]"
+
+
+def short_text_sql(markup: str) -> str:
+    """Text of some markup, collapsed, at most 200 characters, null when empty."""
+    flat = trimmed_sql(rf"regexp_replace(regexp_replace({decoded_sql(f"regexp_replace({markup}, '<[^>]*>', '')")}, r'(?U)\s+', ' '), '^ ', '')")
+    return (
+        f"transform(array({flat}), f -> CASE WHEN f = '' THEN NULL WHEN length(f) > {MAX_TEXT} "
+        f"THEN concat(left(f, {MAX_TEXT - 1}), '…') ELSE f END)[0]"
+    )
+
+
 def trim_all(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 

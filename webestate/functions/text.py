@@ -20,10 +20,12 @@ PREVIEW_CHARS = 160
 
 
 def privacy_flags(text: Column) -> Column:
+    """Flags in report order. A text without '@' or without digits skips the patterns that need one."""
     body = F.coalesce(text, F.lit(""))
-    return F.array_compact(
-        F.array(*(F.when(body.rlike(pattern), F.lit(flag)) for flag, pattern in PRIVACY_PATTERNS))
-    )
+    needs = {"possible_email": body.contains("@")}
+    digits = body.rlike("[0-9]")
+    return F.array_compact(F.array(*(
+        F.when(needs.get(flag, digits), F.when(body.rlike(pattern), F.lit(flag))) for flag, pattern in PRIVACY_PATTERNS)))
 
 
 def merge_flags(first: Column, second: Column) -> Column:

@@ -181,18 +181,27 @@ def resolved_sql(href: str, base: str) -> str:
     return f"CASE WHEN {href} IS NOT NULL THEN {bind('ref', _clean(href), bind('b', parts_sql(base), body))} END"
 
 
+def once(df: DataFrame, name: str, expression: str) -> DataFrame:
+    """Add a costly column that is computed exactly once per row.
+
+    A filter on a plain projected column is pushed below the projection together
+    with a copy of its expression; it is not pushed below a generator.
+    """
+    return df.select("*", F.expr(f"explode(array({expression}))").alias(name))
+
+
 def with_normalized_url(
     df: DataFrame, column: str, out: str, options: UrlOptions = UrlOptions(), base: str | None = None
 ) -> DataFrame:
     """Add struct ``out``(ok, original, normalized, hostname, reason) for a raw URL column."""
     if base is None:
-        return df.withColumn(out, F.expr(normalized_sql(column, options)))
+        return once(df, out, normalized_sql(column, options))
     source = rf"CASE WHEN {base} IS NULL OR {column} RLIKE r'(?U)^\s*$' THEN {column} ELSE coalesce({resolved_sql(column, base)}, {column}) END"
-    return df.withColumn(out, F.expr(bind("src", source, normalized_sql("src", options, column))))
+    return once(df, out, bind("src", source, normalized_sql("src", options, column)))
 
 
 def with_resolved_url(df: DataFrame, href: str, base: str, out: str) -> DataFrame:
-    return df.withColumn(out, F.expr(resolved_sql(href, base)))
+    return once(df, out, resolved_sql(href, base))
 
 
 def host_of(url: Column) -> Column:

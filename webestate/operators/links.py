@@ -19,25 +19,21 @@ def extract_links(
     what follows it. Context is the text next to the anchor up to the nearest tags,
     which is the whole parent text where the parent has no other element.
     """
-    quiet = F.regexp_replace(F.col(body), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", "")
-    base = pages.select(
-        key, url, html.base_href(F.col(body)).alias("base_raw"), F.split(quiet, r"(?i)(?=<a[\s>])").alias("pieces"))
-    base = urls.with_resolved_url(base, "base_raw", url, "base_url").withColumn("base_url", F.coalesce("base_url", F.col(url)))
-    # Each piece takes along only the text node that ends the piece before it.
-    pairs = F.transform("pieces", lambda piece, i: F.struct(
-        piece.alias("piece"), F.when(i > 0, F.regexp_extract(F.get("pieces", i - 1), r"([^<>]*)\z", 1)).otherwise("").alias("prior")))
-    rows = base.select(key, url, "base_url", F.posexplode(pairs).alias("pos", "cut")).select(key, url, "base_url", "pos", "cut.*")
-    rows = rows.withColumn("raw_href", F.when(
-        F.col("piece").rlike(html.HREF), html.trim_all(html.decode_entities(F.concat(
-            *(F.regexp_extract("piece", html.HREF, i) for i in (1, 2, 3)))))))
-    rows = rows.filter("raw_href IS NOT NULL" if keep_empty else "raw_href <> ''")
-    inner = F.regexp_extract("piece", r"(?is)^<a[^>]*>(.*?)(?:</a\s*>|\z)", 1)
-    after = F.regexp_extract("piece", r"(?is)</a\s*>([^<]*)", 1)
-    shown = html.decode_entities(html.strip_tags(inner))
-    around = html.decode_entities(html.strip_tags(F.concat("prior", inner, after)))
-    rows = rows.withColumn("anchor_text", html.non_empty(html.truncate_text(shown))).withColumn(
-        "context", html.non_empty(html.truncate_text(around))).drop("piece", "prior")
-    return urls.with_resolved_url(rows, "raw_href", "base_url", "resolved_url").drop("base_url")
+    quiet = rf"regexp_replace({body}, r'(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->', '')"
+    pages = pages.select(key, url, F.expr(rf"split({quiet}, r'(?i)(?=<a[\s>])')").alias("pieces"), html.base_href(F.col(body)).alias("base_raw"))
+    pages = urls.once(pages, "base_url", f"coalesce({urls.resolved_sql('base_raw', url)}, {url})")
+    # All of an anchor is computed inside the array, so nothing is computed again after the explode.
+    href = " || ".join(f"regexp_extract(piece, {html.HREF_SQL}, {i})" for i in (1, 2, 3))
+    fields = urls.bind("inner", r"regexp_extract(piece, r'(?is)^<a[^>]*>(.*?)(?:</a\s*>|\z)', 1)", f"""named_struct(
+        'raw_href', CASE WHEN piece RLIKE {html.HREF_SQL} THEN ref END,
+        'anchor_text', {html.short_text_sql('inner')},
+        'context', {html.short_text_sql("concat(prior, inner, regexp_extract(piece, r'(?is)</a" + chr(92) + "s*>([^<]*)', 1))")},
+        'resolved_url', {urls.resolved_sql("nullif(ref, '')", 'base_url')})""")
+    prior = r"CASE WHEN i > 0 THEN regexp_extract(pieces[i - 1], r'([^<>]*)\z', 1) ELSE '' END"
+    anchor = urls.bind("ref", html.trimmed_sql(html.decoded_sql(f"({href})")), urls.bind("prior", prior, fields))
+    rows = pages.select(key, url, F.expr(f"posexplode(transform(pieces, (piece, i) -> {anchor}))").alias("pos", "anchor"))
+    rows = rows.select(key, url, "pos", "anchor.*")
+    return rows.filter("raw_href IS NOT NULL" if keep_empty else "raw_href <> ''")
 
 
 def prepare_links(links: DataFrame, policy: urls.CrawlPolicy) -> DataFrame:
@@ -52,7 +48,7 @@ def prepare_links(links: DataFrame, policy: urls.CrawlPolicy) -> DataFrame:
     )
     judged = urls.bind("t", urls.normalized_sql("resolved_url", policy.url_options), (
         f"named_struct('destination', coalesce(t.normalized, resolved_url), 'destination_host', coalesce(t.hostname, ''), 'excluded', {excluded})"))
-    return links.filter("resolved_url IS NOT NULL").withColumn("judged", F.expr(judged)).select("*", "judged.*").drop("judged")
+    return urls.once(links.filter("resolved_url IS NOT NULL"), "judged", judged).select("*", "judged.*").drop("judged")
 
 
 def relationship(host: str, hostnames: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webestate.functions import checks
+from webestate.functions.urls import bind
 from webestate.schemas import FIELDS
 
 
@@ -15,40 +16,47 @@ def _sql(values: tuple) -> str:
 
 def record_violations(entity: str, line: str = "value") -> Column:
     """Array of violation codes of one JSON record: unknown keys, missing or mistyped
-    fields, values outside their enumeration, pattern, range or length."""
-    tests = []
+    fields, values outside their enumeration, pattern, range or length.
+
+    The record is parsed twice whatever the number of constraints: as a map of
+    variants for keys and types, and as a struct for the constrained values.
+    """
+    families = {
+        "string": "= 'STRING'", "timestamp": "= 'STRING'", "bigint": "= 'BIGINT'", "boolean": "= 'BOOLEAN'",
+        "double": "RLIKE '^(BIGINT|DOUBLE|DECIMAL)'", "array<string>": "IN ('ARRAY<STRING>', 'ARRAY<VOID>')",
+    }
+    tests, probe = [], {}
     for name, f in FIELDS[entity].items():
-        value = f"try_variant_get(v, '$.{name}', 'variant')"
-        kind = f"schema_of_variant({value})"
-        text = f"try_variant_get(v, '$.{name}', 'string')"
-        present = f"({value} IS NOT NULL AND {kind} <> 'VOID')"
-        families = {
-            "string": "= 'STRING'", "timestamp": "= 'STRING'", "bigint": "= 'BIGINT'", "boolean": "= 'BOOLEAN'",
-            "double": "RLIKE '^(BIGINT|DOUBLE|DECIMAL)'", "array<string>": "IN ('ARRAY<STRING>', 'ARRAY<VOID>')",
-        }
-        family = families.get(f.type, "LIKE 'ARRAY<%'")
+        kind = f"kinds['{name}']"
+        present = f"coalesce({kind}, 'VOID') <> 'VOID'"
+        value = f"s.`{name}`"
         if f.required:
             tests.append((f"NOT {present}", f"missing:{name}"))
-        tests.append((f"{present} AND NOT ({kind} {family})", f"type:{name}"))
+        tests.append((f"{present} AND NOT ({kind} {families.get(f.type, "LIKE 'ARRAY<%'")})", f"type:{name}"))
+        constrained = []
         if f.required and f.type == "string":
-            tests.append((f"{kind} = 'STRING' AND trim({text}) = ''", f"empty:{name}"))
+            constrained.append((f"{kind} = 'STRING' AND trim({value}) = ''", f"empty:{name}"))
         if f.enum and f.type == "array<string>":
-            tests.append((f"size(array_except(try_variant_get(v, '$.{name}', 'array<string>'), array({_sql(f.enum)}))) > 0", f"enum:{name}"))
+            constrained.append((f"size(array_except({value}, array({_sql(f.enum)}))) > 0", f"enum:{name}"))
         elif f.enum:
-            tests.append((f"{kind} = 'STRING' AND {text} NOT IN ({_sql(f.enum)})", f"enum:{name}"))
+            constrained.append((f"{kind} = 'STRING' AND {value} NOT IN ({_sql(f.enum)})", f"enum:{name}"))
         if f.pattern:
-            tests.append((f"{kind} = 'STRING' AND NOT {text} RLIKE r'{f.pattern}'", f"format:{name}"))
+            constrained.append((f"{kind} = 'STRING' AND NOT {value} RLIKE r'{f.pattern}'", f"format:{name}"))
         if f.low is not None:
-            tests.append((f"try_variant_get(v, '$.{name}', 'double') < {f.low}", f"range:{name}"))
+            constrained.append((f"{value} < {f.low}", f"range:{name}"))
         if f.high is not None:
-            tests.append((f"try_variant_get(v, '$.{name}', 'double') > {f.high}", f"range:{name}"))
+            constrained.append((f"{value} > {f.high}", f"range:{name}"))
         if f.max_length is not None:
-            tests.append((f"length({text}) > {f.max_length}", f"length:{name}"))
+            constrained.append((f"length({value}) > {f.max_length}", f"length:{name}"))
+        if constrained:
+            probe[name] = "string" if f.type == "timestamp" else f.type
+            tests += constrained
     known = f"array({_sql(tuple(FIELDS[entity]))})"
-    unknown = f"transform(array_except(coalesce(json_object_keys({line}), CAST(array() AS array<string>)), {known}), k -> concat('unknown:', k))"
     coded = ", ".join(f"if({test}, '{code}', NULL)" for test, code in tests)
-    # The parsed record is bound once for all tests.
-    return F.expr(f"transform(array(parse_json({line})), v -> concat({unknown}, array_compact(array({coded}))))[0]")
+    ddl = ", ".join(f"`{n}` {t}" for n, t in probe.items())
+    found = f"concat(transform(array_except(map_keys(kinds), {known}), k -> concat('unknown:', k)), array_compact(array({coded})))"
+    kinds = f"transform_values(CAST(parse_json({line}) AS map<string, variant>), (k, x) -> schema_of_variant(x))"
+    return F.expr(bind("kinds", kinds, bind("s", f"from_json({line}, '{ddl}')", found)))
 
 
 def violation_rows(df: DataFrame, key: str, rules: dict[str, str]) -> DataFrame:

@@ -195,13 +195,16 @@ def register_rule(rule: Rule) -> Rule:
     return rule
 
 
-def select_rules(checks: list[dict] | None = None) -> tuple[list[tuple[Rule, dict]], list[str]]:
+def select_rules(
+    checks: list[dict] | None = None, registry: list[Rule] | None = None
+) -> tuple[list[tuple[Rule, dict]], list[str]]:
     """Enabled rules in registry order with their parameters, and unknown rule ids."""
+    registry = REGISTRY if registry is None else registry
     if checks is None:
-        return [(r, dict(r.defaults)) for r in REGISTRY], []
+        return [(r, dict(r.defaults)) for r in registry], []
     enabled = {c["rule_id"]: c.get("parameters") or {} for c in checks if c.get("enabled", True)}
-    known = {r.rule_id for r in REGISTRY}
-    chosen = [(r, {**r.defaults, **enabled[r.rule_id]}) for r in REGISTRY if r.rule_id in enabled]
+    known = {r.rule_id for r in registry}
+    chosen = [(r, {**r.defaults, **enabled[r.rule_id]}) for r in registry if r.rule_id in enabled]
     return chosen, [rule_id for rule_id in enabled if rule_id not in known]
 
 
@@ -240,9 +243,9 @@ def findings_from(df: DataFrame, finding: str) -> DataFrame:
     return df.selectExpr("portal_id", f"{finding} AS f").select("portal_id", "f.*")
 
 
-def run_rules(ctx: RuleContext, checks: list[dict] | None = None) -> DataFrame:
+def run_rules(ctx: RuleContext, checks: list[dict] | None = None, registry: list[Rule] | None = None) -> DataFrame:
     """Findings of all enabled rules: one exploded portal plan plus one plan per table rule."""
-    selected, _ = select_rules(checks)
+    selected, _ = select_rules(checks, registry)
     frames: list[DataFrame] = []
     wide, arrays = None, []
     for rule, parameters in selected:

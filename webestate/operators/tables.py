@@ -91,7 +91,9 @@ def personal_data(df: DataFrame, column: str = "text") -> DataFrame:
 
 
 def flag_counts(flagged: DataFrame, *dims: str) -> DataFrame:
-    return flagged.select(*dims, F.explode("flags").alias("flag")).groupBy(*dims, "flag").agg(F.count("*").alias("rows"))
+    # The outer form keeps the optimizer from testing the array, and so computing it, twice.
+    flat = flagged.select(*dims, F.explode_outer("flags").alias("flag")).filter("flag IS NOT NULL")
+    return flat.groupBy(*dims, "flag").agg(F.count("*").alias("rows"))
 
 
 def narrative_clusters(df: DataFrame, order: str | F.Column, **parts) -> DataFrame:

@@ -82,7 +82,7 @@ def src03(spark, sf):
     return out.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("name", "url")), "department", "reject_reason")
 
 
-@query("src04_json_listing", """SELECT CASE WHEN page_id % 9 = 0 THEN '' WHEN page_id % 11 <> 0 THEN 'Site ' || page_id END AS name, CASE WHEN page_id % 11 <> 0 THEN url END AS url,
+@query("src04_json_listing", """SELECT CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 9 = 0 THEN '' ELSE 'Site ' || page_id END AS name, CASE WHEN page_id % 11 <> 0 THEN url END AS url,
   CASE WHEN page_id % 11 <> 0 AND page_id % 4 = 0 THEN 'directory' END AS portal_type, CASE WHEN page_id % 11 <> 0 AND page_id % 5 <> 0 THEN 'a|b' END AS tags,
   CASE WHEN page_id % 11 = 0 THEN 'entry is not an object' WHEN page_id % 9 = 0 THEN 'entry missing a usable ''name''' END AS reject_reason FROM pages""")
 def src04(spark, sf):

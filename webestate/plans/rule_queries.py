@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webestate.operators.rules import RuleContext, run_rules
+from webestate.operators.rules import REGISTRY, Rule, RuleContext, run_rules
+from webestate.operators.rules.availability import text
+from webestate.operators.rules.base import draft, emit
 from webestate.plans import beds
 from webestate.plans.catalog import plain, query
 from webestate.plans.sql_beds import B2, B3, ENTRY, PORTALS, SKIPS
@@ -188,3 +190,31 @@ RU14 = finding_select(
     severity="'advisory'", confidence="'medium'", check_status="'warning'", first_observed_at="TIMESTAMP '2024-02-01 00:00:00'",
     last_observed_at="TIMESTAMP '2024-02-01 00:00:00'", affected_urls="canonical_url", **MISMATCH)
 query("ru14_official_not_listed", f"WITH {PORTALS} {RU14}")(only("directory_mismatch.official-portal-not-listed.v1"))
+
+
+# A rule from outside the package, run next to the built-in ones --------------------------
+
+
+def unsteady_entry(ctx: RuleContext, parameters: dict, prior: str) -> str:
+    """Entry pages that failed in some checks and answered in others."""
+    return emit("failed_n > 0 AND clean_n > 0", draft(
+        "availability.unsteady-entry.v1", "availability", "suggestion.manual-verification.v1",
+        title="'Entry point answers unsteadily'",
+        summary=text("{failed_n} of {entries} entry checks failed, {clean_n} answered; {n} earlier finding(s).", n=f"size({prior})"),
+        severity="'advisory'", confidence="'low'", check_status="'warning'",
+        first_observed_at="failed_first.checked_at", last_observed_at="failed_last", affected_urls="array(canonical_url)",
+        limitations="array('One run only.')", evidence_type="'text_excerpt'", evidence_description="'counts'",
+        evidence_source_url="canonical_url", related_observation_id="NULL", evidence_content="to_json(struct(failed_n, clean_n))",
+    ))
+
+
+UNSTEADY = Rule("availability.unsteady-entry.v1", "availability", "Mixed results on the entry page.", portal_findings=unsteady_entry)
+
+
+@query("ux01_custom_rule", f"""{BASE}, u AS (SELECT portal_id, count(*) AS n, count(*) FILTER ({FAILED}) AS bad, count(*) FILTER (error_code IS NULL) AS good,
+    greatest(count(*) FILTER ({FAILED}), coalesce(max(attempt) FILTER ({FAILED}), 0)) AS a FROM entry GROUP BY 1)
+  SELECT portal_id, bad || ' of ' || n || ' entry checks failed, ' || good || ' answered; ' || CASE WHEN a >= 3 THEN 1 ELSE 0 END || ' earlier finding(s).' AS summary FROM u WHERE bad > 0 AND good > 0""")
+def ux01(spark, sf):
+    checks = [{"rule_id": "availability.unavailable.v1"}, {"rule_id": UNSTEADY.rule_id}]
+    found = run_rules(context(spark, sf), checks, [*REGISTRY, UNSTEADY])
+    return found.filter(f"rule_id = '{UNSTEADY.rule_id}'").select("portal_id", "summary")
