@@ -164,21 +164,27 @@ def normalized_sql(url: str, options: UrlOptions = UrlOptions(), original: str |
 
 def resolved_sql(href: str, base: str) -> str:
     """``href`` resolved against the absolute URL ``base``; null if it cannot be."""
-    joined = rf"""CASE WHEN ref RLIKE r'^[A-Za-z][A-Za-z0-9+.\-]*:' THEN ref WHEN b.valid THEN CASE
+    return bind("b", parts_sql(base), resolved_against_sql(href, "b"))
+
+
+def resolved_against_sql(href: str, b: str) -> str:
+    """``href`` resolved against a base given as the struct of its parts."""
+    joined = rf"""CASE WHEN ref RLIKE r'^[A-Za-z][A-Za-z0-9+.\-]*:' THEN ref WHEN {b}.valid THEN CASE
         WHEN ref = '' THEN concat(page, bq)
-        WHEN ref RLIKE r'^[/\\]{{2}}' THEN concat(b.scheme, ':', ref)
-        WHEN ref RLIKE r'^[/\\]' THEN concat({_origin('b')}, ref)
+        WHEN ref RLIKE r'^[/\\]{{2}}' THEN concat({b}.scheme, ':', ref)
+        WHEN ref RLIKE r'^[/\\]' THEN concat({_origin(b)}, ref)
         WHEN startswith(ref, '?') THEN concat(page, ref)
         WHEN startswith(ref, '#') THEN concat(page, bq, ref)
-        ELSE concat({_origin('b')}, regexp_replace(b.path, '[^/]*$', ''), ref) END END"""
+        ELSE concat({_origin(b)}, regexp_replace({b}.path, '[^/]*$', ''), ref) END END"""
     web = (
         f"concat({_origin('y')}, y.path, CASE WHEN y.query <> '' THEN concat('?', {_percent_encoded('y.query', QUERY_KEEP)}) ELSE '' END, "
         "CASE WHEN y.fragment <> '' THEN concat('#', y.fragment) ELSE '' END)"
     )
     other = "CASE WHEN y.scheme <> '' AND y.scheme NOT IN ('http', 'https') THEN concat(y.scheme, regexp_replace(j, '^[^:]*', '')) END"
     body = bind("y", parts_sql("j"), f"CASE WHEN y.valid THEN {web} ELSE {other} END")
-    body = bind("page", f"concat({_origin('b')}, b.path)", bind("bq", "CASE WHEN b.query <> '' THEN concat('?', b.query) ELSE '' END", bind("j", joined, body)))
-    return f"CASE WHEN {href} IS NOT NULL THEN {bind('ref', _clean(href), bind('b', parts_sql(base), body))} END"
+    query = f"CASE WHEN {b}.query <> '' THEN concat('?', {b}.query) ELSE '' END"
+    body = bind("page", f"concat({_origin(b)}, {b}.path)", bind("bq", query, bind("j", joined, body)))
+    return f"CASE WHEN {href} IS NOT NULL THEN {bind('ref', _clean(href), body)} END"
 
 
 def once(df: DataFrame, name: str, expression: str) -> DataFrame:

@@ -200,7 +200,13 @@ def _admit_groups(timed: DataFrame, state: DataFrame | None) -> DataFrame:
     rows = _with_state(timed, state)
     ids = timed.schema["request_id"].dataType
     schema = T.StructType([T.StructField("request_id", ids), *(T.StructField(n, timed.schema[n].dataType) for n in ("key", "portal_id", "t")), T.StructField("accepted", T.BooleanType())])
-    return rows.groupBy("key").applyInPandas(walk, schema)
+    return _spread(rows).groupBy("key").applyInPandas(walk, schema)
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Partition by key with the session's shuffle width. Runtime merging of small
+    partitions goes by bytes; Python work per row is what costs here."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
 
 
 def admit_heavy(timed: DataFrame, state: DataFrame | None = None) -> DataFrame:
@@ -238,7 +244,7 @@ def admit_heavy(timed: DataFrame, state: DataFrame | None = None) -> DataFrame:
                 "stretch", F.coalesce(F.size(F.filter("times", lambda a: a < F.col("t") - DAY)), F.lit(0))).drop("times")
         few = cut.withColumn("r2", two).filter(F.col("r2") <= PORTAL_LIMIT).withColumn("r15", place).filter(
             F.col("r15") <= KEY_LIMIT + PORTAL_LIMIT * KEY_LIMIT)
-        chosen = materialise(_with_state(few, state).groupBy("key").applyInPandas(step, T.StructType(fields)), f"admission-{slot}")
+        chosen = materialise(_spread(_with_state(few, state)).groupBy("key").applyInPandas(step, T.StructType(fields)), f"admission-{slot}")
         won = chosen if won is None else won.unionByName(chosen)
         kept = chosen.select("key", "portal_id", "t")
         state = kept if state is None else kept.unionByName(state.filter(F.col("t") >= slot * DAY))

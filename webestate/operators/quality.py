@@ -62,7 +62,7 @@ def record_violations(entity: str, line: str = "value") -> Column:
 def violation_rows(df: DataFrame, key: str, rules: dict[str, str]) -> DataFrame:
     """(key, violation) rows for named SQL conditions that must not hold."""
     coded = ", ".join(f"if({test}, '{code}', NULL)" for code, test in rules.items())
-    return df.select(key, F.expr(f"explode(array_compact(array({coded})))").alias("violation"))
+    return df.select(key, F.expr(f"explode_outer(array_compact(array({coded})))").alias("violation")).filter("violation IS NOT NULL")
 
 
 def field_errors(df: DataFrame, rules: dict[str, tuple[str, str]]) -> DataFrame:

@@ -259,7 +259,9 @@ def run_rules(ctx: RuleContext, checks: list[dict] | None = None, registry: list
             arrays.append(own)
     if wide is not None:
         every = "concat(" + ", ".join(["prior", *arrays]) + ")"
-        frames.append(wide.selectExpr("portal_id", f"explode({every}) AS f").select("portal_id", "f.*"))
+        # The outer form spares the optimizer's size test of the array, a second evaluation of every rule.
+        flat = wide.selectExpr("portal_id", f"explode_outer({every}) AS f").filter("f IS NOT NULL")
+        frames.append(flat.select("portal_id", "f.*"))
     for rule, parameters in selected:
         if rule.evaluate is not None:
             frames.append(rule.evaluate(ctx, parameters))

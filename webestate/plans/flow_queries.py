@@ -37,7 +37,7 @@ def observation_records(spark, sf):
   FROM b2 WHERE seq % 40 IN (1, 3, 5, 7, 9)""")
 def dq01(spark, sf):
     rows = observation_records(spark, sf)
-    return rows.select("seq", F.explode(quality.record_violations("page_observation")).alias("violation"))
+    return rows.select("seq", F.explode_outer(quality.record_violations("page_observation")).alias("violation")).filter("violation IS NOT NULL")
 
 
 @query("src01_strict_scan", f"WITH {B2} SELECT fetch_mode, count(*) AS rows, CAST(sum(attempt) AS BIGINT) AS attempts FROM b2 WHERE seq % 40 NOT IN (1, 3, 5, 7, 9) GROUP BY 1")
