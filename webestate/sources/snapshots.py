@@ -57,7 +57,8 @@ def current_run(spark: SparkSession, root: str) -> str:
 
 def read_current(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table of the current run; the run id is a literal, so only its partition is read."""
-    return spark.read.parquet(f"{root}/{name}").filter(F.col("run_id") == current_run(spark, root))
+    run_id = current_run(spark, root)
+    return spark.read.parquet(f"{root}/{name}").filter(F.col("run_id") == run_id)
 
 
 def known_portal_ids(spark: SparkSession, root: str, name: str = "portals") -> tuple[DataFrame | None, bool]:
