@@ -283,3 +283,17 @@ def test_publication_stops_on_violations(spark):
     with pytest.raises(ValueError):
         quality.require_none(spark.range(1), "assessments")
     quality.require_none(spark.range(0), "assessments")
+
+
+@pytest.mark.parametrize("name", ["ru07_broken_destinations", "dq02_run_violations", "tk03_directory_mismatches", "jn15_ip_ranges", "jn12_selected_comparison", "jn09_duplicates", "ag17_publication_summary"])
+def test_plans_have_no_pairwise_join(spark, sf, name):
+    from webestate.plans import QUERIES
+
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_every_query_has_a_twin():
+    from webestate.plans import ORACLES, QUERIES
+
+    assert set(ORACLES) == set(QUERIES)

@@ -93,21 +93,24 @@ def severity_counts(assessments: DataFrame) -> DataFrame:
 
 
 def portal_run_status(pages: DataFrame) -> DataFrame:
-    """failed if the first check failed, partial if any did, else succeeded."""
+    """Per run and portal: failed if the first check failed, partial if any did, else
+    succeeded; with the time span of its checks."""
     ok = F.col("error_code").isNull()
-    return pages.groupBy("portal_id").agg(
-        F.min_by(ok, "seq").alias("entry_ok"), F.bool_or(~ok).alias("saw_error")
+    return pages.groupBy("run_id", "portal_id").agg(
+        F.min_by(ok, "seq").alias("entry_ok"), F.bool_or(~ok).alias("saw_error"),
+        F.min("checked_at").alias("first_checked"), F.max("checked_at").alias("last_checked"),
     ).select(
-        "portal_id",
+        "run_id", "portal_id", "first_checked", "last_checked",
         F.when(~F.col("entry_ok"), "failed").when(F.col("saw_error"), "partial").otherwise("succeeded").alias("status"),
     )
 
 
 def run_totals(statuses: DataFrame) -> DataFrame:
     """Run status: completed iff all succeeded, failed iff none, else partial."""
-    t = statuses.agg(
+    t = statuses.groupBy("run_id").agg(
         F.count("*").alias("portal_count"),
         *(F.count_if(F.col("status") == s).alias(f"portals_{s}") for s in ("succeeded", "failed", "partial")),
+        F.min("first_checked").alias("started_at"), F.max("last_checked").alias("completed_at"),
     )
     n, good = F.col("portal_count"), F.col("portals_succeeded")
     return t.withColumn(

@@ -151,7 +151,7 @@ def src08(spark, sf):
 
 @query("snk03_nested_export", runs.ASM + f"SELECT portal_id, technical_health, (SELECT count(*) FROM fnd WHERE fnd.portal_id = asm.portal_id AND {runs.PUB}) AS findings FROM asm")
 def snk03(spark, sf):
-    findings, _ = runs.run_findings(spark, sf)
+    findings = runs.stored_findings(spark, sf)
     nested = snapshots.nested_portals(
         runs.assessments(spark, sf, findings), findings.filter(F.col("review_status").isin(*publish.PUBLISHABLE)), chunk=20)
     return nested.groupBy("portal_id", "technical_health").agg(F.sum(F.size(F.coalesce("reviewedFindings", F.array()))).alias("findings"))
@@ -200,7 +200,7 @@ def dq05(spark, sf):
   SELECT portal_id, 'healthy_with_severe_finding' AS violation FROM asm JOIN sv USING (portal_id) WHERE portal_id % 4 = 0 OR technical_health = 'healthy'
   UNION ALL SELECT portal_id, 'not_assessable_without_note' FROM asm WHERE technical_health = 'not_assessable' AND portal_id % 4 <> 0 AND portal_id % 3 = 0""")
 def dq06(spark, sf):
-    findings, _ = runs.run_findings(spark, sf)
+    findings = runs.stored_findings(spark, sf)
     rows = quality.with_severe_counts(runs.assessments(spark, sf, findings), findings).withColumns({
         "technical_health": F.when(F.col("portal_id") % 4 == 0, "healthy").otherwise(F.col("technical_health")),
         "coverage_note": F.when(F.col("portal_id") % 3 == 0, " ").otherwise(F.col("coverage_note"))})
@@ -210,7 +210,7 @@ def dq06(spark, sf):
 @query("rv11_publication_check", runs.ASM + """, sv AS (SELECT portal_id FROM fnd WHERE review_status = 'reviewed' AND severity IN ('critical', 'significant'))
   SELECT count(*) AS violations FROM asm WHERE (technical_health = 'healthy' AND portal_id IN (SELECT portal_id FROM sv)) OR (technical_health = 'not_assessable' AND trim(coverage_note) = '')""")
 def rv11(spark, sf):
-    findings, _ = runs.run_findings(spark, sf)
+    findings = runs.stored_findings(spark, sf)
     rows = quality.with_severe_counts(runs.assessments(spark, sf, findings), findings)
     return quality.violation_rows(rows, "portal_id", quality.ASSESSMENT_RULES).agg(F.count("*").alias("violations"))
 

@@ -15,6 +15,7 @@ from webestate.plans import beds
 from webestate.plans import rule_queries as rq
 from webestate.plans.catalog import plain, query
 from webestate.plans.sql_beds import B2, B3, B7, ENTRY, PORTALS, SKIPS
+from webestate.session import materialise
 
 # Inputs ----------------------------------------------------------------------
 
@@ -30,6 +31,11 @@ def run_findings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return records.withColumn("review_status", status), artifacts
 
 
+def stored_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """The findings as a written table, for queries that read them more than once."""
+    return materialise(run_findings(spark, sf)[0], "findings")
+
+
 def assessments(spark: SparkSession, sf: str, findings: DataFrame | None = None) -> DataFrame:
     portals = beds.portals(spark, sf)
     findings = run_findings(spark, sf)[0] if findings is None else findings
@@ -45,11 +51,7 @@ def assessments(spark: SparkSession, sf: str, findings: DataFrame | None = None)
 
 def audit_run(spark: SparkSession, sf: str) -> DataFrame:
     """E3: the run manifest, with totals computed from the observations."""
-    pages = beds.page_observations(spark, sf)
-    totals = rollup.run_totals(rollup.portal_run_status(pages))
-    span = pages.agg(F.min("checked_at").alias("started_at"), F.max("checked_at").alias("completed_at"))
-    one = totals.withColumn("run_id", F.lit(beds.RUN_ID)).join(span.withColumn("run_id", F.lit(beds.RUN_ID)), "run_id")
-    return one.withColumns({
+    return rollup.run_totals(rollup.portal_run_status(beds.page_observations(spark, sf))).withColumns({
         "geography": F.lit("estate"), "methodology_version": F.lit("1.0.0"),
         "limitations": F.array(F.lit("One run only."), F.lit("No browser checks.")),
     })
@@ -233,14 +235,15 @@ STATUS = """st AS (SELECT portal_id, CASE WHEN arg_min(error_code IS NOT NULL, s
 
 @query("ag13_portal_status", f"WITH {B2}, {STATUS} SELECT portal_id, status FROM st")
 def ag13(spark, sf):
-    return rollup.portal_run_status(beds.page_observations(spark, sf))
+    return rollup.portal_run_status(beds.page_observations(spark, sf)).select("portal_id", "status")
 
 
 @query("ag14_run_status", f"""WITH {B2}, {STATUS} SELECT count(*) AS portal_count, count(*) FILTER (status = 'succeeded') AS portals_succeeded,
   count(*) FILTER (status = 'failed') AS portals_failed, count(*) FILTER (status = 'partial') AS portals_partial,
   CASE WHEN count(*) > 0 AND bool_and(status = 'succeeded') THEN 'completed' WHEN count(*) FILTER (status = 'succeeded') = 0 THEN 'failed' ELSE 'partial' END AS status FROM st""")
 def ag14(spark, sf):
-    return rollup.run_totals(rollup.portal_run_status(beds.page_observations(spark, sf)))
+    totals = rollup.run_totals(rollup.portal_run_status(beds.page_observations(spark, sf)))
+    return totals.select("portal_count", "portals_succeeded", "portals_failed", "portals_partial", "status")
 
 
 @query("ag15_urgent_action", f"WITH {FINDINGS} SELECT portal_id, arg_min(suggested_action, {ACT_RANK}) AS suggested_action FROM fnd WHERE {PUB} GROUP BY 1")
@@ -351,11 +354,12 @@ def tk02(spark, sf):
 
 
 @query("tk03_directory_mismatches", f"""WITH {FINDINGS}, hit AS (SELECT * FROM fnd WHERE category = 'directory_mismatch' AND review_status = 'reviewed')
-  SELECT portal_id, finding_id, (SELECT count(*) FROM hit) AS total, (SELECT count(*) - least(count(*), 5) FROM hit) AS hidden FROM hit ORDER BY portal_id, finding_id LIMIT 5""")
+  SELECT * FROM (SELECT 'shown' AS part, finding_id AS k, portal_id AS n FROM hit ORDER BY portal_id, finding_id LIMIT 5)
+  UNION ALL SELECT 'total', '', count(*) FROM hit UNION ALL SELECT 'hidden', '', count(*) - least(count(*), 5) FROM hit""")
 def tk03(spark, sf):
     first, totals = publish.directory_mismatches(run_findings(spark, sf)[0])
-    key = F.lit(1).alias("k")
-    return first.select("portal_id", "finding_id", key).join(totals.select("*", key), "k").drop("k")
+    shown = first.select(F.lit("shown").alias("part"), F.col("finding_id").alias("k"), F.col("portal_id").alias("n"))
+    return shown.unionByName(totals.unpivot([], ["total", "hidden"], "part", "n").withColumn("k", F.lit("")))
 
 
 @query("tk04_not_assessable", ASM + "SELECT portal_id, name, coverage_note FROM asm WHERE technical_health = 'not_assessable'")
@@ -375,7 +379,7 @@ def tk05(spark, sf):
     coalesce(broken, 0) AS broken_destinations, links_checked, CASE WHEN links_checked > 0 THEN round(least(coalesce(broken, 0) / links_checked, 1.0), 6) ELSE 0.0 END AS broken_share
   FROM asm a LEFT JOIN w USING (portal_id)""")
 def tk07(spark, sf):
-    findings, _ = run_findings(spark, sf)
+    findings = stored_findings(spark, sf)
     evidence = findings.filter((F.length("summary") + F.col("portal_id")) % 3 != 0).select(
         "finding_id", F.posexplode("evidence_refs").alias("pos", "artifact_id"))
     return publish.headline(assessments(spark, sf, findings), findings, evidence)
@@ -449,7 +453,7 @@ def snk06(spark, sf):
   SELECT 'portals', CAST(portal_id AS VARCHAR), technical_health || '/' || continuing_role || '/' || suggested_action FROM asm UNION ALL
   SELECT 'run', 'run-1', CAST(count(*) AS VARCHAR) FROM asm)""")
 def snk07(spark, sf):
-    findings, _ = run_findings(spark, sf)
+    findings = stored_findings(spark, sf)
     asm = assessments(spark, sf, findings)
     summary = rollup.publication_summary(asm, audit_run(spark, sf), "2024-02-02 00:00:00", ["Ids are digests."])
     frames = publish.report_frames(summary, asm, findings.filter("review_status = 'reviewed'"))

@@ -10,7 +10,7 @@ from webestate.operators.rules.directory import name_agreement
 from webestate.plans import beds
 from webestate.plans.catalog import plain, query
 from webestate.plans.sql_beds import B1, B2, B3
-from webestate.session import table
+from webestate.session import materialise, table
 
 POLICY = urls.CrawlPolicy(disabled_domains=("cheap-pills.example.com",), denylist_patterns=(r"/en/7\d\d", "(", r"\.html$"))
 LINK_POLICY = urls.CrawlPolicy(disabled_domains=("spam-farm.example.org",), denylist_patterns=("^/T",))
@@ -142,7 +142,8 @@ def wn03(spark, sf):
   SELECT page_id, raw_href, destination, CASE WHEN excluded THEN 'not_applicable' ELSE status END AS status, CASE WHEN excluded THEN 'SCOPE_EXCLUDED' ELSE error_code END AS error_code,
     CAST(CASE WHEN excluded THEN 0 ELSE 1 END AS INTEGER) AS attempts FROM dst LEFT JOIN res USING (destination)""")
 def jn06(spark, sf):
-    prepared = prepared_links(spark, sf)
+    # Read twice below, so the links are extracted into a table first.
+    prepared = materialise(prepared_links(spark, sf).select("page_id", "raw_href", "destination", "excluded"), "links")
     broken = F.length("destination") % 4 == 0
     results = links.unique_destinations(prepared).select(
         "destination", F.when(broken, "fail").otherwise("pass").alias("status"), F.when(broken, 404).otherwise(200).alias("http_status"),
