@@ -188,9 +188,11 @@ def publication_summary(assessments: DataFrame, run: DataFrame, published_at: st
         F.count("*").alias("portal_count"), health.alias("technical_health_counts"),
         severity.alias("severity_counts"), actions.alias("suggested_action_counts"),
     )
-    return counts.join(run.drop("portal_count"), "run_id").select(
-        "run_id", F.lit(published_at).alias("published_at"),
-        F.coalesce("completed_at", "started_at").alias("audit_date"), "methodology_version",
-        F.concat("limitations", F.array(*(F.lit(x) for x in analysis_limitations)).cast("array<string>")).alias("limitations"),
-        "portal_count", "technical_health_counts", "severity_counts", "suggested_action_counts",
-    )
+    facts = run.select(
+        "run_id", F.coalesce("completed_at", "started_at").alias("audit_date"), "methodology_version", "limitations")
+    # One row of each kind per run, folded into one; each column is set in one of them only.
+    names = ("audit_date", "methodology_version", "limitations", "portal_count", "technical_health_counts", "severity_counts", "suggested_action_counts")
+    folded = counts.unionByName(facts, allowMissingColumns=True).groupBy("run_id").agg(
+        *(F.first(n, ignorenulls=True).alias(n) for n in names)).filter("portal_count IS NOT NULL")
+    extra = F.array(*(F.lit(x) for x in analysis_limitations)).cast("array<string>")
+    return folded.withColumn("published_at", F.lit(published_at)).withColumn("limitations", F.concat("limitations", extra))

@@ -453,8 +453,9 @@ def snk06(spark, sf):
   SELECT 'portals', CAST(portal_id AS VARCHAR), technical_health || '/' || continuing_role || '/' || suggested_action FROM asm UNION ALL
   SELECT 'run', 'run-1', CAST(count(*) AS VARCHAR) FROM asm)""")
 def snk07(spark, sf):
+    # A report reads the published tables of its run, so they are written first.
     findings = stored_findings(spark, sf)
-    asm = assessments(spark, sf, findings)
+    asm = materialise(assessments(spark, sf, findings), "assessments")
     summary = rollup.publication_summary(asm, audit_run(spark, sf), "2024-02-02 00:00:00", ["Ids are digests."])
     frames = publish.report_frames(summary, asm, findings.filter("review_status = 'reviewed'"))
     cells = {
