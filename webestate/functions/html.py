@@ -20,6 +20,12 @@ BLOCK_PHRASES = (
     "please verify you are a human", "verify you are human",
     "checking your browser before accessing", "pardon the interruption", "request blocked",
 )
+# Reasons for a login wall or a block.
+LOGIN_ROUTE_AND_PASSWORD = "final URL path looks like a login route and the page contains a password field"
+PASSWORD_AND_USERNAME = "page contains both a password field and a recognizable username field"
+LOGIN_ROUTE = "final URL path matches a common login/auth route pattern"
+CAPTCHA_REASON = "page contains a recognizable CAPTCHA-provider signature (matched "
+BLOCK_REASON = "page contains bot-block interstitial phrasing (matched "
 # Shell thresholds.
 SHELL_TEXT, SHELL_LINKS, APP_ROOT_TEXT = 200, 3, 400
 
@@ -134,9 +140,9 @@ def auth_wall_reason(html: Column, url: Column) -> Column:
     login_path = F.when(url.rlike(r"^[A-Za-z]+://"), path).otherwise(url).rlike(AUTH_PATH)
     password, username = html.rlike(PASSWORD_FIELD), html.rlike(USERNAME_FIELD)
     return (
-        F.when(login_path & password, F.lit("final URL path looks like a login route and the page contains a password field"))
-        .when(password & username, F.lit("page contains both a password field and a recognizable username field"))
-        .when(login_path, F.lit("final URL path matches a common login/auth route pattern"))
+        F.when(login_path & password, F.lit(LOGIN_ROUTE_AND_PASSWORD))
+        .when(password & username, F.lit(PASSWORD_AND_USERNAME))
+        .when(login_path, F.lit(LOGIN_ROUTE))
     )
 
 
@@ -144,8 +150,8 @@ def block_reason(html: Column) -> Column:
     """First CAPTCHA signature, else first interstitial phrase, else null."""
     out = F.lit(None).cast("string")
     groups = (
-        (BLOCK_PHRASES, "page contains bot-block interstitial phrasing (matched "),
-        (CAPTCHA_SIGNATURES, "page contains a recognizable CAPTCHA-provider signature (matched "),
+        (BLOCK_PHRASES, BLOCK_REASON),
+        (CAPTCHA_SIGNATURES, CAPTCHA_REASON),
     )
     for patterns, label in groups:
         for pattern in reversed(patterns):

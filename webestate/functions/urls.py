@@ -29,6 +29,17 @@ ROUTE_CATEGORIES = {
 # Reject reasons.
 EMPTY_URL = "empty URL"
 MALFORMED_URL = "malformed URL (failed to parse)"
+UNSUPPORTED_SCHEME = ('unsupported scheme "', ':" (only http/https are admitted as portal URLs)')
+DISABLED_DOMAIN = ('domain "', '" is disabled by crawl policy')
+FOREIGN_HOST = ('hostname "', '" is not a registered hostname for this portal')
+DENYLISTED_PATH = ('matches denylisted path pattern "', '"')
+EXCLUDED_ROUTE = ('matches excluded route category "', '"')
+UNUSABLE_URL = "malformed URL"
+
+
+def _around(words: tuple[str, str], value: str) -> str:
+    return f"concat('{words[0]}', {value}, '{words[1]}')"
+
 
 
 @dataclass(frozen=True)
@@ -151,7 +162,7 @@ def normalized_sql(url: str, options: UrlOptions = UrlOptions(), original: str |
     whole = f"concat({_origin('x')}, {path}, CASE WHEN q <> '' THEN concat('?', q) ELSE '' END, {fragment})"
     reason = (
         f"CASE WHEN raw = '' THEN '{EMPTY_URL}' WHEN x.scheme = '' THEN '{MALFORMED_URL}' "
-        "WHEN x.scheme NOT IN ('http', 'https') THEN concat('unsupported scheme \"', x.scheme, ':\" (only http/https are admitted as portal URLs)') "
+        f"WHEN x.scheme NOT IN ('http', 'https') THEN {_around(UNSUPPORTED_SCHEME, 'x.scheme')} "
         f"WHEN NOT x.valid THEN '{MALFORMED_URL}' END"
     )
     finish = (
@@ -268,9 +279,8 @@ def scope_reason(normalized: str, host: str, hostnames: str, policy: CrawlPolicy
     """SQL for why a URL is out of scope, null when it is in scope. The first reason wins."""
     tail = bind("deny", denylist_match("route", policy.denylist_patterns), bind(
         "category", route_category("route", policy.route_categories),
-        """CASE WHEN deny IS NOT NULL THEN concat('matches denylisted path pattern "', deny, '"')
-           WHEN category IS NOT NULL THEN concat('matches excluded route category "', category, '"') END"""))
+        f"CASE WHEN deny IS NOT NULL THEN {_around(DENYLISTED_PATH, 'deny')} WHEN category IS NOT NULL THEN {_around(EXCLUDED_ROUTE, 'category')} END"))
     tail = bind("route", f"regexp_extract({normalized}, '^[a-z]+://[^/?#]*([^#]*)', 1)", tail)
-    return f"""CASE WHEN {is_domain_disabled(host, policy.disabled_domains)} THEN concat('domain "', {host}, '" is disabled by crawl policy')
-        WHEN NOT {host_in_scope(host, hostnames)} THEN concat('hostname "', {host}, '" is not a registered hostname for this portal')
-        WHEN NOT {normalized} RLIKE '^https?://' THEN 'malformed URL' ELSE {tail} END"""
+    return f"""CASE WHEN {is_domain_disabled(host, policy.disabled_domains)} THEN {_around(DISABLED_DOMAIN, host)}
+        WHEN NOT {host_in_scope(host, hostnames)} THEN {_around(FOREIGN_HOST, host)}
+        WHEN NOT {normalized} RLIKE '^https?://' THEN '{UNUSABLE_URL}' ELSE {tail} END"""

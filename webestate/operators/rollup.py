@@ -11,6 +11,13 @@ from webestate.functions.checks import ACTION_ORDER, ACTIONS, HEALTH, SEVERITY,
 UNAVAILABILITY_RULES = ("availability.unavailable.v1", "availability.not-found.v1", "availability.server-error.v1")
 NOT_ASSESSABLE_RULES = ("availability.automation-blocked.v1", "availability.access-restricted.v1")
 
+# Wording of the coverage note.
+NO_PAGES_NOTE = "No pages were attempted for this portal in the referenced crawl run."
+COVERAGE_NOTE = (
+    " of ", " attempted page check(s) returned a response; ", " link(s) checked",
+    "; browser rendering fallback was used for at least one page",
+)
+
 
 def health_column() -> Column:
     """Health of a group of findings, by precedence. An aggregate expression."""
@@ -58,13 +65,10 @@ def crawl_coverage(pages: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def with_coverage_note(coverage: DataFrame) -> DataFrame:
-    note = F.when(
-        F.col("pages_attempted") == 0, "No pages were attempted for this portal in the referenced crawl run."
-    ).otherwise(F.concat(
-        F.col("pages_observed"), F.lit(" of "), F.col("pages_attempted"), F.lit(" attempted page check(s) returned a response; "),
-        F.col("links_checked"), F.lit(" link(s) checked"),
-        F.when(F.col("browser_fallback_used"), "; browser rendering fallback was used for at least one page").otherwise(""), F.lit("."),
-    ))
+    observed, attempted, checked, browser = COVERAGE_NOTE
+    note = F.when(F.col("pages_attempted") == 0, NO_PAGES_NOTE).otherwise(F.concat(
+        F.col("pages_observed"), F.lit(observed), F.col("pages_attempted"), F.lit(attempted), F.col("links_checked"), F.lit(checked),
+        F.when(F.col("browser_fallback_used"), browser).otherwise(""), F.lit(".")))
     return coverage.withColumn("coverage_note", note)
 
 

@@ -10,6 +10,7 @@ from webestate.functions.urls import host_of
 from webestate.operators.rules.base import (
     ENTRY_GROUPS, Rule, RuleContext, draft, effective_attempts, emit, findings_from, int_param, quoted, register_rule,
 )
+from webestate.operators.rules.wording import SUMMARIES, TITLES
 
 REPEAT = "suggestion.repeatedly-unavailable.v1"
 BY_HAND = "suggestion.manual-verification.v1"
@@ -48,8 +49,8 @@ def unavailable(ctx: RuleContext, parameters: dict, prior: str) -> str:
     count = effective_attempts("failed")
     return emit(f"{count} >= {int_param(parameters, 'spacedAttempts', 3)}", entry_draft(
         "availability.unavailable.v1", "availability", "failed", REPEAT, "http_response_snapshot",
-        title="'Portal entry point unavailable'",
-        summary=text("Unavailable during {count} checks on {failed_dates}.", count=count),
+        title=quoted(TITLES["unavailable"]),
+        summary=text(SUMMARIES["unavailable"], count=count),
         severity="'critical'", confidence="'high'", check_status="'fail'", limitations=ONE_RUN,
         evidence_description=text("The entry page at {canonical_url} failed to load on {failed_n} attempt(s)."),
     ))
@@ -60,8 +61,8 @@ def server_error(ctx: RuleContext, parameters: dict, prior: str) -> str:
     sustained = f"{count} > {least}"
     return emit(f"{count} >= {least}", entry_draft(
         "availability.server-error.v1", "availability", "server", REPEAT, "http_response_snapshot",
-        title=f"if({sustained}, 'Sustained server errors on entry point', 'Repeated server errors on entry point')",
-        summary=text("The entry page returned a server error (5xx) on {count} of {entries} check(s) ({server_dates}).", count=count),
+        title=f"if({sustained}, {quoted(TITLES['server_error_sustained'])}, {quoted(TITLES['server_error'])})",
+        summary=text(SUMMARIES["server_error"], count=count),
         severity=f"if({sustained}, 'critical', 'significant')",
         confidence="'high'", check_status="'fail'", limitations=ONE_RUN,
         evidence_description=text("The entry page at {canonical_url} returned a server error on {server_n} attempt(s)."),
@@ -72,8 +73,8 @@ def not_found(ctx: RuleContext, parameters: dict, prior: str) -> str:
     count = effective_attempts("missing")
     return emit(f"{count} >= {int_param(parameters, 'minRepeatedOccurrences', 2)}", entry_draft(
         "availability.not-found.v1", "availability", "missing", REPEAT, "http_response_snapshot",
-        title="'Entry URL not found'",
-        summary=text("The official entry URL returned {missing_first.http_status} on {count} of {entries} check(s) ({missing_dates}).", count=count),
+        title=quoted(TITLES["not_found"]),
+        summary=text(SUMMARIES["not_found"], count=count),
         severity="'critical'", confidence="'high'", check_status="'fail'", limitations=ONE_RUN,
         evidence_description=text("The entry page at {canonical_url} returned {missing_first.http_status} on {count} attempt(s).", count=count),
     ))
@@ -82,8 +83,8 @@ def not_found(ctx: RuleContext, parameters: dict, prior: str) -> str:
 def automation_blocked(ctx: RuleContext, parameters: dict, prior: str) -> str:
     return emit("blocked_n > 0", entry_draft(
         "availability.automation-blocked.v1", "availability", "blocked", BY_HAND, "http_response_snapshot",
-        title="'Automated check was blocked'",
-        summary=text("The automated crawler was blocked (bot-block or CAPTCHA) while checking {canonical_url}; this is not evidence the page is broken for a human visitor."),
+        title=quoted(TITLES["blocked"]),
+        summary=text(SUMMARIES["blocked"]),
         severity="'advisory'", confidence="'low'", check_status="'not_assessable'", review_status="'not_assessable'",
         limitations="array('A blocked automated check says nothing about human visitors; check by hand.')",
         evidence_description=text("The automated check of {canonical_url} was blocked."),
@@ -94,8 +95,8 @@ def access_restricted(ctx: RuleContext, parameters: dict, prior: str) -> str:
     shown = "coalesce(CAST(restricted_first.http_status AS string), restricted_first.error_code)"
     return emit("restricted_n > 0", entry_draft(
         "availability.access-restricted.v1", "availability", "restricted", BY_HAND, "http_response_snapshot",
-        title="'Entry page requires authentication or restricts access'",
-        summary=text("The entry page returned {shown} while checking {canonical_url}; this may reflect a legitimate access restriction rather than a broken page.", shown=shown),
+        title=quoted(TITLES["restricted"]),
+        summary=text(SUMMARIES["restricted"], shown=shown),
         severity="'advisory'", confidence="'low'", check_status="'not_assessable'",
         limitations="array('Whether the restriction is intended needs a person to confirm.')",
         evidence_description=text("{canonical_url} returned {shown}, an access-restriction response.", shown=shown),
@@ -105,8 +106,8 @@ def access_restricted(ctx: RuleContext, parameters: dict, prior: str) -> str:
 def certificate_failure(ctx: RuleContext, parameters: dict, prior: str) -> str:
     return emit("tls_n > 0", entry_draft(
         "https.certificate-failure.v1", "https", "tls", "suggestion.certificate-failure.v1", "certificate_detail",
-        title="if(tls_first.error_code = 'TLS_CERT_EXPIRED', 'Certificate expired', 'Certificate hostname mismatch')",
-        summary=text("Accessing {canonical_url} produced a certificate error ({tls_first.error_code}) as observed by the client."),
+        title=f"if(tls_first.error_code = 'TLS_CERT_EXPIRED', {quoted(TITLES['certificate_expired'])}, {quoted(TITLES['certificate_mismatch'])})",
+        summary=text(SUMMARIES["certificate"]),
         severity="'significant'", confidence="'high'", check_status="'fail'",
         limitations="array('Seen in an ordinary page request, not in a certificate scan.')",
         evidence_description=text("{canonical_url} produced a certificate error: {tls_first.error_code}."),
@@ -117,8 +118,8 @@ def no_freshness_signal(ctx: RuleContext, parameters: dict, prior: str) -> str:
     # Only the first clean check counts, so the span is one instant.
     finding = entry_draft(
         "freshness.no-signal.v1", "freshness", "clean", "suggestion.potential-staleness.v1", "text_excerpt",
-        title="'No freshness signal detected'",
-        summary="'No recent update signal was detected in the sampled pages.'",
+        title=quoted(TITLES["no_freshness"]),
+        summary=quoted(SUMMARIES["no_freshness"]),
         severity="'advisory'", confidence="'low'", check_status="'not_applicable'",
         limitations="array('Page metadata only; dates in the text were not read.')",
         evidence_description=text("No freshness signal was extracted for {canonical_url}."),
@@ -128,15 +129,13 @@ def no_freshness_signal(ctx: RuleContext, parameters: dict, prior: str) -> str:
 
 def coverage_summary(ctx: RuleContext, parameters: dict, prior: str) -> str:
     full = f"(pages_observed >= {ctx.max_pages} OR budget_cut)"
-    note = f"""concat_ws(' ',
-        {text('{pages_observed} page(s) observed (configured maximum: ' + str(ctx.max_pages) + ').')},
-        if({full}, 'The per-portal page budget was reached; deeper coverage was not attempted.', NULL),
-        if(depth_reached, 'The configured maximum crawl depth ({ctx.max_depth}) was reached.', NULL),
-        if(robots_skips > 0, {text('{robots_skips} URL(s) were not fetched because robots.txt disallowed them.')}, NULL),
-        if(skipped > 0, {text('{skipped} URL(s) in total were not fetched this run (see evidence for reasons).')}, NULL))"""
+    limits = {"max_pages": f"'{ctx.max_pages}'", "max_depth": f"'{ctx.max_depth}'"}
+    said = {k: text(SUMMARIES[f"coverage_{k}"], **limits) for k in ("pages", "budget", "depth", "robots", "skips")}
+    note = f"""concat_ws(' ', {said['pages']}, if({full}, {said['budget']}, NULL), if(depth_reached, {said['depth']}, NULL),
+        if(robots_skips > 0, {said['robots']}, NULL), if(skipped > 0, {said['skips']}, NULL))"""
     return emit("covered", draft(
         "crawl_coverage.summary.v1", "crawl_coverage", "suggestion.no-action.v1",
-        title="'Crawl coverage summary'", summary=note, severity="'advisory'", confidence="'high'",
+        title=quoted(TITLES["coverage"]), summary=note, severity="'advisory'", confidence="'high'",
         check_status=f"if({full} OR depth_reached OR robots_skips > 0, 'warning', 'not_applicable')",
         review_status="'automated_observation'",
         first_observed_at=f"coalesce(first_checked, {ctx.now})", last_observed_at=f"coalesce(last_checked, {ctx.now})",
@@ -165,8 +164,8 @@ def cross_domain(ctx: RuleContext, parameters: dict) -> DataFrame:
     )
     return findings_from(rows, per_row(
         "redirect.cross-domain.v1", "availability", "suggestion.directory-mismatch.v1", "redirect_chain",
-        title=quoted("Redirect leaves the portal's registered hosts"),
-        summary=text("The entry URL {requested_url} finally resolved to {target}, outside the portal's registered hostnames."),
+        title=quoted(TITLES["cross_domain"]),
+        summary=text(SUMMARIES["cross_domain"]),
         affected_urls="array(requested_url, target)",
         limitations="array('A redirect to another domain can be a planned move; review by hand.')",
         evidence_description=text("Requesting {requested_url} redirected to {target}."),
@@ -180,8 +179,8 @@ def no_tls_upgrade(ctx: RuleContext, parameters: dict) -> DataFrame:
     )
     return findings_from(rows, per_row(
         "https.no-tls-upgrade.v1", "https", "suggestion.certificate-failure.v1", "http_response_snapshot",
-        title="'Entry page is not served over HTTPS'",
-        summary=text("The final destination for {requested_url} ({target}) does not use HTTPS."),
+        title=quoted(TITLES["no_tls"]),
+        summary=text(SUMMARIES["no_tls"]),
         affected_urls="array(target)", limitations="array('Only the scheme of the final destination was looked at.')",
         evidence_description=text("{requested_url} was served at {target}."),
         evidence_content="to_json(struct(requested_url, final_url, http_status))",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from webestate.functions.text import name_tokens, names_disagree
 from webestate.operators.rules.availability import text
 from webestate.operators.rules.base import Rule, RuleContext, draft, emit, quoted, register_rule
+from webestate.operators.rules.wording import SUMMARIES, TITLES
 
 MISMATCH = "suggestion.directory-mismatch.v1"
 DIRECTORIES = "filter(sources, s -> s.source_type = 'official_directory')"
@@ -25,8 +26,8 @@ def unavailable_destination(ctx: RuleContext, parameters: dict, prior: str) -> s
     critical = f"transform(filter({prior}, f -> f.category = 'availability' AND f.severity = 'critical'), f -> f.rule_id)"
     finding = listing(
         "directory_mismatch.unavailable-destination.v1", subject="s.source_id",
-        title="'Directory entry points to an unavailable destination'",
-        summary=text("The official directory linked to a destination that returned an availability failure ({rules}).", rules=f"array_join({critical}, ', ')"),
+        title=quoted(TITLES["directory_unavailable"]),
+        summary=text(SUMMARIES["directory_unavailable"], rules=f"array_join({critical}, ', ')"),
         confidence="'medium'", check_status="'fail'", first_observed_at="s.retrieved_at", last_observed_at=ctx.now,
         affected_urls="array(s.source_url, canonical_url)", evidence_source_url="s.source_url",
         limitations=f"array({quoted('Built on the availability findings of this run; the listing was not fetched again.')})",
@@ -48,19 +49,16 @@ def listed_vs_observed(ctx: RuleContext, parameters: dict, prior: str) -> str:
     listed, own, seen = host("s.source_url"), host("canonical_url"), host("first_final_url")
     a, b = tokens("s.source_name"), tokens("name")
     # Reasons in order name, host, redirect.
-    name_reason = text(
-        'the directory\'s listed name "{s.source_name}" shares no significant word with the portal\'s recorded name "{name}"')
-    host_reason = text(
-        "the directory's listed URL host ({listed}) differs from the portal's canonical URL host ({own})", listed=listed, own=own)
-    seen_reason = text(
-        "the directory's listed URL host ({listed}) differs from where the portal's entry page was ultimately observed ({seen})", listed=listed, seen=seen)
+    name_reason = text(SUMMARIES["directory_name"])
+    host_reason = text(SUMMARIES["directory_host"], listed=listed, own=own)
+    seen_reason = text(SUMMARIES["directory_seen"], listed=listed, seen=seen)
     reasons = f"""array_compact(array(
         if(size({a}) > 0 AND size({b}) > 0 AND NOT arrays_overlap({a}, {b}), {name_reason}, NULL),
         if({listed} <> {own}, {host_reason}, NULL), if({seen} <> {listed}, {seen_reason}, NULL)))"""
     finding = listing(
         "directory_mismatch.listed-vs-observed.v1", subject="j.s.source_id",
-        title="'Directory listing disagrees with observed destination'",
-        summary=text("The official directory listing for this portal disagrees with what was observed: {why}.", why="array_join(j.reasons, '; ')"),
+        title=quoted(TITLES["directory_disagrees"]),
+        summary=text(SUMMARIES["directory_disagrees"], why="array_join(j.reasons, '; ')"),
         confidence="'low'", check_status="'warning'", first_observed_at="j.s.retrieved_at", last_observed_at=ctx.now,
         affected_urls="array(j.s.source_url, canonical_url)", evidence_source_url="j.s.source_url",
         limitations="array('Names are compared by shared words only; confirm by hand.')",
@@ -74,8 +72,8 @@ def listed_vs_observed(ctx: RuleContext, parameters: dict, prior: str) -> str:
 def official_not_listed(ctx: RuleContext, parameters: dict, prior: str) -> str:
     return emit(f"official_status = 'verified' AND size(sources) > 0 AND size({DIRECTORIES}) = 0", listing(
         "directory_mismatch.official-portal-not-listed.v1",
-        title="'Verified portal absent from official directory'",
-        summary=text("{name} is a verified official portal but is not backed by any official_directory-typed source in this inventory."),
+        title=quoted(TITLES["directory_absent"]),
+        summary=text(SUMMARIES["directory_absent"]),
         confidence="'medium'", check_status="'warning'", first_observed_at=ctx.now, last_observed_at=ctx.now,
         affected_urls="array(canonical_url)", evidence_source_url="canonical_url",
         limitations="array('Only the sources attached to this portal were looked at.')",

@@ -9,7 +9,8 @@ from webestate.functions.checks import VERIFYING_SOURCE_TYPES
 from webestate.operators.rules.availability import (
     certificate_failure, coverage_summary, no_freshness_signal, no_tls_upgrade, text,
 )
-from webestate.operators.rules.base import Rule, RuleContext, draft, findings_from, register_rule
+from webestate.operators.rules.base import Rule, RuleContext, draft, findings_from, quoted, register_rule
+from webestate.operators.rules.wording import SUMMARIES, TITLES
 
 FAILURE_STATUSES = ("fail", "not_assessable")
 
@@ -45,8 +46,8 @@ def broken_links(ctx: RuleContext, parameters: dict) -> DataFrame:
     suggestion = "if(official, 'suggestion.official-link-dead.v1', 'suggestion.broken-navigation.v1')"
     return findings_from(groups, draft(
         "broken_link.repeated-failure.v1", "broken_link", suggestion, "repair",
-        subject="destination", title="'Broken link destination'",
-        summary=text("The destination {destination} failed from {source_pages} source page(s) on this portal ({codes}).", codes="array_join(codes, ', ')"),
+        subject="destination", title=quoted(TITLES["broken_link"]),
+        summary=text(SUMMARIES["broken_link"], codes="array_join(codes, ', ')"),
         severity="CASE WHEN official THEN 'critical' WHEN source_pages >= 3 THEN 'significant' ELSE 'advisory' END",
         confidence="if(retried, 'high', 'medium')", check_status="'fail'",
         first_observed_at="first_checked", last_observed_at="last_checked", affected_urls="array(CAST(destination AS string))",
