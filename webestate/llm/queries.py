@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webestate.llm import lines, twins
+from webestate.llm import lines, mixing, twins
 from webestate.llm.common import read
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digest(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_source_mixing": op6_source_mixing,
     "op9_line_dedup": op9_line_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op6_source_mixing": twins.SOURCE_MIXING,
     "op9_line_dedup": twins.LINE_DEDUP,
 }

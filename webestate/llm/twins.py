@@ -17,3 +17,34 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+SOURCE_MIXING = r"""
+WITH sized AS (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), sources AS (
+    SELECT source, sum(size)::BIGINT AS source_size, [1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight,
+        row_number() OVER (ORDER BY source NULLS LAST) AS place
+    FROM sized GROUP BY source
+), levels AS (
+    SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0))::DOUBLE
+        / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::DOUBLE AS level
+    FROM sources
+    WINDOW before AS (ORDER BY 3 * source_size::DOUBLE / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+    SELECT source, source_size, least(3 * source_size::DOUBLE, max(level) OVER () * weight) AS target FROM levels
+), classed AS (
+    SELECT *, length(bin(size)) AS bits FROM sized
+), ranked AS (
+    SELECT doc_id, source, size, row_number() OVER (PARTITION BY source
+        ORDER BY bits * 32 + ((size << 4) >> (bits - 1)), ((doc_id % 1021) + 1021) % 1021, size, doc_id) AS nth
+    FROM classed
+), stepped AS (
+    SELECT doc_id, size, source_size, target, nth,
+        CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0.0 END AS rate,
+        ('0x' || substr(md5('mix' || coalesce(ranked.source, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS start
+    FROM ranked JOIN targets ON ranked.source IS NOT DISTINCT FROM targets.source
+)
+SELECT doc_id, size, source_size, target,
+    (least(3, floor(rate * nth + start) - floor(rate * (nth - 1) + start)) * size)::BIGINT AS taken
+FROM stepped
+"""
