@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from webestate.llm import langid, lines, mixing, twins
+from webestate.llm import langid, lines, mixing, twins, urlfilter
 from webestate.llm.common import read
 
 
@@ -14,6 +15,19 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_digest(read(spark, sf_dir, "documents"))
 
 
+#: The rules that op3 applies: host, path prefix, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+#: Host labels of unwanted sites; op3 lists the canonical URLs of their pages.
+UNWANTED = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    bad = F.arrays_overlap(F.split(urlfilter.url_host(F.col("url")), r"\."), F.array(*[F.lit(x) for x in UNWANTED]))
+    listed = pages.where(bad).select(urlfilter.canonical(F.col("url")).alias("canon"))
+    return urlfilter.judge_pages(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"), listed)
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -24,10 +38,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op3_url_filter": op3_url_filter,
     "op6_source_mixing": op6_source_mixing,
     "op9_line_dedup": op9_line_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op3_url_filter": twins.URL_FILTER,
     "op6_source_mixing": twins.SOURCE_MIXING,
     "op9_line_dedup": twins.LINE_DEDUP,
 }

@@ -48,3 +48,28 @@ SELECT doc_id, size, source_size, target,
     (least(3, floor(rate * nth + start) - floor(rate * (nth - 1) + start)) * size)::BIGINT AS taken
 FROM stepped
 """
+
+URL_FILTER = r"""
+WITH parsed AS (
+    SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
+), cut AS (
+    SELECT page_id, rest, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+        array_to_string(list_filter(string_split(coalesce(regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1), ''), '&'), lambda x: NOT starts_with(x, 'utm_')), '&') AS fields
+    FROM parsed
+), urls AS (
+    SELECT page_id, host, path, CASE WHEN rest IS NOT NULL THEN host || regexp_replace(path, '/$', '') || CASE WHEN fields <> '' THEN '?' || fields ELSE '' END END AS canon FROM cut
+), listed AS (
+    SELECT DISTINCT canon FROM urls
+    WHERE canon IS NOT NULL AND list_has_any(string_split(host, '.'), ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm'])
+), rules(r_host, r_path, r_verdict) AS (
+    VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), best AS (
+    SELECT host, path, arg_max(r_host || r_path, length(r_host || r_path)) AS rule, arg_max(r_verdict, length(r_host || r_path)) AS r_verdict
+    FROM (SELECT DISTINCT host, path FROM urls) JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+    GROUP BY host, path
+)
+SELECT page_id, host, path, rule, coalesce(r_verdict, CASE WHEN listed.canon IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+    listed.canon IS NOT NULL AS listed
+FROM urls LEFT JOIN listed USING (canon) LEFT JOIN best USING (host, path)
+"""
