@@ -47,10 +47,10 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, salts:
             .repartitionByRange("h1", "h2", "salt"))
     stream = Window.partitionBy("h1", "h2", "salt").orderBy(F.col("doc_id").desc_nulls_last(), "mark", "pos")
     first = (F.row_number().over(stream) == 1) | ~F.lag("doc_id").over(stream).eqNullSafe(F.col("doc_id"))
-    frequent = (rows.select("h1", "h2", "doc_id", first.alias("first")).where("first")
-                .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("holders"), F.max("doc_id").alias("keeper"))
-                .where(F.col("holders") >= min_docs).select("h1", "h2", "keeper"))
-    gone = rows.join(frequent, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    frequent = (rows.select("h1", "h2", "salt", "doc_id", first.alias("first")).where("first")
+                .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("holders"), F.max("doc_id").alias("keeper"), F.collect_set("salt").alias("salts"))
+                .where(F.col("holders") >= min_docs).select("h1", "h2", "keeper", F.explode("salts").alias("salt")))
+    gone = rows.join(frequent, ["h1", "h2", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     words = (gone.groupBy("doc_id", "mark", F.shiftright("pos", 6).alias("word"))
              .agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits")))
     return (words.groupBy("doc_id", "mark")
