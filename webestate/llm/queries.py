@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webestate.llm import langid, lines, mixing, twins, urlfilter
+from webestate.llm import decontam, langid, lines, mixing, twins, urlfilter
 from webestate.llm.common import read
 
 
@@ -36,11 +36,16 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digest(read(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination_digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_url_filter": op3_url_filter,
     "op6_source_mixing": op6_source_mixing,
     "op9_line_dedup": op9_line_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {
     "op3_url_filter": twins.URL_FILTER,
