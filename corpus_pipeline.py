@@ -1,19 +1,50 @@
-"""The corpus pipeline: a list of named stages, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: a list of named stages, each written as Parquet and read again as the next one's documents.
+
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webestate.llm import lines
+from webestate.llm import decontam, langid, lines, mixing, near
 from webestate.llm.common import read
 from webestate.session import materialise
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled rows of ``docs`` teach."""
+    return langid.keep_known(docs)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that at least five documents share stay in one of them."""
     return lines.dedup_lines(docs)
 
 
-STAGES = [("line_dedup", line_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontam.clean_documents(docs, read(spark, sf_dir, "benchmark"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture: each row as often as it is taken."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("source_mixing", source_mixing),
+]
+#: Language models and sketches are beyond SQL; tests compare the stages with brute force instead.
 ORACLE_SQL = None
 
 
