@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webestate.llm import decontam, langid, lines, mixing, near, twins, urlfilter
+from webestate.llm import decontam, langid, lines, mixing, near, passages, twins, urlfilter
 from webestate.llm.common import read
 
 
@@ -28,6 +28,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_pages(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"), listed)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passage_digest(read(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -47,6 +51,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_url_filter": op3_url_filter,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op7_near_dedup": op7_near_dedup,
     "op9_line_dedup": op9_line_dedup,
