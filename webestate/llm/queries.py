@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webestate.llm import decontam, langid, lines, mixing, near, passages, twins, urlfilter
+from webestate.llm import decontam, langid, lines, mixing, near, passages, twins, urlfilter, vectors
 from webestate.llm.common import read
 
 
@@ -40,6 +40,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_digest(read(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vector_links(read(spark, sf_dir, "embeddings"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digest(read(spark, sf_dir, "documents"))
 
@@ -54,11 +58,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op7_near_dedup": op7_near_dedup,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {
     "op3_url_filter": twins.URL_FILTER,
     "op6_source_mixing": twins.SOURCE_MIXING,
+    "op8_embedding_dedup": twins.EMBEDDING_DEDUP,
     "op9_line_dedup": twins.LINE_DEDUP,
 }

@@ -73,3 +73,19 @@ SELECT page_id, host, path, rule, coalesce(r_verdict, CASE WHEN listed.canon IS
     listed.canon IS NOT NULL AS listed
 FROM urls LEFT JOIN listed USING (canon) LEFT JOIN best USING (host, path)
 """
+
+EMBEDDING_DEDUP = r"""
+WITH RECURSIVE usable AS (
+    SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+    ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.9
+), reach(id, root) AS (
+    SELECT vec_id, vec_id FROM embeddings UNION SELECT b, root FROM reach JOIN links ON id = a
+), rooted AS (
+    SELECT id, min(root) AS component_id FROM reach GROUP BY id
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN rooted ON id = vec_id
+"""
