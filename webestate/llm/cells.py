@@ -47,26 +47,30 @@ def ask(step: int, cell: int, hashes: np.ndarray, extras: list[np.ndarray], rang
 
 
 def answer(asks: DataFrame, decide: Callable[[np.ndarray, np.ndarray, list[bytes]], np.ndarray]) -> DataFrame:
-    """One bit for every hash asked. ``decide(hashes, cell index, extras)`` sees one hash range of all cells."""
+    """One or more bits for every hash asked. ``decide(hashes, cell index, extras)`` sees one hash range of all cells, in order of cells."""
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("cell")
         lists = [np.frombuffer(x, dtype=np.uint64) for x in table.column("hashes").to_pylist()]
         sizes = [len(x) for x in lists]
         bits = decide(np.concatenate(lists), np.repeat(np.arange(len(lists)), sizes), table.column("extra").to_pylist())
-        packed = [np.packbits(x).tobytes() for x in np.split(bits, np.cumsum(sizes)[:-1])]
+        packed = [np.packbits(x.ravel()).tobytes() for x in np.split(bits, np.cumsum(sizes)[:-1])]
         return pa.Table.from_arrays([table.column("step").cast(pa.int32()), table.column("cell"), table.column("range"), pa.array(packed, pa.binary()), pa.array(sizes, pa.int32())],
                                     names=["step", "cell", "range", "bits", "n"])
 
     return asks.groupBy("range").applyInArrow(run, REPLIES)
 
 
-def bits_of(replies: pa.Table, step: int, n: int) -> np.ndarray:
-    """The bits of one step in the order of the list that was asked."""
-    rows = sorted((r["range"], r["bits"], r["n"]) for r in replies.select(["step", "range", "bits", "n"]).to_pylist() if r["step"] == step)
-    parts = [np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=k).astype(bool) for _, b, k in rows]
-    found = np.concatenate(parts) if parts else np.zeros(0, dtype=bool)
-    if len(found) != n:
-        raise ValueError(f"{n} hashes asked, {len(found)} answered")
-    return found
+def bits_of(replies: pa.Table, step: int, n: int, width: int = 1) -> np.ndarray:
+    """The bits of one step in the order of the list that was asked; several answers about one range are joined by or."""
+    by_range: dict[int, np.ndarray] = {}
+    for r in replies.select(["step", "range", "bits", "n"]).to_pylist():
+        if r["step"] == step:
+            bits = np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8), count=r["n"] * width).astype(bool)
+            by_range[r["range"]] = bits | by_range[r["range"]] if r["range"] in by_range else bits
+    found = np.concatenate([by_range[r] for r in sorted(by_range)]) if by_range else np.zeros(0, dtype=bool)
+    if len(found) != n * width:
+        raise ValueError(f"{n} hashes asked, {len(found) // width} answered")
+    return found if width == 1 else found.reshape(n, width)
 
 
 def distinct(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webestate.llm import decontam, langid, lines, mixing, near, passages, twins, urlfilter, vectors
+from webestate.llm import decontam, langid, lines, mixing, near, passages, suffixes, twins, urlfilter, vectors
 from webestate.llm.common import read
 
 
@@ -32,6 +32,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.passage_digest(read(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.suffix_digest(read(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_url_filter": op3_url_filter,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op7_near_dedup": op7_near_dedup,
     "op8_embedding_dedup": op8_embedding_dedup,
