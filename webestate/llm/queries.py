@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webestate.llm import decontam, langid, lines, mixing, near, passages, suffixes, twins, urlfilter, vectors
+from webestate.llm import decontam, langid, lines, mixing, near, passages, secrets, suffixes, twins, urlfilter, vectors
 from webestate.llm.common import read
 
 
+#: Formats that label a finding as a secret: an access key id, or a hexadecimal value assigned to a credential word.
+KEY_ID, ASSIGNED, HEX = r"^AKIA[0-9A-Z]{16}$", r"(?i)(token|password|secret)\s*=\s*[\"']?$", r"^[0-9a-f]{16,}$"
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with the forest's verdict; labels come from formats, in documents that are not held out."""
+    known = F.col("candidate").rlike(KEY_ID) | (F.col("before").rlike(ASSIGNED) & F.col("candidate").rlike(HEX))
+    found = secrets.scan(read(spark, sf_dir, "documents"), known, ~langid.held_out(F.col("doc_id")))
+    return found.select("doc_id", "nth", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").alias("n_chars"),
+                        langid.held_out(F.col("doc_id")).alias("held_out"), "probability", "secret")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_digest(read(spark, sf_dir, "documents"))
 
@@ -57,6 +69,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
     "op3_url_filter": op3_url_filter,
     "op4_substring_dedup": op4_substring_dedup,
