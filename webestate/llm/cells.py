@@ -24,9 +24,9 @@ REPLIES = "step int, cell bigint, range int, bits binary, n int"
 
 
 def cells(docs: DataFrame) -> tuple[DataFrame, int]:
-    """``doc_id, text, cell`` and the number of cells, four for each shuffle partition of the session."""
-    n = 4 * partitions(docs.sparkSession)
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(n)).alias("cell")), n
+    """``doc_id, text, cell`` and the number of hash ranges: four cells and one range for each shuffle partition of the session."""
+    n = partitions(docs.sparkSession)
+    return docs.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(4 * n)).alias("cell")), n
 
 
 def cut(hashes: np.ndarray, ranges: int) -> np.ndarray:
