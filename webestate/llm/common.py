@@ -23,5 +23,6 @@ def wide_hash(*cols: Column | str) -> list[Column]:
     return [F.xxhash64(F.lit(17), *cols), F.xxhash64(F.lit(91), *cols)]
 
 
-def same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
+def wrapped(docs: DataFrame, *names: str) -> DataFrame:
+    """Whole rows as ``_row`` beside the columns ``names``, so that no other column of ``docs`` can clash with one that an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *names)

@@ -103,6 +103,15 @@ def _finder(items: tuple[tuple[int, str], ...], share: float) -> Finder:
     return Finder(items, share)
 
 
+def _scan(items: tuple[tuple[int, str], ...], share: float):
+    @F.pandas_udf(HIT)
+    def scan(texts: pd.Series) -> pd.Series:
+        finder = _finder(items, share)
+        return pd.Series([finder.hits(t) for t in texts], dtype=object)
+
+    return scan
+
+
 def benchmark_hits(docs: DataFrame, items: DataFrame, share: float = 0.08, shard_chars: int = 4_000_000) -> Column:
     """A column over ``docs.text``: the items found, with their distance. ``items`` has ``item_id`` and ``text``."""
     items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where(F.col("text").isNotNull())
@@ -113,12 +122,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, share: float = 0.08, shard
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).collect()
         known = tuple(sorted({(r["item_id"], t) for r in part if (t := normal(r["text"]))}, key=str))
 
-        @F.pandas_udf(HIT)
-        def scan(texts: pd.Series, known=known) -> pd.Series:
-            finder = _finder(known, share)
-            return pd.Series([finder.hits(t) for t in texts], dtype=object)
-
-        columns.append(scan(F.col("text")))
+        columns.append(_scan(known, share)(F.col("text")))
     return columns[0] if len(columns) == 1 else F.concat(*columns)
 
 

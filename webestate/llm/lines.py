@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webestate.llm.common import wide_hash
+from webestate.llm.common import wide_hash, wrapped
 
 #: ASCII white space that is stripped from both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -59,7 +59,7 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, salts:
 
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with ``_kept`` (text without the dropped lines), ``_lines`` and ``_gone`` (line counts)."""
+    """``docs`` (without columns of these names) with ``_kept`` (text without the dropped lines), ``_lines`` and ``_gone`` (line counts)."""
     marks = bitmaps.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_m"), F.col("n_dropped").alias("_gone"), F.col("dropped").alias("_bits"))
     joined = docs.withColumn("_mark", text_mark(F.col("text"))).join(
         marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_m")), "left")
@@ -74,9 +74,9 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with its columns; a text that loses no line is unchanged, null included."""
-    kept = drop_lines(docs, line_bitmaps(docs, **options))
+    kept = drop_lines(wrapped(docs, "doc_id", "text"), line_bitmaps(docs, **options))
     text = F.when(F.col("_gone") > 0, F.col("_kept")).otherwise(F.col("text"))
-    return kept.withColumn("text", text).select(*docs.columns)
+    return kept.select(*[text.alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def line_digest(docs: DataFrame, **options) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webestate.llm.common import WORD
+from webestate.llm.common import WORD, wrapped
 from webestate.session import materialise
 
 BLOCKS = 1021
@@ -88,8 +88,7 @@ def mix_digest(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3
 
 def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, seed: str = "mix") -> DataFrame:
     """The mixture itself: the rows of ``docs``, each as often as it is taken. A row without words is taken by the same rule."""
-    own = docs.columns
     sized = docs.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), text_size(F.col("text")).alias("_size"))
-    rows = docs.withColumns({"_id": F.col("doc_id"), "_source": F.col("source"), "_size": text_size(F.col("text"))})
+    rows = wrapped(docs, "doc_id", "source", "text").select("_row", F.col("doc_id").alias("_id"), F.col("source").alias("_source"), text_size(F.col("text")).alias("_size"))
     taken = _ranked(rows, sized, weights, cap, seed).where(F.col("_copies") > 0)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*own)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webestate.llm.common import partitions, wide_hash
+from webestate.llm.common import partitions, wide_hash, wrapped
 from webestate.llm.graph import components
 from webestate.llm.wordhash import U, Words, chunks, mix, powers
 from webestate.session import materialise
@@ -295,4 +295,4 @@ def near_digest(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``docs`` with one document of each class, the one with the smallest id."""
     gone = near_classes(docs, threshold).where("class_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return wrapped(docs, "doc_id").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select("_row.*")
