@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webestate.llm import cells as c
-from webestate.llm.wordhash import _BYTE, U, mix, powers
+from webestate.llm.wordhash import _BYTE, U, mix, powers, slabs
 from webestate.session import materialise
 
 GRAM = 64
@@ -35,27 +35,26 @@ ARRAY = "range int, lead binary, print binary, cell binary, place binary, severa
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
-@lru_cache(maxsize=8)
-def _inverse_powers(base: int, n: int) -> np.ndarray:
-    return powers(U(pow(base, -1, 2**64)), n)
-
-
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> np.ndarray:
     return powers(U(base), n)
 
 
 class Hashed:
-    """Prefix sums of a byte string, for the hash of any part of it."""
+    """Prefix sums of the bytes of each slab, for the hash of any part of a text."""
 
-    def __init__(self, raw: np.ndarray, base: int) -> None:
-        size = 1 << max(16, (len(raw) + 1).bit_length())
-        self.sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[raw] * _powers(base, size)[: len(raw)], out=self.sums[1:])
-        self.undo = _inverse_powers(base, size)
+    def __init__(self, raw: np.ndarray, parts: list[tuple[int, int]], base: int) -> None:
+        longest = max((b - a for a, b in parts), default=0)
+        self.top = -(-(longest + 1) // (1 << 20)) << 20
+        self.power, self.parts = _powers(base, self.top + 1), np.asarray([a for a, _ in parts] or [0])
+        self.back = U(pow(base, -self.top, 2**64))
+        self.sums = np.zeros(len(raw) + len(parts), dtype=np.uint64)  # one more entry than bytes in each slab
+        for k, (a, b) in enumerate(parts):
+            np.cumsum(_BYTE[raw[a:b]] * self.power[: b - a], out=self.sums[a + k + 1:b + k + 1])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.undo[start] + (end - start).astype(np.uint64))
+        k = np.searchsorted(self.parts, start, "right") - 1
+        return mix((self.sums[end + k] - self.sums[start + k]) * self.power[self.top - (start - self.parts[k])] * self.back + (end - start).astype(np.uint64))
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -81,19 +80,9 @@ class Cell:
         coded = [(t or "").encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()]
         self.span, self.raw = span, np.frombuffer(b"".join(coded), dtype=np.uint8)
         self.bounds = np.concatenate(([0], np.cumsum([len(x) for x in coded]))).astype(np.int64)
-        self.first = Hashed(self.raw, BASES[0])
-        n, sizes = len(self.raw), np.diff(self.bounds)
-        starts = np.maximum(sizes - span + 1, 0)
-        if n < span or not starts.any():
-            self.at = np.zeros(0, dtype=np.int64)
-        else:
-            i = np.arange(n - GRAM + 1)
-            key = (self.first.of(i, i + GRAM) & U(0xFFFFFFFF00000000)) | i.astype(np.uint64)
-            least = sliding_least(key, span - GRAM + 1)
-            whole = np.zeros(n, dtype=bool)  # starts of strings inside one text
-            for a, k in zip(self.bounds[:-1].tolist(), starts.tolist(), strict=True):
-                whole[a:a + k] = True
-            self.at = np.unique((least[whole[: len(least)]] & U(0xFFFFFFFF)).astype(np.int64))
+        self.parts = slabs(self.bounds)
+        self.first = Hashed(self.raw, self.parts, BASES[0])
+        self.at = np.concatenate([self._samples(a, b) for a, b in self.parts] or [np.zeros(0, dtype=np.int64)])
         text = np.searchsorted(self.bounds, self.at, "right") - 1
         self.from_, self.to = self.bounds[text], self.bounds[text + 1]
         self.prints, self.place, count = np.unique(self.first.of(self.at, self.at + GRAM), return_inverse=True, return_counts=True)
@@ -106,9 +95,22 @@ class Cell:
 
     def second(self) -> Hashed:
         if not hasattr(self, "_second"):
-            self._second = Hashed(self.raw, BASES[1])
+            self._second = Hashed(self.raw, self.parts, BASES[1])
         return self._second
 
+    def _samples(self, a: int, b: int) -> np.ndarray:
+        """Starts kept in one slab."""
+        if b - a < self.span:
+            return np.zeros(0, dtype=np.int64)
+        i = np.arange(a, b - GRAM + 1)
+        key = (self.first.of(i, i + GRAM) & U(0xFFFFFFFF00000000)) | (i - a).astype(np.uint64)
+        least = sliding_least(key, self.span - GRAM + 1)
+        whole = np.zeros(b - a, dtype=bool)  # starts of strings inside one text
+        inside = self.bounds[(self.bounds >= a) & (self.bounds <= b)]
+        for x, y in zip(inside[:-1].tolist(), inside[1:].tolist(), strict=True):
+            whole[x - a:max(x, y - self.span + 1) - a] = True
+        return a + np.unique((least[whole[: len(least)]] & U(0xFFFFFFFF)).astype(np.int64))
+
     def contexts(self, shared: np.ndarray) -> None:
         """Distinct (fingerprint, context) of the shared suffixes: ``f, c1, c2``; ``entry`` of each shared suffix."""
         pick = shared[self.place]

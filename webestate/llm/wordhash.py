@@ -33,22 +33,41 @@ class Words:
     def __init__(self, texts: list[str | None]) -> None:
         coded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         self.data = b"\n".join(coded) + b"\n"
-        raw = np.frombuffer(self.data, dtype=np.uint8)
-        space = _SPACE[raw]
-        edge = np.flatnonzero(np.diff(np.concatenate(([True], space))))  # the data ends in a blank, so edges pair up
-        self.start, self.end = edge[0::2], edge[1::2]
         begins = np.concatenate(([0], np.cumsum([len(c) + 1 for c in coded])))
+        raw, parts = np.frombuffer(self.data, dtype=np.uint8), []
+        for a, b in slabs(begins):
+            parts.append((a, *_hashed(raw[a:b])))
+        self.start = np.concatenate([a + s for a, s, _, _ in parts]) if parts else np.zeros(0, dtype=np.int64)
+        self.end = np.concatenate([a + e for a, _, e, _ in parts]) if parts else self.start
+        self.h = np.concatenate([h for *_, h in parts]) if parts else np.zeros(0, dtype=np.uint64)
         self.first = np.searchsorted(self.start, begins)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        if len(self.start):
-            size = self.end - self.start
-            at = np.concatenate(([0], np.cumsum(size)))
-            byte = np.flatnonzero(~space)
-            inside = np.arange(at[-1]) - np.repeat(at[:-1], size)
-            terms = _BYTE[raw[byte]] * powers(_BASE, int(size.max()))[inside]
-            self.h = mix(np.add.reduceat(terms, at[:-1]) + size.astype(np.uint64))
-        else:
-            self.h = np.zeros(0, dtype=np.uint64)
+
+
+def slabs(bounds: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int]]:
+    """Runs of whole texts of about ``most`` bytes, as offsets; temporary arrays then stay small whatever the text."""
+    out, start = [], 0
+    ends = bounds[1:].tolist()
+    for i, end in enumerate(ends):
+        if end - start >= most or i == len(ends) - 1:
+            if end > start:
+                out.append((start, end))
+            start = end
+    return out
+
+
+def _hashed(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of the words in bytes that end in a blank."""
+    space = _SPACE[raw]
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], space))))
+    start, end = edge[0::2], edge[1::2]
+    if len(start) == 0:
+        return start, end, np.zeros(0, dtype=np.uint64)
+    size = end - start
+    at = np.concatenate(([0], np.cumsum(size)))
+    inside = np.arange(at[-1]) - np.repeat(at[:-1], size)
+    terms = _BYTE[raw[~space]] * powers(_BASE, int(size.max()))[inside]
+    return start, end, mix(np.add.reduceat(terms, at[:-1]) + size.astype(np.uint64))
 
 
 def chunks(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[tuple[list, list[str | None]]]:
