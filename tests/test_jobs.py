@@ -165,14 +165,46 @@ def _requests(n, keys, days, seed):
 REQUEST = "request_id bigint, key bigint, portal_id string, created_at timestamp_ntz"
 
 
-@pytest.mark.parametrize("heavy", [10**9, 40])
-def test_admission_equals_brute_force(spark, heavy):
+def test_admission_equals_brute_force(spark):
     # One key holds a third of all requests.
     rows = _requests(300, 12, 3, 1) + [(1000 + r[0], 99, r[2], r[3]) for r in _requests(150, 1, 3, 2)]
-    got = {r["request_id"]: r["accepted"] for r in ex.admit(spark.createDataFrame(rows, REQUEST), heavy_rows=heavy).collect()}
+    got = {r["request_id"]: r["accepted"] for r in ex.admit(spark.createDataFrame(rows, REQUEST)).collect()}
     assert got == _greedy(rows)
 
 
+def test_admission_of_one_dense_key_and_of_null_keys(spark):
+    rows = _requests(6000, 1, 4, 7) + [(9000 + r[0], None, r[2], r[3]) for r in _requests(60, 1, 3, 8)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        got = {r["request_id"]: r["accepted"] for r in ex.admit(spark.createDataFrame(rows, REQUEST)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == _greedy(rows) and ex.admit(spark.createDataFrame([], REQUEST)).collect() == []
+
+
+def test_inventory_orders(spark):
+    rows = [(1, "beta", "healthy", 0, 0, 1, "2024-01-02"), (2, "Alpha", "degraded", 0, 1, 0, "2024-01-03"), (3, "alpha", "unavailable", 2, 0, 0, "2024-01-01"), (4, "Éa", "not_assessable", 0, 0, 0, "2024-01-02")]
+    df = spark.createDataFrame(rows, "portal_id int, name string, technical_health string, critical_count int, significant_count int, advisory_count int, last_checked_at string")
+    order = {k: [r["portal_id"] for r in publish.sort_inventory(df, k).collect()] for k in ("name", "health", "severity", "lastChecked")}
+    assert order == {"name": [3, 2, 1, 4], "health": [3, 2, 4, 1], "severity": [3, 2, 1, 4], "lastChecked": [2, 1, 4, 3]}
+
+
+def test_last_decision_about_a_report_counts(spark):
+    m = spark.createDataFrame([(1, "pending", None, None, None), (2, "pending", None, None, None)], "submission_id int, status string, moderated_at timestamp_ntz, reason_code string, public_text string")
+    s = spark.createDataFrame([(1, "own"), (2, "own")], "submission_id int, free_text string")
+    batch = spark.createDataFrame([(1, "rejected", "spam", None, 5), (1, "approved", None, None, 9), (1, "needs_redaction", None, None, 10), (7, "approved", None, None, 1)],
+                                  "submission_id int, decision string, reason_code string, public_text string, decided_at int")
+    after, refused = ex.apply_decisions(m, s, batch, "2024-01-01 00:00:00")
+    assert sorted((r["submission_id"], r["status"], r["public_text"]) for r in after.collect()) == [(1, "approved", "own"), (2, "pending", None)]
+    assert sorted(r["submission_id"] for r in refused.collect()) == [1, 7]
+
+
+def test_run_ids_stay_text(spark, tmp_path):
+    df = spark.createDataFrame([(1,)], "portal_id int")
+    snapshots.write_snapshot({"portals": df}, str(tmp_path), "007")
+    assert [tuple(r) for r in snapshots.read_current(spark, str(tmp_path), "portals").collect()] == [(1, "007")]
+
+
 def test_admission_window_is_inclusive(spark):
     rows = [(i, 1, "p", T0 + dt.timedelta(hours=24 * i)) for i in range(3)] + [(10, 1, "p", T0 + dt.timedelta(hours=24))]
     got = {r["request_id"]: r["accepted"] for r in ex.admit(spark.createDataFrame(rows, REQUEST)).collect()}

@@ -1,8 +1,10 @@
 """Streams over several micro-batches give the batch results."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
-from tests.test_jobs import REQUEST, _greedy, _requests
+from tests.test_jobs import REQUEST, T0, _greedy, _requests
 from webestate.operators import experience as ex
 from webestate.streaming import flows
 
@@ -16,14 +18,27 @@ def batches(spark, df, path, order, parts):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
 
 
+DECIDED = "request_id bigint, key bigint, portal_id string, accepted boolean, late boolean"
+
+
 def test_admission_over_batches(spark, tmp_path):
-    rows = _requests(120, 6, 3, 5)
+    rows = _requests(120, 6, 3, 5) + [(1000 + r[0], 99, r[2], r[3]) for r in _requests(60, 1, 3, 6)]
     stream = batches(spark, spark.createDataFrame(rows, REQUEST), str(tmp_path / "in"), "created_at", 4)
-    for heavy in (10**9, 5):
-        out = str(tmp_path / f"out{heavy}")
-        flows.run_available(flows.admission(stream, out, heavy), out + "-cp")
-        got = {r["request_id"]: r["accepted"] for r in flows.read_epochs(spark, out + "/decisions", "request_id bigint, accepted boolean").collect()}
-        assert got == _greedy(rows)
+    out = str(tmp_path / "out")
+    flows.run_available(flows.admission(stream, out), out + "-cp")
+    done = spark.read.schema(DECIDED).parquet(out).collect()
+    assert {r["request_id"]: r["accepted"] for r in done} == _greedy(rows) and not any(r["late"] for r in done)
+
+
+def test_late_requests_are_marked(spark, tmp_path):
+    df = spark.createDataFrame([(i, 1, "p", T0 + dt.timedelta(hours=30 * i)) for i in (2, 0, 3)], REQUEST)
+    rows = df.collect()
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], df.schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("latestFirst", False).parquet(f"{tmp_path}/in")
+    out = str(tmp_path / "out")
+    flows.run_available(flows.admission(stream, out), out + "-cp")
+    assert {r["request_id"]: (r["accepted"], r["late"]) for r in spark.read.schema(DECIDED).parquet(out).collect()} == {2: (True, False), 0: (False, True), 3: (True, False)}
 
 
 def test_duplicates_over_batches(spark, sf, tmp_path):

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from webestate.functions import checks, text
-from webestate.session import materialise
 
 # Limits of the submission flow.
 KEY_LIMIT, PORTAL_LIMIT, WINDOW_HOURS = 5, 2, 24
@@ -143,64 +144,62 @@ HOUR = 3600 * 1_000_000
 DAY = WINDOW_HOURS * HOUR
 
 
-def _walk(rows: pd.DataFrame, accepted: list[tuple[int, str]]) -> list[bool]:
-    """Greedy decisions for rows in time order; ``accepted`` holds (time, portal) and is updated."""
-    out = []
-    for t, portal in zip(rows["t"].tolist(), rows["portal_id"].tolist(), strict=True):
-        accepted[:] = [a for a in accepted if a[0] >= t - DAY]
-        ok = len(accepted) < KEY_LIMIT and sum(1 for a in accepted if a[1] == portal) < PORTAL_LIMIT
-        if ok:
-            accepted.append((t, portal))
-        out.append(ok)
-    return out
+def walk(t: np.ndarray, portal: np.ndarray, accepted: list[tuple[int, object]]) -> np.ndarray:
+    """Greedy decisions for one key's rows in time order. ``accepted`` holds (time, portal) of the day before, at most
+    ``KEY_LIMIT`` entries, and is updated; rows that no entry's expiry can help are skipped without being looked at."""
+    ok, i, n = np.zeros(len(t), dtype=bool), 0, len(t)
+    while i < n:
+        accepted[:] = [a for a in accepted if a[0] >= t[i] - DAY]
+        taken = [a[1] for a in accepted]
+        full = [p for p in set(taken) if taken.count(p) >= PORTAL_LIMIT]
+        if len(taken) < KEY_LIMIT and portal[i] not in full:
+            ok[i] = True
+            accepted.append((int(t[i]), portal[i]))
+            i += 1
+            continue
+        freed = int(np.searchsorted(t, accepted[0][0] + DAY, "right"))  # the oldest entry counts until then
+        i += 1
+        if len(taken) >= KEY_LIMIT:
+            i = max(i, freed)
+        while i < freed and i < n and portal[i] in full:
+            other = ~np.isin(portal[i:min(i + 4096, freed)], full)
+            i += int(other.argmax()) if other.any() else len(other)
+    return ok
 
 
 def _timed(requests: DataFrame) -> DataFrame:
     return requests.select("request_id", "key", "portal_id", seconds("created_at").alias("t"))
 
 
-def admit(requests: DataFrame, heavy_rows: int = 200_000) -> DataFrame:
+def admit(requests: DataFrame) -> DataFrame:
     """Accepted and rejected requests: at most 5 accepted per key and 2 per key and portal
-    in 24 hours; rejected requests never count."""
-    return admit_after(requests, None, heavy_rows).drop("t")
-
+    in 24 hours; rejected requests never count.
 
-def admit_after(requests: DataFrame, state: DataFrame | None, heavy_rows: int = 200_000) -> DataFrame:
-    """Admission of a batch after ``state``: the (key, portal_id, t) accepted in the day before it.
-
-    Ordinary keys are walked in one sorted group each. A key with more than
-    ``heavy_rows`` requests never becomes one group: see ``admit_heavy``.
+    The rule is sequential inside a key. Rows are sorted by key and time in their partitions and streamed; a task
+    remembers the five entries of the key it is at, whatever the number of its rows.
     """
     timed = _timed(requests)
-    heavy = timed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > heavy_rows).select("key")
-    if heavy.isEmpty():
-        return _admit_groups(timed, state)
-
-    def part(kind: str) -> DataFrame | None:
-        return None if state is None else state.join(heavy, "key", kind)
-
-    light = _admit_groups(timed.join(heavy, "key", "left_anti"), part("left_anti"))
-    return light.unionByName(admit_heavy(timed.join(heavy, "key", "left_semi"), part("left_semi")))
-
-
-def _with_state(rows: DataFrame, state: DataFrame | None) -> DataFrame:
-    rows = rows.select("request_id", "key", "portal_id", "t", F.lit(1).alias("fresh"))
-    if state is None:
-        return rows
-    none = F.lit(None).cast(rows.schema["request_id"].dataType).alias("request_id")
-    return rows.unionByName(state.select(none, "key", "portal_id", "t", F.lit(0).alias("fresh")))
 
-
-def _admit_groups(timed: DataFrame, state: DataFrame | None) -> DataFrame:
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        old, new = pdf[pdf["fresh"] == 0], pdf[pdf["fresh"] == 1].sort_values(["t", "request_id"], kind="stable")
-        accepted = sorted(zip(old["t"].tolist(), old["portal_id"].tolist(), strict=True))
-        return new[["request_id", "key", "portal_id", "t"]].assign(accepted=_walk(new, accepted))
-
-    rows = _with_state(timed, state)
-    ids = timed.schema["request_id"].dataType
-    schema = T.StructType([T.StructField("request_id", ids), *(T.StructField(n, timed.schema[n].dataType) for n in ("key", "portal_id", "t")), T.StructField("accepted", T.BooleanType())])
-    return _spread(rows).groupBy("key").applyInPandas(walk, schema)
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        accepted: list[tuple[int, object]] = []
+        last: tuple = ()
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            keys, t = batch.column("key"), batch.column("t").to_numpy()
+            portal = np.asarray(batch.column("portal_id").to_pylist(), dtype=object)
+            code = keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            edges = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)]
+            ok = np.zeros(len(code), dtype=bool)
+            for a, b in zip(edges, edges[1:], strict=False):
+                if (now := (keys[a].as_py(),)) != last:
+                    accepted, last = [], now
+                ok[a:b] = walk(t[a:b], portal[a:b], accepted)
+            yield pa.RecordBatch.from_arrays([batch.column("request_id"), keys, batch.column("portal_id"), pa.array(ok)], ["request_id", "key", "portal_id", "accepted"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in timed.schema}
+    return (_spread(timed).sortWithinPartitions("key", "t", "request_id")
+            .mapInArrow(decide, f"request_id {kinds['request_id']}, key {kinds['key']}, portal_id {kinds['portal_id']}, accepted boolean"))
 
 
 def _spread(rows: DataFrame) -> DataFrame:
@@ -209,50 +208,6 @@ def _spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
 
 
-def admit_heavy(timed: DataFrame, state: DataFrame | None = None) -> DataFrame:
-    """Exact admission for keys of any size, one 24-hour slot after another.
-
-    What is accepted inside a slot cannot expire inside it, so only the few
-    acceptances carried over from the day before can. Their expiry times cut the
-    slot into at most six stretches, in each of which the counts only grow: of a
-    stretch only the first two requests per portal can be accepted. Requests
-    turned away for their portal belong to one of at most five portals with an
-    acceptance, so the first 5 + 2 * 5 of those rows settle the stretch. These
-    few rows per key are found by ranking with a limit, which cuts rows on the
-    map side, and are then walked. All other rows are rejected unseen.
-    """
-    slots = [r[0] for r in timed.select(F.floor(F.col("t") / DAY).alias("slot")).distinct().orderBy("slot").collect()]
-    fields = [T.StructField("request_id", timed.schema["request_id"].dataType)] + [
-        T.StructField(n, timed.schema[n].dataType) for n in ("key", "portal_id", "t")]
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        old, new = pdf[pdf["fresh"] == 0], pdf[pdf["fresh"] == 1].sort_values(["t", "request_id"], kind="stable")
-        accepted = sorted(zip(old["t"].tolist(), old["portal_id"].tolist(), strict=True))
-        return new[_walk(new, accepted)][["request_id", "key", "portal_id", "t"]]
-
-    order = ("t", "request_id")
-    two = F.row_number().over(W.partitionBy("key", "stretch", "portal_id").orderBy(*order))
-    place = F.row_number().over(W.partitionBy("key", "stretch").orderBy(*order))
-    won: DataFrame | None = None
-    for slot in slots:
-        rows = timed.filter((F.col("t") >= slot * DAY) & (F.col("t") < (slot + 1) * DAY))
-        if state is None:
-            cut = rows.withColumn("stretch", F.lit(0))
-        else:
-            live = state.groupBy("key").agg(F.collect_list("t").alias("times"))  # at most five entries
-            cut = rows.join(live, "key", "left").withColumn(
-                "stretch", F.coalesce(F.size(F.filter("times", lambda a: a < F.col("t") - DAY)), F.lit(0))).drop("times")
-        few = cut.withColumn("r2", two).filter(F.col("r2") <= PORTAL_LIMIT).withColumn("r15", place).filter(
-            F.col("r15") <= KEY_LIMIT + PORTAL_LIMIT * KEY_LIMIT)
-        chosen = materialise(_spread(_with_state(few, state)).groupBy("key").applyInPandas(step, T.StructType(fields)), f"admission-{slot}")
-        won = chosen if won is None else won.unionByName(chosen)
-        kept = chosen.select("key", "portal_id", "t")
-        state = kept if state is None else kept.unionByName(state.filter(F.col("t") >= slot * DAY))
-    yes = won.select("request_id", F.lit(True).alias("hit"))
-    return timed.join(yes, "request_id", "left").select(
-        "request_id", "key", "portal_id", "t", F.coalesce("hit", F.lit(False)).alias("accepted"))
-
-
 # Moderation and retention ----------------------------------------------------------------
 
 
@@ -312,9 +267,12 @@ def apply_decisions(moderation: DataFrame, submissions: DataFrame, decisions: Da
     """Moderation rows after a batch of decisions, and the decisions refused.
 
     Approval without public text publishes the report's own text; needs_redaction
-    requires a public text; an unknown report is an error.
+    requires a public text; an unknown report is an error. Of several valid
+    decisions about one report the last one counts, in order of ``decided_at`` if
+    there is such a column, else of the batch as it is read.
     """
-    known = decisions.join(submissions.select("submission_id", "free_text"), "submission_id", "left").join(
+    at = F.col("decided_at") if "decided_at" in decisions.columns else F.monotonically_increasing_id()
+    known = decisions.withColumn("__at", at).join(submissions.select("submission_id", "free_text"), "submission_id", "left").join(
         moderation.select("submission_id", F.lit(True).alias("known")), "submission_id", "left")
     error = F.when((F.col("decision") == "needs_redaction") & (F.coalesce("public_text", F.lit("")) == ""), "needs_redaction requires public text").when(
         F.col("known").isNull(), "submission not found")
@@ -322,7 +280,9 @@ def apply_decisions(moderation: DataFrame, submissions: DataFrame, decisions: Da
     good = judged.filter("error IS NULL").select(
         "submission_id", F.col("decision").alias("d_status"), F.col("reason_code").alias("d_reason"),
         F.when((F.col("decision") == "approved") & F.col("public_text").isNull(), F.col("free_text")).otherwise(F.col("public_text")).alias("d_text"),
-        F.lit(True).alias("hit"))
+        F.lit(True).alias("hit"), "__at")
+    fields = ("d_status", "d_reason", "d_text", "hit")
+    good = good.groupBy("submission_id").agg(F.max_by(F.struct(*fields), F.struct("__at", *fields)).alias("d")).select("submission_id", "d.*")
     merged = moderation.join(good, "submission_id", "left")
     hit = F.coalesce("hit", F.lit(False))
     after = merged.select(

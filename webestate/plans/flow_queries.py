@@ -12,7 +12,7 @@ from webestate.plans import rollup_queries as runs
 from webestate.plans import rule_queries as rq
 from webestate.plans.catalog import plain, query
 from webestate.plans.sql_beds import B2, B3, B4, B6, B7, PORTALS
-from webestate.session import TABLES, scratch_path, table
+from webestate.session import TABLES, materialise, scratch_path, table
 from webestate.sources import listings, records, snapshots
 from webestate.streaming import flows
 
@@ -151,10 +151,16 @@ def src08(spark, sf):
 
 @query("snk03_nested_export", runs.ASM + f"SELECT portal_id, technical_health, (SELECT count(*) FROM fnd WHERE fnd.portal_id = asm.portal_id AND {runs.PUB}) AS findings FROM asm")
 def snk03(spark, sf):
+    """Both exported datasets, read back."""
     findings = runs.stored_findings(spark, sf)
-    nested = snapshots.nested_portals(
-        runs.assessments(spark, sf, findings), findings.filter(F.col("review_status").isin(*publish.PUBLISHABLE)), chunk=20)
-    return nested.groupBy("portal_id", "technical_health").agg(F.sum(F.size(F.coalesce("reviewedFindings", F.array()))).alias("findings"))
+    path = scratch_path(spark, "export")
+    published = findings.filter(F.col("review_status").isin(*publish.PUBLISHABLE))
+    asm = materialise(runs.assessments(spark, sf, findings), "assessments")
+    summary = rollup.publication_summary(asm, runs.audit_run(spark, sf), "2024-02-02 00:00:00", ["Ids are digests."])
+    snapshots.export_json(summary, asm, published, path)
+    per = spark.read.schema("portal_id bigint").json(f"{path}/findings").groupBy("portal_id").agg(F.count("*").alias("findings"))
+    portals = spark.read.schema("portal_id bigint, technical_health string").json(f"{path}/portals")
+    return portals.join(per, "portal_id", "left").withColumn("findings", F.coalesce("findings", F.lit(0)))
 
 
 @query("dq02_run_violations", f"""WITH {B2}, st AS (SELECT portal_id, CASE WHEN arg_min(error_code IS NOT NULL, seq) THEN 'failed' WHEN bool_or(error_code IS NOT NULL) THEN 'partial' ELSE 'succeeded' END AS status FROM b2 GROUP BY 1),
@@ -245,8 +251,8 @@ def request_stream(spark, sf):
 @query("st01_admission_stream", reports.ADMISSION_SQL)
 def st01_stream(spark, sf):
     out = scratch_path(spark, "admission-stream")
-    flows.run_available(flows.admission(request_stream(spark, sf), out), f"{out}/checkpoint")
-    return flows.read_epochs(spark, f"{out}/decisions", "request_id bigint, key bigint, portal_id string, accepted boolean")
+    flows.run_available(flows.admission(request_stream(spark, sf), f"{out}/decisions"), f"{out}/checkpoint")
+    return spark.read.schema("request_id bigint, key bigint, portal_id string, accepted boolean").parquet(f"{out}/decisions")
 
 
 @query("st02_duplicate_stream", reports.ORACLES["jn09_duplicates"])

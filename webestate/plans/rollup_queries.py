@@ -391,10 +391,10 @@ for _key, _order in {
     "severity": "CASE WHEN critical_count > 0 THEN 0 WHEN significant_count > 0 THEN 1 WHEN advisory_count > 0 THEN 2 ELSE 3 END, portal_id",
     "lastChecked": "last_checked_at DESC, portal_id",
 }.items():
-    # The first 20 of each order, so that the order itself is compared.
-    @query(f"so01_by_{_key.lower()}", ASM + f"SELECT portal_id, name, technical_health FROM asm ORDER BY {_order} LIMIT 20")
+    # All rows; the order itself is tested apart.
+    @query(f"so01_by_{_key.lower()}", ASM + f"SELECT portal_id, name, technical_health FROM asm ORDER BY {_order}")
     def _so01(spark, sf, key=_key):
-        return publish.sort_inventory(assessments(spark, sf), key).select("portal_id", "name", "technical_health").limit(20)
+        return publish.sort_inventory(assessments(spark, sf), key).select("portal_id", "name", "technical_health")
 
 
 @query("fn33_highest_severity", ASM + """SELECT portal_id, CASE WHEN critical_count > 0 THEN 'critical' WHEN significant_count > 0 THEN 'significant' WHEN advisory_count > 0 THEN 'advisory' END AS highest_severity,

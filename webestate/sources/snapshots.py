@@ -56,9 +56,9 @@ def current_run(spark: SparkSession, root: str) -> str:
 
 
 def read_current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table of the current run; the run id is a literal, so only its partition is read."""
+    """A table of the current run. Only its folder is read, and the run id stays the text it is."""
     run_id = current_run(spark, root)
-    return spark.read.parquet(f"{root}/{name}").filter(F.col("run_id") == run_id)
+    return spark.read.parquet(f"{root}/{name}/run_id={run_id}").withColumn("run_id", F.lit(run_id))
 
 
 def known_portal_ids(spark: SparkSession, root: str, name: str = "portals") -> tuple[DataFrame | None, bool]:
@@ -76,18 +76,8 @@ def export_csv(assessments: DataFrame, path: str) -> None:
     flat.write.option("header", True).option("lineSep", "\r\n").option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
-def nested_portals(assessments: DataFrame, findings: DataFrame, chunk: int = 1000) -> DataFrame:
-    """Assessments with their findings nested. A portal with more than ``chunk`` findings
-    is spread over several rows (``part``), so no row or group grows without bound."""
-    sizes = findings.groupBy("portal_id").agg(F.ceil(F.count("*") / chunk).alias("parts"))
-    placed = findings.join(sizes, "portal_id").withColumn("part", F.pmod(F.xxhash64("finding_id"), F.col("parts")))
-    item = F.struct(*(c for c in findings.columns if c != "portal_id"))
-    nested = placed.groupBy("portal_id", "part").agg(F.array_sort(F.collect_list(F.struct(F.col("finding_id").alias("k"), item.alias("f")))).alias("fs"))
-    nested = nested.select("portal_id", "part", F.transform("fs", lambda x: x["f"]).alias("reviewedFindings"))
-    return assessments.join(nested, "portal_id", "left").withColumn("part", F.coalesce("part", F.lit(0)))
-
-
 def export_json(summary: DataFrame, assessments: DataFrame, findings: DataFrame, path: str) -> None:
-    """Summary and nested portals as two JSON datasets."""
+    """Summary, portals and findings as three JSON datasets; ``portal_id`` ties findings to their portal."""
     summary.write.json(f"{path}/summary")
-    nested_portals(assessments, findings).write.json(f"{path}/portals")
+    assessments.write.json(f"{path}/portals")
+    findings.write.json(f"{path}/findings")

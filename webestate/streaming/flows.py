@@ -7,10 +7,13 @@ own, so a batch that is run again after a failure gives the same result.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from webestate.functions import checks
@@ -39,22 +42,37 @@ def _write(df: DataFrame, path: str, epoch: int) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
-def admission(requests: DataFrame, out: str, heavy_rows: int = 200_000) -> DataStreamWriter:
-    """Admission control. Batches must arrive in time order, as a clock gives them."""
-
-    def step(batch: DataFrame, epoch: int) -> None:
-        kinds = {n: batch.schema[n].dataType.simpleString() for n in ("key", "portal_id")}
-        schema = f"key {kinds['key']}, portal_id {kinds['portal_id']}, t bigint"
-        state = _earlier(batch, f"{out}/state", epoch, schema)
-        decided = _write(ex.admit_after(batch, state, heavy_rows), f"{out}/decisions", epoch)
-        accepted = decided.filter("accepted").select("key", "portal_id", "t")
-        alive = accepted if state is None else accepted.unionByName(state)
-        newest = decided.agg(F.max("t")).first()[0]
-        if newest is not None:
-            alive = alive.filter(F.col("t") >= newest - ex.DAY)
-        _write(alive, f"{out}/state", epoch)
-
-    return requests.writeStream.foreachBatch(step)
+def admission(requests: DataFrame, out: str, lateness: str = "30 days") -> DataStreamWriter:
+    """Admission control with keyed state: the accepted requests of the last day, at most five per key.
+
+    Rows of a key are decided in time order inside a batch. A row older than what its key has already seen in an earlier
+    batch can no longer be decided like a clock would have; it is not admitted and marked ``late``. The watermark ends
+    the state of a key a day after its last request; rows that are later than ``lateness`` are counted and dropped by
+    the engine.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(["t", "request_id"], kind="stable")
+        times, portals, seen = state.get if state.exists else ([], [], None)
+        late = rows["t"].to_numpy() < seen if seen is not None else np.zeros(len(rows), dtype=bool)
+        names, t = rows["portal_id"].astype(str).to_numpy(dtype=object), rows["t"].to_numpy()
+        accepted = list(zip(times, portals, strict=True))
+        ok = np.zeros(len(rows), dtype=bool)
+        ok[~late] = ex.walk(t[~late], names[~late], accepted)
+        newest = max(int(t[-1]), seen if seen is not None else int(t[-1]))
+        state.update(([a for a, _ in accepted], [p for _, p in accepted], newest))
+        state.setTimeoutTimestamp(max(newest // 1000 + ex.DAY // 1000, state.getCurrentWatermarkMs() + 1))
+        yield rows[["request_id", "portal_id"]].assign(key=key[0], accepted=ok, late=late)[["request_id", "key", "portal_id", "accepted", "late"]]
+
+    timed = requests.select("request_id", "key", "portal_id", F.col("created_at").cast("timestamp").alias("at"), ex.seconds("created_at").alias("t")).withWatermark("at", lateness)
+    decided = timed.groupBy("key").applyInPandasWithState(
+        step, f"request_id {kinds['request_id']}, key {kinds['key']}, portal_id {kinds['portal_id']}, accepted boolean, late boolean",
+        "times array<bigint>, portals array<string>, seen bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return decided.writeStream.format("parquet").option("path", out).outputMode("append")
 
 
 def duplicates(requests: DataFrame, out: str) -> DataStreamWriter:
