@@ -156,3 +156,25 @@ def test_checks(spark):
                "fe80::1": True, "fd00::1": True, "2001:db8::1": False, "::ffff:10.0.0.1": True, "::ffff:8.8.8.8": False, "100.127.255.255": True, "100.128.0.0": False}
     assert {ip: one(spark, checks.is_blocked_ip(F.lit(ip))) for ip in blocked} == blocked
     assert one(spark, checks.rank(F.lit("other"), checks.SEVERITY_ORDER, 3)) == 3
+
+
+def test_first_exact_attribute_counts(spark):
+    from webestate.operators import links
+
+    pages = [(1, '<a href="/right" data-href="/wrong">x</a>'), (2, "<a data-href='/no' title='a href=/no >' HREF = /yes>y</a>"), (3, '<a data-href="/no">z</a>'), (4, '<a title="q"href="/q">q</a>')]
+    df = spark.createDataFrame([(i, "https://h.org/", h) for i, h in pages], "page_id int, url string, html string")
+    assert sorted((r["page_id"], r["raw_href"]) for r in links.extract_links(df).collect()) == [(1, "/right"), (2, "/yes"), (4, "/q")]
+    lang = spark.createDataFrame([('<html xml:lang="de" lang="en">',), ('<html xml:lang="de">',)], "h string").select(html.language(F.col("h"))).collect()
+    assert [r[0] for r in lang] == ["en", None]
+
+
+def test_character_references(spark):
+    text = "&#8217;&#x2019;&eacute;&amp;lt; &nope; &#0; &#x110000; &#xD800; &Eacute &hellip;&apos;&#99999999999999999999; a&b"
+    want = "\u2019\u2019\u00e9&lt; &nope; \ufffd \ufffd \ufffd &Eacute \u2026'\ufffd a&b"
+    df = spark.createDataFrame([(text,)], "t string").select(html.decode_entities(F.col("t")).alias("a"), F.expr(html.decoded_sql("t")).alias("b"))
+    assert tuple(df.first()) == (want, want)
+
+
+def test_numbers_with_other_blanks_are_flagged(spark):
+    df = spark.createDataFrame([("call 98765\u00a043210 now",), ("id 1234\u20031234\u00a01234",), ("plain",)], "t string")
+    assert [r[0] for r in df.select(text.privacy_flags(F.col("t"))).collect()] == [["possible_indian_mobile_number"], ["possible_aadhaar_number"], []]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,32 +31,52 @@ BLOCK_REASON = "page contains bot-block interstitial phrasing (matched "
 # Shell thresholds.
 SHELL_TEXT, SHELL_LINKS, APP_ROOT_TEXT = 200, 3, 400
 
-# The named entities decoded here.
-ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ",
-    "&copy;": "©", "&middot;": "·", "&hellip;": "…", "&amp;": "&",
-}
+# White space as JavaScript's \s has it, as a regex class body.
+SPACE = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+# " name=hex code point " of the HTML 4 entity names, from the standard library's table, and apos.
+ENTITY_NAMES = " " + " ".join(f"{n}={c:06X}" for n, c in sorted({**name2codepoint, "apos": 39}.items())) + " "
+ENTITY = r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
 
+# Fixed value: the link scan's href pattern. Being greedy, it takes the last attribute whose name ends in "href".
 HREF = r"""(?is)<a\b[^>]*\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
 
 
-HREF_SQL = "r\"" + HREF.replace('"([^"]*)"', r"\x22([^\x22]*)\x22") + "\""
+def attribute_pattern(tag: str, name: str) -> str:
+    """First attribute of exactly this name; quoted values of other attributes are stepped over."""
+    return rf"""(?is)<{tag}(?=[\s/"'>])(?:[^"'>]*?(?:"[^"]*"|'[^']*'))*?[^"'>]*?(?<=[\s"'/]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
+
+
+def quoted_sql(pattern: str) -> str:
+    return "r\"" + pattern.replace('"', r"\x22") + "\""
+
+
+ANCHOR_HREF_SQL = quoted_sql(attribute_pattern("a", "href"))
 
 
 def trimmed_sql(value: str) -> str:
-    return rf"regexp_replace({value}, r'(?U)^\s+|\s+$', '')"
+    return rf"regexp_replace({value}, r'^[{SPACE}]+|[{SPACE}]+$', '')"
 
 
 def decoded_sql(value: str) -> str:
-    out = "x"
-    for name, char in ENTITIES.items():
-        out = f"replace({out}, '{name}', '{char if char != chr(39) else chr(92) + chr(39)}')"
+    """Character references decoded: decimal, hexadecimal and the names above; others stay."""
+    code = (
+        f"CASE WHEN ent_n LIKE '#x%' OR ent_n LIKE '#X%' THEN substr(ent_n, 3) WHEN ent_n LIKE '#%' THEN hex(try_cast(substr(ent_n, 2) AS BIGINT)) "
+        f"WHEN ent_n <> '' AND instr('{ENTITY_NAMES}', concat(' ', ent_n, '=')) > 0 THEN substr('{ENTITY_NAMES}', instr('{ENTITY_NAMES}', concat(' ', ent_n, '=')) + length(ent_n) + 2, 6) "
+        f"WHEN ent_n <> '' THEN '-' END")
+    number = "conv(ent_c, 16, 10)"
+    point = (f"CASE WHEN length(ltrim('0', ent_c)) BETWEEN 1 AND 6 AND {number} <= 1114111 AND {number} NOT BETWEEN 55296 AND 57343 "
+             f"THEN decode(unhex(lpad(ltrim('0', ent_c), 8, '0')), 'UTF-32') ELSE '\ufffd' END")
+    known = "CASE WHEN ent_c = '-' OR ent_n = '' THEN concat('&', ent_p) ELSE concat(" + point + ", substr(ent_p, length(ent_n) + 2)) END"
+    piece = f"transform(array(coalesce({code}, CASE WHEN ent_n = '' THEN '-' ELSE 'FFFFFFF' END)), ent_c -> {known})[0]"
+    each = f"transform(array(regexp_extract(ent_p, r'{ENTITY}', 1)), ent_n -> {piece})[0]"
+    out = f"array_join(transform(split(x, '&', -1), (ent_p, ent_i) -> CASE WHEN ent_i = 0 THEN ent_p ELSE {each} END), '')"
     return f"transform(array({value}), x -> CASE WHEN contains(x, '&') THEN {out} ELSE x END)[0]"
 
 
 def short_text_sql(markup: str) -> str:
     """Text of some markup, collapsed, at most 200 characters, null when empty."""
-    flat = trimmed_sql(rf"regexp_replace(regexp_replace({decoded_sql(f"regexp_replace({markup}, '<[^>]*>', '')")}, r'(?U)\s+', ' '), '^ ', '')")
+    flat = trimmed_sql(rf"regexp_replace(regexp_replace({decoded_sql(f"regexp_replace({markup}, '<[^>]*>', '')")}, r'[{SPACE}]+', ' '), '^ ', '')")
     return (
         f"transform(array({flat}), f -> CASE WHEN f = '' THEN NULL WHEN length(f) > {MAX_TEXT} "
         f"THEN concat(left(f, {MAX_TEXT - 1}), '…') ELSE f END)[0]"
@@ -62,18 +84,33 @@ def short_text_sql(markup: str) -> str:
 
 
 def trim_all(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def collapse(text: Column) -> Column:
-    return trim_all(F.regexp_replace(text, r"(?U)\s+", " "))
+    return trim_all(F.regexp_replace(text, f"[{SPACE}]+", " "))
+
+
+def _entity(piece: Column) -> Column:
+    """What follows an ampersand, decoded."""
+    def decoded(name: Column) -> Column:
+        at = F.instr(F.lit(ENTITY_NAMES), F.concat(F.lit(" "), name, F.lit("=")))
+        code = (F.when(F.lower(name).startswith("#x"), F.substring(name, 3, 2**30)).when(name.startswith("#"), F.hex(F.substring(name, 2, 2**30).try_cast("bigint")))
+                .when(at > 0, F.substring(F.lit(ENTITY_NAMES), at + F.length(name) + 2, F.lit(6))))
+        digits = F.ltrim(F.coalesce(code, F.lit("FFFFFFF")), F.lit("0"))
+        number = F.conv(digits, 16, 10).cast("bigint")
+        valid = F.length(digits).between(1, 6) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")).otherwise("\ufffd")
+        same = (name == "") | (~name.startswith("#") & (at == 0))
+        return F.when(same, F.concat(F.lit("&"), piece)).otherwise(F.concat(char, F.substring(piece, F.length(name) + 2, F.lit(2**30))))
+
+    return F.transform(F.array(F.regexp_extract(piece, ENTITY, 1)), decoded)[0]
 
 
 def decode_entities(text: Column) -> Column:
-    out = text
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.when(text.contains("&"), out).otherwise(text)
+    """Character references decoded; works on plain columns."""
+    pieces = F.transform(F.split(text, "&", -1), lambda p, i: F.when(i == 0, p).otherwise(_entity(p)))
+    return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
 
 
 def strip_tags(html: Column) -> Column:
@@ -106,7 +143,7 @@ def raw_hrefs(html: Column) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute inside one tag; null when absent."""
-    pattern = rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
+    pattern = attribute_pattern("[a-z0-9]+", name)
     value = F.concat(*(F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)))
     return F.when(tag.rlike(pattern), decode_entities(value))
 

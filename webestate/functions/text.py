@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webestate.functions.html import collapse, trim_all
+from webestate.functions.html import SPACE, collapse, trim_all
 
 # Privacy flags and their patterns, in report order.
 PRIVACY_PATTERNS = (
@@ -20,12 +20,13 @@ PREVIEW_CHARS = 160
 
 
 def privacy_flags(text: Column) -> Column:
-    """Flags in report order. A text without '@' or without digits skips the patterns that need one."""
+    """Flags in report order. A text without '@' or without digits skips the patterns that need one.
+    White space in a pattern is JavaScript's."""
     body = F.coalesce(text, F.lit(""))
     needs = {"possible_email": body.contains("@")}
     digits = body.rlike("[0-9]")
     return F.array_compact(F.array(*(
-        F.when(needs.get(flag, digits), F.when(body.rlike(pattern), F.lit(flag))) for flag, pattern in PRIVACY_PATTERNS)))
+        F.when(needs.get(flag, digits), F.when(body.rlike(pattern.replace(r"[-\s]", f"[-{SPACE}]")), F.lit(flag))) for flag, pattern in PRIVACY_PATTERNS)))
 
 
 def merge_flags(first: Column, second: Column) -> Column:

@@ -22,21 +22,20 @@ def extract_links(
     quiet = rf"regexp_replace({body}, r'(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->', '')"
     pages = pages.select(key, url, F.expr(rf"split({quiet}, r'(?i)(?=<a[\s>])')").alias("pieces"), html.base_href(F.col(body)).alias("base_raw"))
     pages = urls.once(pages, "base_url", f"coalesce({urls.resolved_sql('base_raw', url)}, {url})")
-    # All of an anchor is computed inside the array, so nothing is computed again after the explode.
-    # The tag is cut out of its piece first: the finer patterns then see a short text.
     pages = urls.once(pages, "base", urls.parts_sql("base_url"))
-    href = " || ".join(f"regexp_extract(tag, {html.HREF_SQL}, {i})" for i in (1, 2, 3))
-    fields = urls.bind("inner", r"regexp_extract(piece, r'(?is)^<a[^>]*>(.*?)(?:</a\s*>|\z)', 1)", f"""named_struct(
-        'raw_href', CASE WHEN tag <> '' THEN ref END,
-        'anchor_text', {html.short_text_sql('inner')},
-        'context', {html.short_text_sql("concat(prior, inner, regexp_extract(piece, r'(?is)</a" + chr(92) + "s*>([^<]*)', 1))")},
-        'resolved_url', {urls.resolved_against_sql("nullif(ref, '')", 'base')})""")
-    prior = "CASE WHEN i > 0 THEN substring_index(pieces[i - 1], '>', -1) ELSE '' END"
-    anchor = urls.bind("ref", html.trimmed_sql(html.decoded_sql(f"({href})")), urls.bind("prior", prior, fields))
-    anchor = urls.bind("tag", f"regexp_extract(piece, {html.HREF_SQL}, 0)", anchor)
-    rows = pages.select(key, url, F.expr(f"posexplode_outer(transform(pieces, (piece, i) -> {anchor}))").alias("pos", "anchor"))
-    rows = rows.select(key, url, "pos", "anchor.*")
-    return rows.filter("raw_href IS NOT NULL" if keep_empty else "raw_href <> ''")
+    # One row per anchor first, then plain columns over its short text.
+    cut = "named_struct('piece', piece, 'prior', CASE WHEN i > 0 THEN substring_index(pieces[i - 1], '>', -1) ELSE '' END)"
+    rows = pages.select(key, url, "base", F.expr(f"posexplode(transform(pieces, (piece, i) -> {cut}))").alias("pos", "cut"))
+    rows = rows.select(key, url, "base", "pos", "cut.prior", "cut.piece", F.expr(f"regexp_extract(cut.piece, {html.ANCHOR_HREF_SQL}, 0)").alias("tag")).filter("tag <> ''")
+    href = " || ".join(f"regexp_extract(tag, {html.ANCHOR_HREF_SQL}, {i})" for i in (1, 2, 3))
+    rows = urls.once(rows, "raw_href", html.trimmed_sql(html.decoded_sql(f"({href})")))
+    if not keep_empty:
+        rows = rows.filter("raw_href <> ''")
+    rows = rows.select("*", F.expr(r"regexp_extract(piece, r'(?is)^<a[^>]*>(.*?)(?:</a\s*>|\z)', 1)").alias("inner"),
+                       F.expr(r"regexp_extract(piece, r'(?is)</a\s*>([^<]*)', 1)").alias("after"))
+    resolved = urls.resolved_against_sql("nullif(raw_href, '')", "base")
+    fields = f"named_struct('anchor_text', {html.short_text_sql('inner')}, 'context', {html.short_text_sql('concat(prior, inner, after)')}, 'resolved_url', {resolved})"
+    return urls.once(rows, "anchor", fields).select(key, url, "pos", "raw_href", "anchor.*")
 
 
 def prepare_links(links: DataFrame, policy: urls.CrawlPolicy) -> DataFrame:

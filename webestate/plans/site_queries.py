@@ -88,9 +88,9 @@ def tx02_links(spark, sf):
     return tables.scope_counts(tables.scope_decisions(rows, "resolved_url", "hostnames", POLICY))
 
 
-@query("jb01_links", f"WITH {LINKS_SQL} SELECT page_id, raw_href, resolved_url, anchor_text, anchor_text AS context FROM lk")
+@query("jb01_links", f"WITH {LINKS_SQL} SELECT page_id, CAST(pos AS INTEGER) AS pos, raw_href, resolved_url, anchor_text, anchor_text AS context FROM lk")
 def jb01(spark, sf):
-    return page_links(spark, sf).select("page_id", "raw_href", "resolved_url", "anchor_text", "context")
+    return page_links(spark, sf).select("page_id", "pos", "raw_href", "resolved_url", "anchor_text", "context")
 
 
 @query("fn18_raw_hrefs", f"WITH {LINKS_SQL} SELECT page_id, string_agg(raw_href, '|' ORDER BY pos) AS hrefs, count(*) AS n FROM lk GROUP BY 1")
