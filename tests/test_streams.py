@@ -53,12 +53,34 @@ def test_duplicates_over_batches(spark, sf, tmp_path):
 
 
 def test_live_summary_over_batches(spark, sf, tmp_path):
+    from webestate.plans.flow_queries import LIVE
     from webestate.plans.report_queries import visible
 
-    df = visible(spark, sf).select("portal_id", "outcome", "created_at", "occurred_on", "rating")
+    df = visible(spark, sf).select("portal_id", "outcome", "created_at", "occurred_on", "rating", "themes")
     out = str(tmp_path / "out")
-    q = flows.run_available(flows.live_summary(batches(spark, df, str(tmp_path / "in"), "created_at", 3), out), out + "-cp")
-    last = max(p["batchId"] for p in q.recentProgress)
-    got = flows.read_latest(spark, out, "portal_id bigint, experiences bigint, completed bigint, average_rating double, earliest string", last)
+    flows.run_available(flows.live_summary(batches(spark, df, str(tmp_path / "in"), "created_at", 3), out), out + "-cp")
+    got = flows.read_latest(spark, out, LIVE).drop("theme_counts")
     want = ex.experience_summary(df).select(*got.columns)
     assert got.exceptAll(want).count() == 0 and want.count() == got.count() > 0
+
+
+def test_a_run_split_over_batches_is_evaluated_whole(spark, tmp_path):
+    from tests.test_jobs import OBS, context, obs
+    from webestate.operators.rules import run_rules
+
+    rows = [(*obs(i, "DNS_FAILURE"), "r1") for i in range(3)]
+    schema = OBS + ", run_id string"
+    for i, part in enumerate((rows[:2], rows[2:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    ctx = context(spark, [obs(9)])
+
+    def of(pages, run_id):
+        return type(ctx)(run_id, ctx.analyzed_at, ctx.portals, ctx.sources, pages, ctx.links, ctx.skips)
+
+    out = str(tmp_path / "out")
+    only = [{"rule_id": "availability.unavailable.v1"}]
+    flows.run_available(flows.incremental_findings(stream, of, out, only), out + "-cp")
+    got = spark.read.parquet(f"{out}/findings/run_id=r1").select("rule_id", "severity").collect()
+    want = run_rules(of(spark.createDataFrame(rows, schema), "r1"), only).select("rule_id", "severity").collect()
+    assert got == want and len(got) == 1

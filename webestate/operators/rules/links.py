@@ -19,15 +19,16 @@ def broken_destinations(links: DataFrame) -> DataFrame:
     """Failing links per (portal, destination): distinct source pages, retries, time span.
 
     Only failing rows reach the shuffle; a popular destination is first counted
-    per source page on the map side.
+    per source page on the map side. A failure is named by its error code, else its HTTP status, else its check status.
     """
+    http = F.col("http_status").cast("string") if "http_status" in links.columns else F.lit(None).cast("string")
     return links.filter(F.col("status").isin(*FAILURE_STATUSES)).groupBy("portal_id", "destination").agg(
         F.count_distinct("source_page").alias("source_pages"),
         F.count("*").alias("link_rows"),
         F.bool_or(F.col("attempts") > 1).alias("retried"),
         F.min("checked_at").alias("first_checked"),
         F.max("checked_at").alias("last_checked"),
-        F.array_sort(F.collect_set(F.coalesce("error_code", "status"))).alias("codes"),
+        F.array_sort(F.collect_set(F.coalesce("error_code", http, "status"))).alias("codes"),
     )
 
 

@@ -124,7 +124,8 @@ def link_observations(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_orderkey").alias("source_page"),
         (F.col("l_partkey") % 50).alias("destination"),
         status.alias("status"),
-        F.when(status == "fail", "HTTP_CLIENT_ERROR").alias("error_code"),
+        F.when((status == "fail") & (F.col("l_linenumber") % 4 != 2), "HTTP_CLIENT_ERROR").alias("error_code"),
+        F.when(status == "fail", F.when(F.col("l_partkey") % 2 == 0, 404).otherwise(410)).alias("http_status"),
         (1 + F.col("l_linenumber") % 3).cast("int").alias("attempts"),
         F.col("l_shipdate").alias("checked_at"),
         F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("seq"),
@@ -166,11 +167,15 @@ def portal_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 def submissions(spark: SparkSession, sf: str) -> DataFrame:
     """B4: visitor reports from orders."""
-    o = table(spark, sf, "orders")
+    return submissions_from(table(spark, sf, "orders"))
+
+
+def submissions_from(orders: DataFrame) -> DataFrame:
+    """B4 over any frame of orders, streaming ones too."""
     k = F.col("o_orderkey")
     themes, tasks = (F.array(*(F.lit(v) for v in vs)) for vs in (checks.THEMES, checks.TASK_TYPES))
     priority = F.substring("o_orderpriority", 1, 1)
-    return o.select(
+    return orders.select(
         k.alias("submission_id"),
         F.col("o_custkey").alias("portal_id"),
         F.expr("o_orderdate + make_dt_interval(0, 0, cast(o_orderkey % 1440 as int), 0)").alias("created_at"),

@@ -303,36 +303,33 @@ def snk09(spark, sf):
     return flows.read_epochs(spark, f"{out}/moderation", "submission_id bigint, status string")
 
 
-@query("st08_live_summary", f"""WITH {B4} SELECT portal_id, count(*) AS experiences, count(rating) AS rating_count, round(avg(rating), 2) AS average_rating, min(occurred_on) AS earliest, max(occurred_on) AS latest
-  FROM (SELECT portal_id, rating, coalesce(occurred_on, strftime(created_at, '%Y-%m-%dT%H:%M:%S.000Z')) AS occurred_on FROM subs WHERE status = 'approved' AND consent) GROUP BY 1""")
+LIVE = "portal_id bigint, experiences bigint, completed bigint, partially_completed bigint, not_completed bigint, information_only bigint, rating_count bigint, average_rating double, earliest string, latest string, theme_counts map<string,bigint>, small_sample boolean"
+
+
+@query("st08_live_summary", f"""SELECT a.*, t.themes FROM ({reports.ORACLES['ag10_experience_summary']}) a LEFT JOIN ({reports.ORACLES['ag10_theme_map']}) t USING (portal_id)""")
 def st08(spark, sf):
     out = scratch_path(spark, "live-summary")
-    k = F.col("o_orderkey")
-    rows = stream(spark, sf, "orders").filter("o_orderstatus = 'F' AND o_orderkey % 10 <> 0").select(
-        F.col("o_custkey").alias("portal_id"), F.lit("completed").alias("outcome"), F.when(k % 4 != 0, (1 + k % 5).cast("int")).alias("rating"),
-        F.expr("o_orderdate + make_dt_interval(0, 0, cast(o_orderkey % 1440 as int), 0)").alias("created_at"),
-        F.when(k % 3 == 1, F.date_format("o_orderdate", "yyyy-MM")).when(k % 3 == 2, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("occurred_on"))
-    q = flows.run_available(flows.live_summary(rows, out), f"{out}-checkpoint")
-    last = max(p["batchId"] for p in q.recentProgress)
-    schema = "portal_id bigint, experiences bigint, rating_count bigint, average_rating double, earliest string, latest string"
-    return flows.read_latest(spark, out, schema, last)
-
-
-@query("st09_incremental_findings", f"""WITH {B2}, {PORTALS}, e AS (SELECT b2.*, CASE WHEN seq % 2 = 0 THEN 'run-a' ELSE 'run-b' END AS run_id FROM b2 JOIN portals p ON b2.portal_id = p.portal_id AND requested_url = canonical_url)
-  SELECT run_id, 'availability.unavailable.v1' AS rule_id, count(*) AS findings FROM (SELECT run_id, portal_id FROM e WHERE {rq.FAILED} GROUP BY 1, 2 HAVING greatest(count(*), max(attempt)) >= 3) GROUP BY 1
-  UNION ALL SELECT run_id, 'freshness.no-signal.v1', count(*) FROM (SELECT DISTINCT run_id, portal_id FROM e WHERE error_code IS NULL) GROUP BY 1""")
+    approved = stream(spark, sf, "orders").filter("o_orderstatus = 'F'")
+    flows.run_available(flows.live_summary(beds.submissions_from(approved).filter("consent"), out), f"{out}-checkpoint")
+    rows = flows.read_latest(spark, out, LIVE)
+    themes = F.array_join(F.array_sort(F.transform(F.map_entries("theme_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return rows.withColumn("themes", themes).drop("theme_counts")
+
+
+@query("st09_incremental_findings", reports.ORACLES["se02_all_findings"])
 def st09(spark, sf):
+    """One run whose observations arrive in several micro-batches, under all rules."""
     base = scratch_path(spark, "runs")
-    rows = beds.page_observations(spark, sf).withColumn("run_id", F.when(F.col("seq") % 2 == 0, "run-a").otherwise("run-b"))
-    rows.write.parquet(f"{base}/observations")
-    incoming = spark.readStream.schema(rows.schema).parquet(f"{base}/observations")
+    rows = beds.page_observations(spark, sf).withColumn("run_id", F.lit("run-1"))
+    for part in range(2):
+        rows.filter(F.col("seq") % 2 == part).write.parquet(f"{base}/incoming/{part}")
+    incoming = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 8).parquet(f"{base}/incoming")
 
     def context(pages, run_id):
         return RuleContext(
             run_id=run_id, analyzed_at=beds.ANALYZED_AT, portals=beds.portals(spark, sf), sources=beds.portal_sources(spark, sf),
             pages=pages, links=beds.link_observations(spark, sf), skips=beds.skip_log(spark, sf))
 
-    wanted = [{"rule_id": "availability.unavailable.v1"}, {"rule_id": "freshness.no-signal.v1"}]
-    flows.run_available(flows.incremental_findings(incoming, context, f"{base}/findings", wanted), f"{base}/checkpoint")
-    found = spark.read.parquet(f"{base}/findings")
-    return found.groupBy("run_id", "rule_id").agg(F.count("*").alias("findings"))
+    flows.run_available(flows.incremental_findings(incoming, context, base), f"{base}/checkpoint")
+    found = spark.read.parquet(f"{base}/findings/run_id=run-1")
+    return found.groupBy("rule_id", "severity").agg(F.count("*").alias("findings"), F.count_distinct("portal_id").alias("portals"))

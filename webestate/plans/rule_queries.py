@@ -102,7 +102,7 @@ RU06 = finding_select(
 query("ru06_access_restricted", f"{BASE}, {entry_group(RESTRICTED)} {RU06}")(only("availability.access-restricted.v1"))
 
 BROKEN = """br AS (SELECT b3.portal_id, destination, count(DISTINCT source_page) AS pages, bool_or(attempts > 1) AS retried,
-    min(checked_at) AS lo, max(checked_at) AS hi, array_to_string(list_sort(list_distinct(list(CASE WHEN status = 'fail' THEN 'HTTP_CLIENT_ERROR' ELSE status END))), ', ') AS codes,
+    min(checked_at) AS lo, max(checked_at) AS hi, array_to_string(list_sort(list_distinct(list(CASE WHEN status = 'fail' THEN CASE WHEN l_linenumber % 4 <> 2 THEN 'HTTP_CLIENT_ERROR' WHEN l_partkey % 2 = 0 THEN '404' ELSE '410' END ELSE status END))), ', ') AS codes,
     any_value(source_type) IN ('official_directory', 'official_page') AS official
   FROM b3 JOIN portals p ON p.portal_id = b3.portal_id WHERE status IN ('fail', 'not_assessable') GROUP BY b3.portal_id, destination)"""
 RU07 = finding_select(

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -113,35 +113,46 @@ def append_pending(submissions: DataFrame, portals: DataFrame, out: str) -> Data
 
 
 def live_summary(visible: DataFrame, out: str) -> DataStreamWriter:
-    """Running experience summary: a stateful aggregate whose changed rows replace older ones."""
+    """Running experience summary: an aggregate in engine state. An epoch adds the rows it changed; the last one counts."""
     when = F.coalesce("occurred_on", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    def held(theme: str) -> Column:
+        return F.sum(F.size(F.filter("themes", lambda x: x == theme))).alias(f"theme_{theme}")
+
     running = visible.groupBy("portal_id").agg(
         F.count("*").alias("experiences"), *(F.count_if(F.col("outcome") == o).alias(o) for o in checks.OUTCOMES),
         F.count("rating").alias("rating_count"), F.round(F.avg("rating"), 2).alias("average_rating"),
-        F.min(when).alias("earliest"), F.max(when).alias("latest"))
+        F.min(when).alias("earliest"), F.max(when).alias("latest"), *map(held, checks.THEMES))
+    counts = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, checks.THEMES)), F.array(*(F.col(f"theme_{t}") for t in checks.THEMES))), lambda _, n: n > 0)
+    running = running.withColumn("theme_counts", counts).drop(*(f"theme_{t}" for t in checks.THEMES)).withColumn(
+        "small_sample", F.col("experiences") < ex.DISPLAY_THRESHOLD)
 
     def step(batch: DataFrame, epoch: int) -> None:
-        older = _earlier(batch, out, epoch, batch.schema)
-        now = batch if older is None else older.join(batch.select("portal_id"), "portal_id", "left_anti").unionByName(batch)
-        _write(now, out, epoch)
+        _write(batch, out, epoch)
 
     return running.writeStream.outputMode("update").foreachBatch(step)
 
 
-def read_latest(spark: SparkSession, out: str, schema, epoch: int) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{out}/epoch={epoch}")
+def read_latest(spark: SparkSession, out: str, schema: str, key: str = "portal_id") -> DataFrame:
+    """The newest row of each key over all epochs."""
+    rows = spark.read.schema(f"{schema}, epoch int").parquet(out)
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "epoch")]), "epoch").alias("row")).select(key, "row.*")
 
 
 def incremental_findings(
     observations: DataFrame, context: Callable[[DataFrame, str], RuleContext], out: str, checks_list: list[dict] | None = None
 ) -> DataStreamWriter:
-    """Evaluate the rules for every run that arrives and append its findings under its run id."""
+    """Findings per run, kept right while parts of a run arrive.
+
+    A batch's observations are stored under its epoch. Every run that the batch touches is evaluated again over all of
+    its stored observations, and its findings are replaced. Only the names of these runs reach the driver.
+    """
 
     def step(batch: DataFrame, epoch: int) -> None:
-        runs = [r[0] for r in batch.select("run_id").distinct().collect()]  # one entry per run
-        for run_id in runs:
-            pages = batch.filter(F.col("run_id") == run_id)
-            found = run_rules(context(pages, run_id), checks_list)
-            found.write.mode("overwrite").parquet(f"{out}/run_id={run_id}/epoch={epoch}")
+        spark = batch.sparkSession
+        _write(batch, f"{out}/observations", epoch)
+        stored = spark.read.schema(batch.schema).parquet(*[f"{out}/observations/epoch={e}" for e in range(epoch + 1)])
+        for run_id in sorted(r[0] for r in batch.select("run_id").distinct().collect()):
+            found = run_rules(context(stored.filter(F.col("run_id") == run_id), run_id), checks_list)
+            found.write.mode("overwrite").parquet(f"{out}/findings/run_id={run_id}")
 
     return observations.writeStream.foreachBatch(step)
