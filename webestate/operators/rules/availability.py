@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webestate.functions.checks import final_url, observation_summary
-from webestate.functions.urls import host_of
+from webestate.functions.checks import observation_summary
 from webestate.operators.rules.base import (
     ENTRY_GROUPS, Rule, RuleContext, draft, effective_attempts, emit, findings_from, int_param, quoted, register_rule,
 )
@@ -157,34 +156,29 @@ def per_row(rule_id: str, category: str, suggestion: str, evidence_type: str, **
     )
 
 
-def cross_domain(ctx: RuleContext, parameters: dict) -> DataFrame:
-    rows = ctx.entry_rows.withColumn("target", final_url(F.col("final_url"), F.col("redirect_chain")))
-    rows = rows.withColumn("target_host", host_of(F.col("target"))).filter(
-        "target_host IS NOT NULL AND NOT exists(hostnames, h -> lower(h) = target_host)"
-    )
-    return findings_from(rows, per_row(
+def cross_domain(ctx: RuleContext, parameters: dict) -> str:
+    outside = "away_host IS NOT NULL AND NOT exists(hostnames, h -> lower(h) = away_host)"
+    return f"CASE WHEN {outside} THEN " + per_row(
         "redirect.cross-domain.v1", "availability", "suggestion.directory-mismatch.v1", "redirect_chain",
         title=quoted(TITLES["cross_domain"]),
-        summary=text(SUMMARIES["cross_domain"]),
-        affected_urls="array(requested_url, target)",
+        summary=text(SUMMARIES["cross_domain"], target="away"),
+        affected_urls="array(requested_url, away)",
         limitations="array('A redirect to another domain can be a planned move; review by hand.')",
-        evidence_description=text("Requesting {requested_url} redirected to {target}."),
+        evidence_description=text("Requesting {requested_url} redirected to {target}.", target="away"),
         evidence_content="to_json(redirect_chain)",
-    ))
+    ) + " END"
 
 
-def no_tls_upgrade(ctx: RuleContext, parameters: dict) -> DataFrame:
-    rows = ctx.entry_rows.withColumn("target", F.coalesce("final_url", "requested_url")).filter(
-        F.col("error_code").isNull() & F.col("target").rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") & ~F.col("target").rlike("(?i)^https:")
-    )
-    return findings_from(rows, per_row(
+def no_tls_upgrade(ctx: RuleContext, parameters: dict) -> str:
+    plain = r"error_code IS NULL AND reached RLIKE r'^[A-Za-z][A-Za-z0-9+.\-]*:' AND NOT reached RLIKE '(?i)^https:'"
+    return f"CASE WHEN {plain} THEN " + per_row(
         "https.no-tls-upgrade.v1", "https", "suggestion.certificate-failure.v1", "http_response_snapshot",
         title=quoted(TITLES["no_tls"]),
-        summary=text(SUMMARIES["no_tls"]),
-        affected_urls="array(target)", limitations="array('Only the scheme of the final destination was looked at.')",
-        evidence_description=text("{requested_url} was served at {target}."),
+        summary=text(SUMMARIES["no_tls"], target="reached"),
+        affected_urls="array(reached)", limitations="array('Only the scheme of the final destination was looked at.')",
+        evidence_description=text("{requested_url} was served at {target}.", target="reached"),
         evidence_content="to_json(struct(requested_url, final_url, http_status))",
-    ))
+    ) + " END"
 
 
 def entry_evidence(ctx: RuleContext) -> DataFrame:
@@ -204,6 +198,6 @@ def entry_evidence(ctx: RuleContext) -> DataFrame:
 register_rule(Rule("availability.unavailable.v1", "availability", "Entry URL fails for the configured number of attempts without a usable response.", portal_findings=unavailable, defaults={"spacedAttempts": 3}))
 register_rule(Rule("availability.server-error.v1", "availability", "Repeated 5xx responses on the entry URL.", portal_findings=server_error, defaults={"minRepeatedOccurrences": 2}))
 register_rule(Rule("availability.not-found.v1", "availability", "The entry URL repeatedly returns 404 or 410.", portal_findings=not_found, defaults={"minRepeatedOccurrences": 2}))
-register_rule(Rule("redirect.cross-domain.v1", "availability", "The final host lies outside the registered hostnames.", evaluate=cross_domain))
+register_rule(Rule("redirect.cross-domain.v1", "availability", "The final host lies outside the registered hostnames.", row_finding=cross_domain))
 register_rule(Rule("availability.automation-blocked.v1", "availability", "The automated check was blocked on the entry page.", portal_findings=automation_blocked))
 register_rule(Rule("availability.access-restricted.v1", "availability", "The entry page answered 401 or 403.", portal_findings=access_restricted))

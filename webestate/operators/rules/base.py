@@ -15,6 +15,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webestate.functions.checks import final_url
+from webestate.functions.urls import host_of
+
 FINDING_FIELDS = (
     "subject", "rule_id", "category", "title", "summary", "severity", "confidence",
     "check_status", "review_status", "first_observed_at", "last_observed_at", "affected_urls",
@@ -93,6 +96,12 @@ class RuleContext:
             p, (o.o_portal == p.portal_id) & (o.requested_url == p.canonical_url)
         ).drop("o_portal")
 
+    @cached_property
+    def targets(self) -> DataFrame:
+        """Entry rows with where they ended: after redirects (``away``, ``away_host``) and as reported (``reached``)."""
+        rows = self.entry_rows.withColumn("away", final_url(F.col("final_url"), F.col("redirect_chain")))
+        return rows.withColumn("away_host", host_of(F.col("away"))).withColumn("reached", F.coalesce("final_url", "requested_url"))
+
     @cached_property
     def entry(self) -> DataFrame:
         """One row per portal: counts, first row and dates of each kind of entry check."""
@@ -167,11 +176,12 @@ def coverage_facts(pages: DataFrame, skips: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule: identity plus exactly one of ``portal_findings`` or ``evaluate``.
+    """A rule: identity plus exactly one of ``portal_findings``, ``row_finding`` or ``evaluate``.
 
     ``portal_findings(ctx, parameters, prior)`` returns a SQL expression over the
     profile row whose value is an array of findings, or null; ``prior`` names the
-    column with the findings of the portal rules before it.
+    column with the findings of the portal rules before it. ``row_finding(ctx,
+    parameters)`` returns an expression over one entry observation: a finding or null.
     """
 
     rule_id: str
@@ -180,6 +190,7 @@ class Rule:
     version: int = 1
     portal_findings: Callable[[RuleContext, dict, str], str] | None = None
     evaluate: Callable[[RuleContext, dict], DataFrame] | None = None
+    row_finding: Callable[[RuleContext, dict], str] | None = None
     defaults: dict = field(default_factory=dict)
 
 
@@ -189,8 +200,8 @@ REGISTRY: list[Rule] = []
 def register_rule(rule: Rule) -> Rule:
     if any(r.rule_id == rule.rule_id for r in REGISTRY):
         raise ValueError(f"rule {rule.rule_id} is registered already")
-    if (rule.portal_findings is None) == (rule.evaluate is None):
-        raise ValueError("a rule needs portal_findings or evaluate, not both")
+    if [rule.portal_findings, rule.evaluate, rule.row_finding].count(None) != 2:
+        raise ValueError("a rule needs one of portal_findings, row_finding or evaluate")
     REGISTRY.append(rule)
     return rule
 
@@ -244,7 +255,7 @@ def findings_from(df: DataFrame, finding: str) -> DataFrame:
 
 
 def run_rules(ctx: RuleContext, checks: list[dict] | None = None, registry: list[Rule] | None = None) -> DataFrame:
-    """Findings of all enabled rules: one exploded portal plan plus one plan per table rule."""
+    """Findings of all enabled rules: one exploded portal plan, one exploded plan over entry rows, one plan per table rule."""
     selected, _ = select_rules(checks, registry)
     frames: list[DataFrame] = []
     wide, arrays = None, []
@@ -262,6 +273,10 @@ def run_rules(ctx: RuleContext, checks: list[dict] | None = None, registry: list
         # The outer form spares the optimizer's size test of the array, a second evaluation of every rule.
         flat = wide.selectExpr("portal_id", f"explode_outer({every}) AS f").filter("f IS NOT NULL")
         frames.append(flat.select("portal_id", "f.*"))
+    per_row = [rule.row_finding(ctx, parameters) for rule, parameters in selected if rule.row_finding is not None]
+    if per_row:
+        flat = ctx.targets.selectExpr("portal_id", f"explode_outer(array_compact(array({', '.join(per_row)}))) AS f").filter("f IS NOT NULL")
+        frames.append(flat.select("portal_id", "f.*"))
     for rule, parameters in selected:
         if rule.evaluate is not None:
             frames.append(rule.evaluate(ctx, parameters))

@@ -68,6 +68,6 @@ def broken_link_sources(links: DataFrame) -> DataFrame:
 
 register_rule(Rule("broken_link.repeated-failure.v1", "broken_link", "Destinations that fail from one or more source pages.", evaluate=broken_links))
 register_rule(Rule("https.certificate-failure.v1", "https", "Expired or mismatching certificate on the entry page.", portal_findings=certificate_failure))
-register_rule(Rule("https.no-tls-upgrade.v1", "https", "The entry page ends on a destination without HTTPS.", evaluate=no_tls_upgrade))
+register_rule(Rule("https.no-tls-upgrade.v1", "https", "The entry page ends on a destination without HTTPS.", row_finding=no_tls_upgrade))
 register_rule(Rule("freshness.no-signal.v1", "freshness", "Records that no freshness signal was available.", portal_findings=no_freshness_signal))
 register_rule(Rule("crawl_coverage.summary.v1", "crawl_coverage", "What a run did and did not cover for a portal.", portal_findings=coverage_summary))
