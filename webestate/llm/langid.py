@@ -4,7 +4,8 @@ Letters are lower-cased, everything else is a boundary; the one-, two- and three
 ``DIMS`` features. Document frequencies come from every learnable row. Each language is then clustered (spherical
 k-means) on a bounded sample of its rows, ``per_language`` expected rows chosen by a hash of the id, and a document is
 compared with all centroids by cosine. A document is rejected if it has no letter or if its best cosine is below the
-floor that the model learned for texts of its length: ``margin`` times the lowest cosine of a sampled row in that class.
+floor that the model learned for texts of its length: ``margin`` times the lowest cosine of a sampled row in that class,
+``most`` at most (short texts full of numbers or keys stay above it, other scripts below).
 
 Cases: null, empty or letterless text gives ``und``, score 0, rejected. Rows without a language teach nothing. If no row
 can teach, every document is ``und``. Ties go to the language that is first in code-point order. Languages are few:
@@ -107,7 +108,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = 600, clusters: int = 4, margin: float = 0.25) -> Model:
+def fit(docs: DataFrame, per_language: int = 600, clusters: int = 4, margin: float = 0.25, most: float = 0.05) -> Model:
     """Learn from rows with a text and a language that are not held out."""
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
 
@@ -138,7 +139,7 @@ def fit(docs: DataFrame, per_language: int = 600, clusters: int = 4, margin: flo
         c = _clusters(v, clusters)
         best, kind = (v @ c.T).max(1), np.searchsorted(LENGTHS, sizes)
         lowest = [best[kind <= j].min() if (kind <= j).any() else 0.0 for j in range(len(LENGTHS) + 1)]
-        floors = [margin * float(min(lowest[j:] + lowest[j:j + 1])) for j in range(len(lowest))]
+        floors = [min(most, margin * float(min(lowest[j:]))) for j in range(len(lowest))]
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "centroids": [c.astype(np.float32).tobytes()], "floors": [np.asarray(floors, dtype=np.float32).tobytes()]})
 
     found = sorted(sample.groupBy("lang").applyInPandas(centroids, "lang string, centroids binary, floors binary").collect())
