@@ -130,7 +130,7 @@ def is_blocked_ip(ip: Column) -> Column:
     mapped = F.regexp_extract(flat, r"^::ffff:(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})$", 1)
     v6 = (
         flat.isin("::1", "::")
-        | flat.rlike(r"^(fe80:|fe8|fe[89ab][0-9a-f]:)")
+        | flat.rlike(r"^fe[89ab][0-9a-f]:")  # first ten bits of a link-local address
         | F.split(flat, ":")[0].rlike(r"^f[cd][0-9a-f]{2}$")
         | ((mapped != "") & F.coalesce(_blocked_number(ipv4_number(mapped)), F.lit(False)))
     )

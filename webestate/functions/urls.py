@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import IllegalArgumentException
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +31,17 @@ ROUTE_CATEGORIES = {
 # Reject reasons.
 EMPTY_URL = "empty URL"
 MALFORMED_URL = "malformed URL (failed to parse)"
-UNSUPPORTED_SCHEME = ('unsupported scheme "', ':" (only http/https are admitted as portal URLs)')
-DISABLED_DOMAIN = ('domain "', '" is disabled by crawl policy')
-FOREIGN_HOST = ('hostname "', '" is not a registered hostname for this portal')
-DENYLISTED_PATH = ('matches denylisted path pattern "', '"')
-EXCLUDED_ROUTE = ('matches excluded route category "', '"')
+UNSUPPORTED_SCHEME = 'unsupported scheme "{}:" (only http/https are admitted as portal URLs)'
+DISABLED_DOMAIN = 'domain "{}" is disabled by crawl policy'
+FOREIGN_HOST = 'hostname "{}" is not a registered hostname for this portal'
+DENYLISTED_PATH = 'matches denylisted path pattern "{}"'
+EXCLUDED_ROUTE = 'matches excluded route category "{}"'
 UNUSABLE_URL = "malformed URL"
 
 
-def _around(words: tuple[str, str], value: str) -> str:
-    return f"concat('{words[0]}', {value}, '{words[1]}')"
+def _around(template: str, value: str) -> str:
+    head, tail = template.split("{}")
+    return f"concat('{head}', {value}, '{tail}')"
 
 
 
@@ -248,15 +251,19 @@ def host_in_scope(host: str, hostnames: str) -> str:
     return f"exists({hostnames}, known -> lower(known) = lower({host}))"
 
 
-def denylist_match(path: str, patterns: tuple[str, ...]) -> str:
-    """SQL for the first matching pattern; unusable patterns are skipped."""
-    import re
+def _usable(pattern: str) -> bool:
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile("(?i)" + pattern)
+    except IllegalArgumentException:
+        return False
+    return True
+
 
+def denylist_match(path: str, patterns: tuple[str, ...]) -> str:
+    """SQL for the first matching pattern; patterns that the engine's regex language refuses are skipped."""
     branches = []
     for pattern in patterns:
-        try:
-            re.compile(pattern)
-        except re.error:
+        if not _usable(pattern):
             continue
         branches.append(f"WHEN {path} RLIKE {_quoted('(?i)' + pattern)} THEN {_quoted(pattern)}")
     return "CASE " + " ".join(branches) + " END" if branches else "CAST(NULL AS string)"

@@ -19,6 +19,13 @@ def union_candidates(parts: list[DataFrame]) -> DataFrame:
     return out.withColumn("order_key", F.struct("source_pos", "seq"))
 
 
+def ordered_candidates(candidates: DataFrame, sources: list[str]) -> DataFrame:
+    """One table of candidates in ingest order of ``sources``; a source that is not listed comes after them."""
+    place = F.array_position(F.array(*map(F.lit, sources)), F.col("source_id")).cast("int")
+    tagged = candidates.withColumn("source_pos", F.when(place > 0, place - 1).otherwise(len(sources)))
+    return tagged.withColumn("order_key", F.struct("source_pos", "seq"))
+
+
 def alias_map(aliases: DataFrame, options: UrlOptions = UrlOptions()) -> DataFrame:
     """(from_normalized, to_normalized); the last duplicate wins, any malformed side fails the build."""
     both = with_normalized_url(with_normalized_url(aliases, "from_url", "f", options), "to_url", "t", options)

@@ -140,7 +140,9 @@ def robots_groups(rules: DataFrame, user_agent: str, key: str = "host") -> DataF
         "__choice", F.when(named, F.struct(F.lit(0).alias("k"), F.col("__first").alias("l")))
         .when(F.col("agent") == "*", F.struct(F.lit(1).alias("k"), F.lit(0).alias("l"))))
     best = ranked.groupBy(key).agg(F.min_by("agent", "__choice").alias("agent"))
-    item = F.struct("pos", "type", "pattern", robots_regex(F.col("pattern")).alias("regex"))
+    # Most patterns are plain prefixes; only the others need a regex.
+    plain = ~F.col("pattern").contains("*") & ~F.col("pattern").endswith("$")
+    item = F.struct("pos", "type", "pattern", F.when(~plain, robots_regex(F.col("pattern"))).alias("regex"))
     usable = F.col("type").isNotNull() & (F.col("pattern") != "")
     return rules.join(best, [key, "agent"]).groupBy(key).agg(
         F.array_sort(F.collect_list(F.when(usable, item))).alias("rules"))
@@ -150,13 +152,14 @@ def robots_decisions(pages: DataFrame, groups: DataFrame, path: str = "path", ke
     """Longest matching rule decides, first on ties; no rule allows.
 
     The rules of a site come as one array, so a page row is never multiplied by
-    the number of rules. The join carries pages of a hot site on the streamed side.
+    the number of rules. Each distinct (site, path) is decided once.
     """
-    joined = pages.join(groups, key, "left")
+    joined = pages.select(key, path).distinct().join(groups, key, "left")
     hits = F.filter(F.coalesce("rules", F.expr("CAST(array() AS array<struct<pos:int,type:string,pattern:string,regex:string>>)")),
-                    lambda r: F.rlike(F.col(path), r["regex"]))
+                    lambda r: F.when(r["regex"].isNull(), F.startswith(F.col(path), r["pattern"])).otherwise(F.rlike(F.col(path), r["regex"])))
     best = F.array_max(F.transform(hits, lambda r: F.struct(F.length(r["pattern"]).alias("n"), (-r["pos"]).alias("p"), r["type"].alias("type"))))
-    return joined.withColumn("allowed", F.coalesce(best["type"] == "allow", F.lit(True))).drop("rules")
+    decided = joined.select(F.col(key).alias("__key"), F.col(path).alias("__path"), F.coalesce(best["type"] == "allow", F.lit(True)).alias("allowed"))
+    return pages.join(decided, F.col(key).eqNullSafe(F.col("__key")) & F.col(path).eqNullSafe(F.col("__path"))).drop("__key", "__path")
 
 
 # Bounded frontier ----------------------------------------------------------------

@@ -13,10 +13,8 @@ NOT_ASSESSABLE_RULES = ("availability.automation-blocked.v1", "availability.acce
 
 # Wording of the coverage note.
 NO_PAGES_NOTE = "No pages were attempted for this portal in the referenced crawl run."
-COVERAGE_NOTE = (
-    " of ", " attempted page check(s) returned a response; ", " link(s) checked",
-    "; browser rendering fallback was used for at least one page",
-)
+COVERAGE_NOTE = "{} of {} attempted page check(s) returned a response; {} link(s) checked{}."
+BROWSER_NOTE = "; browser rendering fallback was used for at least one page"
 
 
 def health_column() -> Column:
@@ -65,10 +63,9 @@ def crawl_coverage(pages: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def with_coverage_note(coverage: DataFrame) -> DataFrame:
-    observed, attempted, checked, browser = COVERAGE_NOTE
-    note = F.when(F.col("pages_attempted") == 0, NO_PAGES_NOTE).otherwise(F.concat(
-        F.col("pages_observed"), F.lit(observed), F.col("pages_attempted"), F.lit(attempted), F.col("links_checked"), F.lit(checked),
-        F.when(F.col("browser_fallback_used"), browser).otherwise(""), F.lit(".")))
+    browser = F.when(F.col("browser_fallback_used"), BROWSER_NOTE).otherwise("")
+    note = F.when(F.col("pages_attempted") == 0, NO_PAGES_NOTE).otherwise(
+        F.format_string(COVERAGE_NOTE.replace("{}", "%s"), "pages_observed", "pages_attempted", "links_checked", browser))
     return coverage.withColumn("coverage_note", note)
 
 

@@ -15,7 +15,8 @@ from webestate.plans import beds
 from webestate.plans import rule_queries as rq
 from webestate.plans.catalog import plain, query
 from webestate.plans.sql_beds import B2, B3, B7, ENTRY, PORTALS, SKIPS
-from webestate.session import materialise
+from webestate.session import materialise, scratch_path
+from webestate.sources import snapshots
 
 # Inputs ----------------------------------------------------------------------
 
@@ -419,7 +420,11 @@ _CSV = {
 
 @query("snk02_flat_export", ASM + "SELECT " + ", ".join(f'{v} AS "{k}"' for k, v in _CSV.items()) + " FROM asm")
 def snk02(spark, sf):
-    return publish.csv_rows(assessments(spark, sf))
+    """The written file, read back."""
+    path = scratch_path(spark, "csv-export")
+    snapshots.export_csv(assessments(spark, sf), path)
+    rows = spark.read.option("header", True).option("lineSep", "\r\n").option("quote", '"').option("escape", '"').csv(path)
+    return rows.fillna("")
 
 
 @query("snk04_portals_export", ASM + """SELECT portal_id AS id, name, canonical_url AS "canonicalUrl", department, portal_type AS "portalType", official_status AS "officialStatus",

@@ -441,9 +441,7 @@ def jn02(spark, sf):
 
 @query("se01_candidate_union", f"WITH {B1} SELECT source_id, CAST(CASE source_id WHEN 'dir' THEN 0 WHEN 'page' THEN 1 WHEN 'man' THEN 2 ELSE 3 END AS INTEGER) AS source_pos, seq, url FROM cand")
 def se01(spark, sf):
-    rows = beds.candidates(spark, sf)
-    parts = [rows.filter(F.col("source_id") == s) for s in ("dir", "page", "man", "dir2")]
-    return inventory.union_candidates(parts).select("source_id", "source_pos", "seq", "url")
+    return inventory.ordered_candidates(beds.candidates(spark, sf), ["dir", "page", "man"]).select("source_id", "source_pos", "seq", "url")
 
 
 @query("se04_unmatched_sources", f"WITH {B1} SELECT 'idle' AS source_id, 'enabled source has no input' AS warning UNION ALL SELECT DISTINCT 'x-' || tag, 'input has no enabled source, skipped' FROM cand")
