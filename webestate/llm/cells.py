@@ -23,10 +23,10 @@ ASKS = "step int, range int, cell bigint, hashes binary, extra binary"
 REPLIES = "step int, cell bigint, range int, bits binary, n int"
 
 
-def cells(docs: DataFrame) -> tuple[DataFrame, int]:
-    """``doc_id, text, cell`` and the number of hash ranges: two cells for each shuffle partition of the session, one range for two."""
+def cells(docs: DataFrame, each: int = 2) -> tuple[DataFrame, int]:
+    """``doc_id, text, cell`` and the number of hash ranges: ``each`` cells for each shuffle partition of the session, one range for two."""
     n = partitions(docs.sparkSession)
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(2 * n)).alias("cell")), max(1, n // 2)
+    return docs.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(each * n)).alias("cell")), max(1, n // 2)
 
 
 def cut(hashes: np.ndarray, ranges: int) -> np.ndarray:

@@ -10,7 +10,7 @@ suffix that a cell holds repeatedly is one entry, so a frequent passage costs on
 
 **Extension.** A match of 64 bytes is extended in both directions. First the whole context of the suffix (all strings
 through it) is compared: where it occurs again, all its strings are repeats. The other contexts, and one holder of each
-repeated context that has rivals, post their strings, whose 128-bit hashes are counted over all cells.
+repeated context that has rivals, post their strings, whose 96-bit hashes are counted over all cells.
 
 Cases: null text is empty; text shorter than ``span`` loses nothing. Ids play no part: equal rows are repeats of each
 other. Extra columns are ignored. Remaining bytes can cut a UTF-8 letter, so they are returned as binary.
@@ -80,7 +80,7 @@ class Cell:
         coded = [(t or "").encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()]
         self.span, self.raw = span, np.frombuffer(b"".join(coded), dtype=np.uint8)
         self.bounds = np.concatenate(([0], np.cumsum([len(x) for x in coded]))).astype(np.int64)
-        self.parts = slabs(self.bounds)
+        self.parts = slabs(self.bounds, 1 << 19)
         self.first = Hashed(self.raw, self.parts, BASES[0])
         self.at = np.concatenate([self._samples(a, b) for a, b in self.parts] or [np.zeros(0, dtype=np.int64)])
         text = np.searchsorted(self.bounds, self.at, "right") - 1
@@ -135,22 +135,23 @@ class Cell:
         self.starts = spans(self.begin[use], self.last[use])
         s1, s2 = self.first.of(self.starts, self.starts + self.span), self.second().of(self.starts, self.starts + self.span)
         order = np.lexsort((s2, s1))
-        fresh = np.concatenate(([True], (np.diff(s1[order]) != 0) | (np.diff(s2[order]) != 0)))[: len(order)]
+        fresh = np.concatenate(([True], (np.diff(s1[order]) != 0) | (np.diff(s2[order] >> U(32)) != 0)))[: len(order)]
         self.of = np.zeros(len(order), dtype=np.int64)
         self.of[order] = np.cumsum(fresh) - 1
-        self.s1, self.s2 = s1[order][fresh], s2[order][fresh]
+        self.s1, self.s2 = s1[order][fresh], (s2[order][fresh] >> U(32)).astype(np.uint32)
         self.twice = np.bincount(self.of, minlength=len(self.s1)) > 1
 
     def removed(self, settled: np.ndarray, found: np.ndarray) -> np.ndarray:
         """Mask of the bytes that go."""
-        edge = np.zeros(len(self.raw) + 1, dtype=np.int64)
+        self.first = self._second = None  # hashing is over
+        edge = np.zeros(len(self.raw) + 1, dtype=np.int32)
         all_in = settled[self.entry] & (self.last >= self.begin)
         np.add.at(edge, self.begin[all_in], 1)
         np.add.at(edge, self.last[all_in] + self.span, -1)
         gone = self.starts[found[self.of]]
         np.add.at(edge, gone, 1)
         np.add.at(edge, gone + self.span, -1)
-        return np.cumsum(edge)[:-1] > 0
+        return np.cumsum(edge, dtype=np.int32, out=edge)[:-1] > 0
 
 
 def _bools(parts: list[bytes]) -> np.ndarray:
@@ -247,9 +248,9 @@ def _settle(prints: np.ndarray, who: np.ndarray, extras: list[bytes]) -> np.ndar
 
 
 def _counted(hashes: np.ndarray, who: np.ndarray, extras: list[bytes]) -> np.ndarray:
-    n = [len(x) // 9 for x in extras]
-    second = np.concatenate([np.frombuffer(x[: 8 * k], dtype=np.uint64) for x, k in zip(extras, n, strict=True)])
-    twice = _bools([x[8 * k:] for x, k in zip(extras, n, strict=True)])
+    n = [len(x) // 5 for x in extras]
+    second = np.concatenate([np.frombuffer(x[: 4 * k], dtype=np.uint32) for x, k in zip(extras, n, strict=True)])
+    twice = _bools([x[4 * k:] for x, k in zip(extras, n, strict=True)])
     order = np.lexsort((second, hashes))
     group = np.cumsum(np.concatenate(([True], (np.diff(hashes[order]) != 0) | (np.diff(second[order]) != 0)))) - 1
     found = np.zeros(len(order), dtype=bool)
@@ -300,7 +301,7 @@ def dedup_suffixes(docs: DataFrame, span: int = 400, batches: int = BATCHES) ->
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept`` (binary)."""
     if span <= GRAM:
         raise ValueError(f"a string has more than {GRAM} bytes")
-    parted, ranges = c.cells(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    parted, ranges = c.cells(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), each=3)
     by_cell = parted.groupBy("cell")
     asked = materialise(by_cell.applyInArrow(lambda d: _ask_suffixes(d, span, ranges), c.ASKS), "suffix-lists")
     index, first = SuffixIndex(), None
