@@ -310,7 +310,7 @@ def dedup_suffixes(docs: DataFrame, span: int = 400, batches: int = BATCHES) ->
         first = found if first is None else first.unionByName(found)
     first = materialise(first, "suffix-replies")
     asked = by_cell.cogroup(first.groupBy("cell")).applyInArrow(lambda d, r: _ask_contexts(d, r, span, ranges), c.ASKS)
-    replies = first.unionByName(materialise(c.answer(asked, _settle), "context-replies"))
+    replies = first.unionByName(c.answer(asked, _settle))
     asked = by_cell.cogroup(replies.groupBy("cell")).applyInArrow(lambda d, r: _ask_strings(d, r, span, ranges), c.ASKS)
     replies = replies.unionByName(c.answer(asked, _counted))
     return by_cell.cogroup(replies.groupBy("cell")).applyInArrow(
