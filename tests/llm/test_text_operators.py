@@ -180,6 +180,27 @@ def test_language_edges(spark, given):
     assert untaught[0]["lang_pred"] == "und" and untaught[0]["rejected"]
 
 
+def test_unlearned_languages_are_rejected_at_every_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    known = [(r["doc_id"], r["text"], r["lang"], "s") for r in docs.collect()]
+    rng = random.Random(6)
+    foreign = [
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, ché la diritta via era smarrita. Ahi quanto a dir qual era è cosa dura",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować",
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(26))]
+    planted = [(900_000 + 10 * i + k, " ".join([text] * k), None, "s") for i, text in enumerate(foreign) for k in (1, 3, 7, 12)]
+    short = [(910_000 + i, "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(20, 60))), None, "s") for i in range(20)]
+    clean = [t for _, t, _, _ in known if len(t) > 2000 and len(set(t.split())) > 150][:40]
+    keyed = [(920_000 + i, " ".join(t.split()[:n]) + " token = \"" + "".join(rng.choice("0123456789abcdef") for _ in range(40)) + "\" 4011-2233-0099 a.b7@mail4.example.com", None, "s")
+             for i, (t, n) in enumerate((t, n) for t in clean for n in (6, 15, 60))]
+    out = {r["doc_id"]: r for r in langid.language_digest(table(spark, [*known, *planted, *short, *keyed])).collect()}
+    assert len(missed := [i for i, *_ in planted if not out[i]["rejected"]]) <= 3, missed
+    assert sum(out[i]["rejected"] for i, *_ in short) >= 15
+    assert sum(out[i]["rejected"] for i, *_ in keyed) <= 2
+    assert sum(out[i]["rejected"] for i, *_ in known) <= 0.005 * len(known)
+
+
 def test_secrets_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     known = F.col("candidate").rlike("^AKIA[0-9A-Z]{16}$") | (F.col("before").rlike("(token|password) ?= ?\"?$") & F.col("candidate").rlike("^[0-9a-f]{16,}$"))

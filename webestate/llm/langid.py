@@ -1,11 +1,13 @@
 """Language identification by the nearest centroid of TF-IDF character n-grams.
 
 Letters are lower-cased, everything else is a boundary; the one-, two- and three-letter grams are hashed into
-``DIMS`` features. Document frequencies come from every learnable row. Each language is then clustered (spherical
+``DIMS`` features. Keys, addresses and other runs with a digit, ``@`` or ``_`` are left out, unless no letter is left. Document frequencies come from every learnable row. Each language is then clustered (spherical
 k-means) on a bounded sample of its rows, ``per_language`` expected rows chosen by a hash of the id, and a document is
 compared with all centroids by cosine. A document is rejected if it has no letter or if its best cosine is below the
-floor that the model learned for texts of its length: ``margin`` times the lowest cosine of a sampled row in that class,
-``most`` at most (short texts full of numbers or keys stay above it, other scripts below).
+floor that its language has for texts of its length: ``margin`` times the ``quantile`` of the cosines in that length class
+alone. Those come from sampled rows and from pieces of them, one of each shorter class a row, so no short class is thin;
+either half of the sample is measured on centroids of the other half. A class longer than every sampled row takes the
+floor of the longest one that has some.
 
 Cases: null, empty or letterless text gives ``und``, score 0, rejected. Rows without a language teach nothing. If no row
 can teach, every document is ``und``. Ties go to the language that is first in code-point order. Languages are few:
@@ -14,6 +16,7 @@ their names, counts and centroids are the only data that pass the driver.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 DIMS = 4096
 #: Upper ends of the length classes, in letters, for the rejection floors.
 LENGTHS = (16, 64, 256, 1024)
+#: Runs that are keys or addresses, not words.
+KEYED = re.compile(r"(?<![0-9A-Za-z_@+/=.:%&?#~-])[A-Za-z+/=.:%&?#~-]*+[0-9_@][0-9A-Za-z_@+/=.:%&?#~-]*+", re.ASCII)
 
 
 @lru_cache(maxsize=1)
@@ -42,9 +47,14 @@ def _letters() -> np.ndarray:
 
 
 def gram_counts(text: str | None) -> tuple[np.ndarray, int]:
-    """Counts of hashed grams and the number of letters."""
+    """Counts of hashed grams and the number of letters, of words alone where there are any."""
     if not text:
         return np.zeros(DIMS, dtype=np.int64), 0
+    counts, n = _gram_counts(plain := KEYED.sub(" ", text))
+    return (counts, n) if n or plain == text else _gram_counts(text)
+
+
+def _gram_counts(text: str) -> tuple[np.ndarray, int]:
     x = _letters()[np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)]
     x = np.concatenate(([0], x, [0])).astype(np.uint32)
     mid, left, right = x[1:-1], x[:-2], x[2:]
@@ -81,6 +91,37 @@ def _clusters(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c.astype(np.float32)
 
 
+def _pieces(text: str, rng: np.random.Generator) -> list[str]:
+    """One piece of ``text`` for each length class that is shorter: whole words, or characters where no blank parts them."""
+    parts, glue = (words, " ") if len(words := KEYED.sub(" ", text).split()) > 1 else (list(text), "")
+    ends = np.cumsum([len(x) for x in parts])
+    out = []
+    for low, high in zip((4, *LENGTHS), LENGTHS, strict=False):
+        size = int(np.exp(rng.uniform(np.log(low), np.log(high))))
+        if len(parts) and ends[-1] > size:
+            start = int(rng.integers(np.searchsorted(ends, ends[-1] - size) + 1))
+            before = ends[start] - len(parts[start])
+            out.append(glue.join(parts[start:int(np.searchsorted(ends, before + size)) + 1]))
+    return out
+
+
+def _floors(texts: list[str], idf: np.ndarray, clusters: int, quantile: float, margin: float) -> np.ndarray:
+    """The lowest cosine that passes, of each length class."""
+    halves, cosines, kinds = (texts[::2], texts[1::2] or texts), [], []
+    rng = np.random.default_rng(len(texts))
+    for mine, other in (halves, halves[::-1]):
+        c = _clusters(_vectors(other, idf)[0], clusters)
+        for text in mine:
+            v, sizes = _vectors([text, *_pieces(text, rng)], idf)
+            cosines.append((v @ c.T).max(1)[sizes > 0])
+            kinds.append(np.searchsorted(LENGTHS, sizes[sizes > 0]))
+    best, kind = np.concatenate(cosines), np.concatenate(kinds)
+    floors = [float(np.quantile(best[kind == j], quantile)) * margin if (kind == j).any() else None for j in range(len(LENGTHS) + 1)]
+    for j in range(1, len(floors)):
+        floors[j] = floors[j - 1] if floors[j] is None else floors[j]
+    return np.asarray([x or 0.0 for x in floors], dtype=np.float32)
+
+
 @dataclass
 class Model:
     languages: list[str] = field(default_factory=list)
@@ -108,7 +149,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = 600, clusters: int = 4, margin: float = 0.25, most: float = 0.05) -> Model:
+def fit(docs: DataFrame, per_language: int = 600, clusters: int = 4, quantile: float = 0.01, margin: float = 0.8) -> Model:
     """Learn from rows with a text and a language that are not held out."""
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
 
@@ -132,15 +173,13 @@ def fit(docs: DataFrame, per_language: int = 600, clusters: int = 4, margin: flo
     sample = learn.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(steps)) < share[F.col("lang")])
 
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
-        v, sizes = _vectors(group.sort_values(["doc_id", "text"])["text"], idf)
-        v, sizes = v[sizes > 0], sizes[sizes > 0]
+        texts = group.sort_values(["doc_id", "text"])["text"].tolist()
+        v, sizes = _vectors(texts, idf)
+        v, texts = v[sizes > 0], [t for t, n in zip(texts, sizes, strict=True) if n]
         if len(v) == 0:
             return pd.DataFrame({"lang": [], "centroids": [], "floors": []})
-        c = _clusters(v, clusters)
-        best, kind = (v @ c.T).max(1), np.searchsorted(LENGTHS, sizes)
-        lowest = [best[kind <= j].min() if (kind <= j).any() else 0.0 for j in range(len(LENGTHS) + 1)]
-        floors = [min(most, margin * float(min(lowest[j:]))) for j in range(len(lowest))]
-        return pd.DataFrame({"lang": [group["lang"].iloc[0]], "centroids": [c.astype(np.float32).tobytes()], "floors": [np.asarray(floors, dtype=np.float32).tobytes()]})
+        c, floors = _clusters(v, clusters), _floors(texts, idf, clusters, quantile, margin)
+        return pd.DataFrame({"lang": [group["lang"].iloc[0]], "centroids": [c.astype(np.float32).tobytes()], "floors": [floors.tobytes()]})
 
     found = sorted(sample.groupBy("lang").applyInPandas(centroids, "lang string, centroids binary, floors binary").collect())
     parts = [np.frombuffer(r["centroids"], dtype=np.float32).reshape(-1, DIMS) for r in found]
