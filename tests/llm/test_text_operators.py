@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from webestate.llm import decontam, langid, lines, mixing, near, passages, secrets, suffixes
+from webestate.llm import decontam, langid, lines, mixing, near, passages, queries, secrets, suffixes
 
 #: Extra columns with names that operators use inside.
 SCHEMA = ("doc_id bigint, text string, lang string, source string, n_chars bigint, cell string, h1 string, mark string, rep string, size string, "
@@ -208,6 +208,27 @@ def test_secrets_of_held_out_documents(spark):
     assert len(out) > 40 and sum(r["known"] for r in out) >= 3 and sum(r["known"] != r["secret"] for r in out) <= 1
 
 
+def verdicts(spark, tmp_path, wanted, plain):
+    """What op1 says of the values ``wanted`` and ``plain``, each planted in a text of its own between the documents of sf0.01."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    texts = [f"on the thing and erin {before}{value}{after} the of er" for before, value, after in (*wanted, *plain)]
+    docs.unionByName(spark.createDataFrame([(800_000 + i, t, "en", f"src{i % 8}") for i, t in enumerate(texts)], docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {(r["doc_id"], r["candidate_sha256"]): r["secret"] for r in queries.op1_secret_scan(spark, str(tmp_path)).where("doc_id >= 800000").collect()}
+    found = [out.get((800_000 + i, brute.sha(v.encode()))) for i, (_, v, _) in enumerate((*wanted, *plain))]
+    return found[:len(wanted)], found[len(wanted):]
+
+
+def test_upper_case_and_other_secrets_are_not_taught_as_false(spark, tmp_path):
+    rng = random.Random(9)
+    value = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    wide = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    wanted = [x for _ in range(20) for x in (
+        ('TOKEN = "', value("0123456789ABCDEF", 40), '"'), ("api_key: ", value(wide, 32), ""), ('password="', value(wide + "+/", 28), '"'), ("access_key=", "ghp_" + value(wide, 36), ""))]
+    found, _ = verdicts(spark, tmp_path, wanted, [])
+    assert None not in found
+    assert all(sum(found[k::4]) >= 18 for k in range(4)), [sum(found[k::4]) for k in range(4)]
+
+
 def test_secret_edges(spark):
     rows = [(1, None), (2, ""), (3, "password=0123456789abcdef0 and 0123456789abcdef0-tail"), (3, "password=0123456789abcdef0 and 0123456789abcdef0-tail"), (4, "plain words only"), (None, "x" * 5000)]
     found = secrets.findings(table(spark, rows)).collect()

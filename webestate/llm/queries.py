@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webestate.llm import decontam, langid, lines, mixing, near, passages, secrets, suffixes, twins, urlfilter, vectors
@@ -12,13 +12,21 @@ from webestate.llm.common import read
 
 
 #: Formats that label a finding as a secret: an access key id, or a hexadecimal value assigned to a credential word.
-KEY_ID, ASSIGNED, HEX = r"^AKIA[0-9A-Z]{16}$", r"(?i)(token|password|secret)\s*=\s*[\"']?$", r"^[0-9a-f]{16,}$"
+KEY_ID, ASSIGNED, HEX = r"^AKIA[0-9A-Z]{16}$", r"(?i)(token|password|secret)\s*=\s*[\"']?$", r"(?i)^[0-9a-f]{16,}$"
+#: What may be a secret of another format: an assigned value, or letters and digits in one run. Such findings have no label.
+VALUE, MIXED = r"[=:]\s*[\"']?$", r"[A-Za-z][0-9]|[0-9][A-Za-z]"
+
+
+def secret_label() -> Column:
+    """True for the known formats, False for words and numbers that stand by no credential word and no assignment, else null."""
+    known = F.col("candidate").rlike(KEY_ID) | (F.col("before").rlike(ASSIGNED) & F.col("candidate").rlike(HEX))
+    unclear = F.col("before").rlike(secrets.CREDENTIAL) | F.col("before").rlike(VALUE) | F.col("candidate").rlike(MIXED)
+    return F.when(known, True).when(~unclear, False)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings with the forest's verdict; labels come from formats, in documents that are not held out."""
-    known = F.col("candidate").rlike(KEY_ID) | (F.col("before").rlike(ASSIGNED) & F.col("candidate").rlike(HEX))
-    found = secrets.scan(read(spark, sf_dir, "documents"), known, ~langid.held_out(F.col("doc_id")))
+    found = secrets.scan(read(spark, sf_dir, "documents"), secret_label(), ~langid.held_out(F.col("doc_id")))
     return found.select("doc_id", "nth", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").alias("n_chars"),
                         langid.held_out(F.col("doc_id")).alias("held_out"), "probability", "secret")
 
