@@ -229,6 +229,24 @@ def test_upper_case_and_other_secrets_are_not_taught_as_false(spark, tmp_path):
     assert all(sum(found[k::4]) >= 18 for k in range(4)), [sum(found[k::4]) for k in range(4)]
 
 
+def test_values_after_credential_words_are_findings(spark):
+    dotted = "ab.cd!ef@gh.ij#kl$mn%op=qr"
+    rows = [(1, 'password = "Tr0ub4dor&3"'), (2, "pwd: hunter2!x, then"), (3, f"AUTH_TOKEN={dotted}."), (4, "{'api-key': 'q w.e-r t'}"), (5, "author: somebody, secret=abc"), (6, 'token="closed1 not here'),
+            (7, "the password Tr0ub4dor&3"), (8, "secret = " + "aB3." * 9 + " and 0123456789abcdef0"), (9, 'DB_PASSWORD_2 := "' + "a" * 15 + '"')]
+    assert got(secrets.findings(table(spark, rows)), "doc_id", "candidate") == [
+        (1, "Tr0ub4dor&3"), (2, "hunter2!x"), (3, dotted), (4, "q w.e-r t"),
+        (6, "closed1"), (8, "0123456789abcdef0"), (8, "aB3." * 8 + "aB3"), (9, "a" * 15)]
+
+
+def test_short_and_dotted_secrets_are_kept(spark, tmp_path):
+    rng = random.Random(10)
+    value = lambda n: "".join(rng.choice("ABCDEFGHJKMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789") for _ in range(n))
+    wanted = [x for _ in range(20) for x in (('password = "', value(8) + "&3", '"'), ("secret=", value(9) + "!x", ""), ("token: ", ".".join((value(10), value(12), value(9))), ""))]
+    found, _ = verdicts(spark, tmp_path, wanted, [])
+    assert None not in found
+    assert all(sum(found[k::3]) >= 16 for k in range(3)), [sum(found[k::3]) for k in range(3)]
+
+
 def test_secret_edges(spark):
     rows = [(1, None), (2, ""), (3, "password=0123456789abcdef0 and 0123456789abcdef0-tail"), (3, "password=0123456789abcdef0 and 0123456789abcdef0-tail"), (4, "plain words only"), (None, "x" * 5000)]
     found = secrets.findings(table(spark, rows)).collect()

@@ -1,6 +1,8 @@
 """Secret scans: token candidates, and a random forest that removes the false positives.
 
-Candidates are runs of at least ``min_chars`` of ``[A-Za-z0-9_+/-]``. Features of a finding:
+Candidates are the values right after a credential word and ``=`` or ``:``, quoted or up to the next white space, of at
+least ``min_value`` characters of any kind, and elsewhere runs of at least ``min_chars`` of ``[A-Za-z0-9_+/-]``. Closing
+punctuation does not belong to a value without quotes. Features of a finding:
 
 - candidate length, and shares of digits, upper and lower case;
 - character transitions: changes between character classes per character, and the mean log-probability of neighbouring
@@ -29,12 +31,21 @@ from webestate.session import materialise
 
 NEAR = 40
 CREDENTIAL = r"(?i)(token|passw(or)?d|pwd|secret|api_?key|access_?key|auth|credential)"
+#: What stands between a value and the credential word that it belongs to: the rest of a name, a sign, a quote.
+NAMED = CREDENTIAL.replace("_?key", "[_-]?key") + r"(s|(?-i:[A-Z0-9_-])[A-Za-z0-9_-]{0,20})?[\"']?[ \t]{0,4}(:=|=>|==?|:)[ \t]{0,4}"
 FEATURES = ("length", "digits", "uppers", "lowers", "turns", "fluency", "coverage", "path_rate", "assigned", "quoted", "credential", "closed")
 
 
-def findings(docs: DataFrame, min_chars: int = 16) -> DataFrame:
+def _value(min_value: int) -> str:
+    """Pattern of a value after a credential word. The short look-behinds come first: they turn nearly every place away."""
+    double, single, bare = (rf"(?<=[=:>][ \t]{{0,4}}{quote})(?<={NAMED}{quote})" for quote in ('"', "'", ""))
+    return (rf"(?<=\")(?:{double}[^\"\r\n]{{{min_value},}}(?=\"))|(?<=')(?:{single}[^'\r\n]{{{min_value},}}(?='))"
+            rf"|(?<=[=:> \t\"'])(?:{double}|{single}|{bare})[^\s\"']\S{{{min_value - 2},}}(?<![.,;)\]}}\"'])")
+
+
+def findings(docs: DataFrame, min_chars: int = 16, min_value: int = 6) -> DataFrame:
     """``doc_id, source, nth, candidate, before, after``: every candidate with the text around it."""
-    token = rf"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{{{min_chars},}}(?![A-Za-z0-9_+/-])"
+    token = rf"{_value(min_value)}|(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{{{min_chars},}}(?![A-Za-z0-9_+/-])"
     pieces = F.transform(F.split("text", token, -1), lambda x: F.struct(F.left(x, F.lit(NEAR)).alias("head"), F.right(x, F.lit(NEAR)).alias("tail")))
     cut = docs.where(F.col("text").rlike(token)).select("doc_id", "source", F.regexp_extract_all("text", F.lit(token), F.lit(0)).alias("found"), pieces.alias("pieces"))
     each = cut.select("doc_id", "source", "pieces", F.posexplode("found").alias("nth", "candidate"))
