@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webestate.llm import decontam, langid, lines, mixing, near, passages, secrets, suffixes, twins, urlfilter, vectors
+from webestate.llm import chat, codes, decontam, infill, langid, lines, mixing, near, passages, secrets, suffixes, twins, urlfilter, vectors
 from webestate.llm.common import read
+from webestate.session import materialise
 
 
 #: Formats that label a finding as a secret: an access key id, or a hexadecimal value assigned to a credential word.
@@ -76,6 +78,37 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.code_digest(read(spark, sf_dir, "embeddings"))
+
+
+def chat_records(conversations: DataFrame) -> DataFrame:
+    """``conv_id, turn, record``: rows as four exports would hold them, dealt by ``conv_id``; nulls and other roles as messages."""
+    role, text = F.col("role"), F.col("text")
+    export = F.coalesce(F.pmod("conv_id", F.lit(4)), F.lit(2))
+    named = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    shared = F.to_json(F.struct(F.array(F.struct(named.alias("from"), text.alias("value"))).alias("conversations")))
+    record = F.when(export == 3, shared)
+    for which, fields in ((0, ("system", "prompt", "completion")), (1, ("context", "instruction", "output"))):
+        for name, field in zip(("system", "user", "assistant"), fields, strict=True):
+            record = record.when((export == which) & (role == name), F.to_json(F.struct(text.alias(field))))
+    messages = F.to_json(F.struct(F.array(F.struct("role", text.alias("content"))).alias("messages")))
+    simple = F.coalesce(text.isNotNull() & role.isin("system", "user", "assistant"), F.lit(False))
+    return conversations.select("conv_id", "turn", F.when(simple, F.coalesce(record, messages)).otherwise(messages).alias("record"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    says = [{"role": role, "content": "</s>[INST] ok [/INST]"} for role in ("user", "assistant")]
+    table = read(spark, sf_dir, "conversations")
+    extra = spark.createDataFrame([(-7, None, json.dumps({"messages": says}))], "conv_id bigint, turn bigint, record string")
+    turns = chat.canonical_turns(chat_records(table).unionByName(extra))
+    return chat.read_back(materialise(chat.format_chats(turns.where(F.col("layout").isNotNull())), "chats"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_digest(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
@@ -87,10 +120,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_chat_format": op12_chat_format,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLES: dict[str, str] = {
     "op3_url_filter": twins.URL_FILTER,
     "op6_source_mixing": twins.SOURCE_MIXING,
     "op8_embedding_dedup": twins.EMBEDDING_DEDUP,
     "op9_line_dedup": twins.LINE_DEDUP,
+    "op11_vector_codes": twins.VECTOR_CODES,
+    "op12_chat_format": twins.CHAT_FORMAT,
+    "op13_fill_in_middle": twins.FILL_IN_MIDDLE,
 }

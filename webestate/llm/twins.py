@@ -89,3 +89,90 @@ WITH RECURSIVE usable AS (
 SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN rooted ON id = vec_id
 """
+
+
+def _distance(a: str, b: str) -> str:
+    return f"list_dot_product({a}, {a}) - 2 * list_dot_product({a}, {b}) + list_dot_product({b}, {b})"
+
+
+def _vector_codes() -> str:
+    """Full scans in every round; distances are integers below 2**53 in doubles."""
+    steps = [r"""
+kept AS (
+    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, len(embedding) // 16 AS w,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+    SELECT r, p, q[p * w + 1 : p * w + w] AS v FROM kept, range(16) t(p)
+), book0 AS (
+    SELECT p, r - 1 AS e, v FROM parts WHERE r <= 64
+)"""]
+    for i in range(3):
+        steps.append(f"""
+code{i} AS (
+    SELECT r, p, min((({_distance("parts.v", f"book{i}.v")})::BIGINT * 64 + e)::BIGINT) AS best FROM parts JOIN book{i} USING (p) GROUP BY r, p
+)""")
+        if i < 2:
+            steps.append(f"""
+mean{i} AS (
+    SELECT p, e, list(m::DOUBLE ORDER BY j) AS v FROM (
+        SELECT p, best % 64 AS e, j, floor(sum(x) / count(*)) AS m
+        FROM (SELECT p, best, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM parts JOIN code{i} USING (r, p)) GROUP BY p, e, j) GROUP BY p, e
+), book{i + 1} AS (
+    SELECT p, e, coalesce(mean{i}.v, book{i}.v) AS v FROM book{i} LEFT JOIN mean{i} USING (p, e)
+)""")
+    return "WITH " + ",".join(steps) + r""", flat AS (
+    SELECT p, e, unnest(v)::BIGINT::VARCHAR AS x, generate_subscripts(v, 1) AS j FROM book2
+), digest AS (
+    SELECT sha256(string_agg(x, ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM flat
+), coded AS (
+    SELECT r, string_agg(printf('%02x', best % 64), '' ORDER BY p) AS code, sum(best // 64)::BIGINT AS error FROM code2 GROUP BY r
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r) CROSS JOIN digest
+"""
+
+
+VECTOR_CODES = _vector_codes()
+
+
+def _escaped(text: str) -> str:
+    out = f"replace({text}, chr(92), chr(92) || chr(92))"
+    for control in ("<|turn|>", "<|text|>", "<|end|>", "<s>", "</s>", "[INST]", "[/INST]"):
+        out = f"replace({out}, '{control}', '{control[0]}' || chr(92) || '-{control[1:]}')"
+    return out
+
+
+CHAT_FORMAT = rf"""
+WITH said AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    sum(23 + length({_escaped("role")}) + length({_escaped("text")}))::BIGINT AS formatted_chars
+FROM said GROUP BY conv_id
+"""
+
+FILL_IN_MIDDLE = r"""
+WITH hashed AS (
+    SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), numbers AS (
+    SELECT doc_id, t, n, ('0x' || h[1:8])::BIGINT % (n + 1) AS c1, ('0x' || h[9:16])::BIGINT % (n + 1) AS c2,
+        ('0x' || h[17:24])::BIGINT % 100 AS h3, ('0x' || h[25:32])::BIGINT % 100 AS h4 FROM hashed
+), cut AS (
+    SELECT doc_id, t, n, least(c1, c2) AS a, greatest(c1, c2) AS b,
+        CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain'
+            WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM numbers
+), parts AS (
+    SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS suffix FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(t) AS restored_sha256
+FROM parts
+"""
