@@ -209,9 +209,11 @@ def output_texts(outputs: DataFrame) -> DataFrame:
 
 
 def infill_digest(docs: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256``."""
-    stored = materialise(store_frames(docs), "frames")
-    outputs = materialise(fill_in_middle(stored), "infill")
+    """One row per document: ``doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256``.
+
+    Only the stored frames are written; outputs are digested as they are made.
+    """
+    outputs = fill_in_middle(materialise(store_frames(docs), "frames"))
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         pairs = [(f.sha256(), f.sha256(*original_ranges(f, form))) for f, form in zip(_frames(batch.column("frames")), batch.column("form").to_pylist(), strict=True)]
