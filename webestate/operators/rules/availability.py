@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webestate.functions.checks import observation_summary
 from webestate.operators.rules.base import (
-    ENTRY_GROUPS, Rule, RuleContext, draft, effective_attempts, emit, findings_from, int_param, quoted, register_rule,
+    ENTRY_GROUPS, MIN_SPACING_MINUTES, Rule, RuleContext, draft, effective_attempts, emit, findings_from, int_param, quoted, register_rule,
 )
 from webestate.operators.rules.wording import SUMMARIES, TITLES
 
@@ -16,6 +16,12 @@ BY_HAND = "suggestion.manual-verification.v1"
 ONE_RUN = "array('Attempts are those of one run; they are not spread over days.')"
 
 
+def attempts_note(ctx: RuleContext, parameters: dict) -> str:
+    """Limitation that says how attempts were counted."""
+    least = int_param(parameters, "minSpacingMinutes", MIN_SPACING_MINUTES)
+    return f"array('Attempts of several runs count when at least {least} minutes apart.')" if ctx.several_runs else ONE_RUN
+
+
 def text(template: str, **values: str) -> str:
     """SQL concatenation of a template whose {names} stand for SQL expressions."""
     parts, rest = [], template
@@ -45,25 +51,25 @@ def entry_draft(rule_id: str, category: str, group: str, suggestion: str, eviden
 
 
 def unavailable(ctx: RuleContext, parameters: dict, prior: str) -> str:
-    count = effective_attempts("failed")
+    count = effective_attempts("failed", ctx)
     return emit(f"{count} >= {int_param(parameters, 'spacedAttempts', 3)}", entry_draft(
         "availability.unavailable.v1", "availability", "failed", REPEAT, "http_response_snapshot",
         title=quoted(TITLES["unavailable"]),
         summary=text(SUMMARIES["unavailable"], count=count),
-        severity="'critical'", confidence="'high'", check_status="'fail'", limitations=ONE_RUN,
+        severity="'critical'", confidence="'high'", check_status="'fail'", limitations=attempts_note(ctx, parameters),
         evidence_description=text("The entry page at {canonical_url} failed to load on {failed_n} attempt(s)."),
     ))
 
 
 def server_error(ctx: RuleContext, parameters: dict, prior: str) -> str:
-    count, least = effective_attempts("server"), int_param(parameters, "minRepeatedOccurrences", 2)
+    count, least = effective_attempts("server", ctx), int_param(parameters, "minRepeatedOccurrences", 2)
     sustained = f"{count} > {least}"
     return emit(f"{count} >= {least}", entry_draft(
         "availability.server-error.v1", "availability", "server", REPEAT, "http_response_snapshot",
         title=f"if({sustained}, {quoted(TITLES['server_error_sustained'])}, {quoted(TITLES['server_error'])})",
         summary=text(SUMMARIES["server_error"], count=count),
         severity=f"if({sustained}, 'critical', 'significant')",
-        confidence="'high'", check_status="'fail'", limitations=ONE_RUN,
+        confidence="'high'", check_status="'fail'", limitations=attempts_note(ctx, parameters),
         evidence_description=text("The entry page at {canonical_url} returned a server error on {server_n} attempt(s)."),
     ))
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from webestate.functions.checks import final_url
 from webestate.functions.urls import host_of
+from webestate.operators.spacing import count_spaced
 
 FINDING_FIELDS = (
     "subject", "rule_id", "category", "title", "summary", "severity", "confidence",
@@ -82,6 +83,8 @@ class RuleContext:
     skips: DataFrame
     max_pages: int = 40
     max_depth: int = 2
+    #: Whether ``pages`` holds the checks of several runs; repeated failures then count by their spacing in time.
+    several_runs: bool = False
 
     @property
     def now(self) -> str:
@@ -120,6 +123,16 @@ class RuleContext:
                 aggs.append(f"array_join(array_sort(collect_set({day})), ', ') AS {name}_dates")
         return self.entry_rows.groupBy("portal_id").agg(*map(F.expr, aggs))
 
+    def spaced_attempts(self, minutes: dict[str, int]) -> DataFrame:
+        """``portal_id`` and, for each group of entry checks, ``<group>_spaced``: how many are at least so many minutes apart."""
+        hits = [F.when(F.expr(ENTRY_GROUPS[g]), F.struct(F.lit(g).alias("kind"), F.lit(m).alias("minutes"))) for g, m in sorted(minutes.items())]
+        rows = self.entry_rows.select("portal_id", "checked_at", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("portal_id", "checked_at", "hit.*")
+        out = None
+        for m in sorted(set(minutes.values())):
+            counts = count_spaced(rows.where(F.col("minutes") == m), ["portal_id", "kind"], "checked_at", m, days=1 + m // 1440)
+            out = counts if out is None else out.unionByName(counts)
+        return out.groupBy("portal_id").agg(*(F.max(F.when(F.col("kind") == g, F.col("spaced_n"))).alias(f"{g}_spaced") for g in sorted(minutes)))
+
     @cached_property
     def coverage(self) -> DataFrame:
         return coverage_facts(self.pages, self.skips)
@@ -143,8 +156,15 @@ class RuleContext:
         )
 
 
-def effective_attempts(group: str) -> str:
-    """Larger of the number of rows and the highest attempt number in them."""
+#: Groups of entry checks whose rule counts attempts by spacing when several runs are given, by rule.
+SPACED_RULES = {"availability.unavailable.v1": "failed", "availability.server-error.v1": "server"}
+MIN_SPACING_MINUTES = 15
+
+
+def effective_attempts(group: str, ctx: RuleContext | None = None) -> str:
+    """Larger of the number of rows and the highest attempt number in them; over several runs, the spaced attempts."""
+    if ctx is not None and ctx.several_runs:
+        return f"coalesce({group}_spaced, 0L)"
     return f"greatest({group}_n, coalesce({group}_attempt, 0), 0L)"
 
 
@@ -262,7 +282,11 @@ def run_rules(ctx: RuleContext, checks: list[dict] | None = None, registry: list
     for rule, parameters in selected:
         if rule.portal_findings is None:
             continue
-        wide = ctx.profile.withColumn("prior", F.expr(NO_FINDINGS)) if wide is None else wide
+        if wide is None:
+            wide = ctx.profile.withColumn("prior", F.expr(NO_FINDINGS))
+            minutes = {SPACED_RULES[r.rule_id]: int_param(p, "minSpacingMinutes", MIN_SPACING_MINUTES) for r, p in selected if r.rule_id in SPACED_RULES}
+            if ctx.several_runs and minutes:
+                wide = wide.join(ctx.spaced_attempts(minutes), "portal_id", "left")
         own = f"coalesce({rule.portal_findings(ctx, parameters, 'prior')}, {NO_FINDINGS})"
         if rule.category == "availability":
             wide = wide.withColumn("prior", F.expr(f"concat(prior, {own})"))
