@@ -72,7 +72,7 @@ B1 = """cand AS (
     CASE WHEN page_id % 5 = 0 THEN ' ' ELSE 'DEPT_' || (page_id % 7) END AS department,
     regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1) AS tag,
     CASE page_id % 3 WHEN 0 THEN 'listed' WHEN 1 THEN 'outbound_link' ELSE 'manual' END AS discovery_method
-  FROM (SELECT *, trim(regexp_replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&'), '\\s+', ' ', 'g')) AS t FROM pages)),
+  FROM (SELECT *, trim(regexp_replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS t FROM pages)),
 canon AS (
   SELECT *, regexp_replace(url, '/$', '') AS normalized,
     CASE WHEN url LIKE 'http://m.%' THEN 'https' || substr(url, 5) ELSE url END AS canonical,
