@@ -68,6 +68,8 @@ ENTRY_GROUPS = {
     "tls": "error_code IN ('TLS_CERT_EXPIRED', 'TLS_HOST_MISMATCH')",
     "clean": "error_code IS NULL",
 }
+#: Groups of entry checks whose days a summary names.
+DATED_GROUPS = ("failed", "server", "missing")
 
 
 @dataclass
@@ -85,6 +87,9 @@ class RuleContext:
     max_depth: int = 2
     #: Whether ``pages`` holds the checks of several runs; repeated failures then count by their spacing in time.
     several_runs: bool = False
+    #: Merged :func:`entry_partials` and :func:`address_partials` of checks that are not in ``pages``, for portal rules.
+    stored_entry: DataFrame | None = None
+    stored_addresses: DataFrame | None = None
 
     @property
     def now(self) -> str:
@@ -108,20 +113,7 @@ class RuleContext:
     @cached_property
     def entry(self) -> DataFrame:
         """One row per portal: counts, first row and dates of each kind of entry check."""
-        row = "struct(checked_at, http_status, error_code, error_message, observation_id)"
-        aggs = ["count(*) AS entries", "min_by(final_url, seq) AS first_final_url"]
-        for name, hit in ENTRY_GROUPS.items():
-            at = f"CASE WHEN {hit} THEN seq END"
-            aggs += [
-                f"count_if({hit}) AS {name}_n",
-                f"max(CASE WHEN {hit} THEN attempt END) AS {name}_attempt",
-                f"min_by({row}, {at}) AS {name}_first",
-                f"max_by(checked_at, {at}) AS {name}_last",
-            ]
-            if name in ("failed", "server", "missing"):
-                day = f"CASE WHEN {hit} THEN date_format(checked_at, 'yyyy-MM-dd') END"
-                aggs.append(f"array_join(array_sort(collect_set({day})), ', ') AS {name}_dates")
-        return self.entry_rows.groupBy("portal_id").agg(*map(F.expr, aggs))
+        return entry_facts(self.stored_entry if self.stored_entry is not None else entry_partials(self.entry_rows))
 
     def spaced_attempts(self, minutes: dict[str, int]) -> DataFrame:
         """``portal_id`` and, for each group of entry checks, ``<group>_spaced``: how many are at least so many minutes apart."""
@@ -135,7 +127,7 @@ class RuleContext:
 
     @cached_property
     def coverage(self) -> DataFrame:
-        return coverage_facts(self.pages, self.skips)
+        return coverage_facts(self.stored_addresses if self.stored_addresses is not None else address_partials(self.pages), self.skips)
 
     @cached_property
     def portal_sources(self) -> DataFrame:
@@ -168,15 +160,53 @@ def effective_attempts(group: str, ctx: RuleContext | None = None) -> str:
     return f"greatest({group}_n, coalesce({group}_attempt, 0), 0L)"
 
 
-def coverage_facts(pages: DataFrame, skips: DataFrame) -> DataFrame:
-    """Per portal: distinct addresses observed, time span and skip reasons.
+def entry_partials(rows: DataFrame) -> DataFrame:
+    """Entry checks summed up per portal, in a form that :func:`merged_entry` can put together again."""
+    row = "struct(seq, struct(checked_at, http_status, error_code, error_message, observation_id) AS row)"
+    aggs = ["count(*) AS entries", "min(CASE WHEN seq IS NOT NULL THEN struct(seq, final_url) END) AS first_any"]
+    for name, hit in ENTRY_GROUPS.items():
+        known = f"({hit}) AND seq IS NOT NULL"
+        aggs += [
+            f"count_if({hit}) AS {name}_n", f"max(CASE WHEN {hit} THEN attempt END) AS {name}_attempt",
+            f"min(CASE WHEN {known} THEN {row} END) AS {name}_least", f"max(CASE WHEN {known} THEN struct(seq, checked_at) END) AS {name}_most",
+        ]
+        if name in DATED_GROUPS:
+            aggs.append(f"collect_set(CASE WHEN {hit} THEN date_format(checked_at, 'yyyy-MM-dd') END) AS {name}_days")
+    return rows.groupBy("portal_id").agg(*map(F.expr, aggs))
 
-    Counting per (portal, address) first keeps a portal with very many pages
-    spread over tasks and leaves one small row per address for the second step.
-    """
-    per_url = pages.groupBy("portal_id", "requested_url").agg(
-        F.count("*").alias("n"), F.min("checked_at").alias("lo"), F.max("checked_at").alias("hi")
-    )
+
+def merged_entry(partials: DataFrame) -> DataFrame:
+    """Partials of any number of parts as one row per portal, of the same form."""
+    aggs = ["sum(entries) AS entries", "min(first_any) AS first_any"]
+    for name in ENTRY_GROUPS:
+        aggs += [f"sum({name}_n) AS {name}_n", f"max({name}_attempt) AS {name}_attempt", f"min({name}_least) AS {name}_least", f"max({name}_most) AS {name}_most"]
+        if name in DATED_GROUPS:
+            aggs.append(f"array_distinct(flatten(collect_list({name}_days))) AS {name}_days")
+    return partials.groupBy("portal_id").agg(*map(F.expr, aggs))
+
+
+def entry_facts(partials: DataFrame) -> DataFrame:
+    """What rules read: one row per portal from its partials."""
+    out = ["portal_id", "entries", "first_any.final_url AS first_final_url"]
+    for name in ENTRY_GROUPS:
+        out += [f"{name}_n", f"{name}_attempt", f"{name}_least.row AS {name}_first", f"{name}_most.checked_at AS {name}_last"]
+        if name in DATED_GROUPS:
+            out.append(f"array_join(array_sort({name}_days), ', ') AS {name}_dates")
+    return partials.selectExpr(*out)
+
+
+def address_partials(pages: DataFrame) -> DataFrame:
+    """Page checks per (portal, address): a portal with very many pages is spread over tasks."""
+    return pages.groupBy("portal_id", "requested_url").agg(
+        F.count("*").alias("n"), F.min("checked_at").alias("lo"), F.max("checked_at").alias("hi"))
+
+
+def merged_addresses(partials: DataFrame) -> DataFrame:
+    return partials.groupBy("portal_id", "requested_url").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def coverage_facts(per_url: DataFrame, skips: DataFrame) -> DataFrame:
+    """Per portal: distinct addresses observed, time span and skip reasons, from :func:`address_partials`."""
     seen = per_url.groupBy("portal_id").agg(
         F.count("*").alias("pages_observed"), F.sum("n").alias("page_rows"),
         F.min("lo").alias("first_checked"), F.max("hi").alias("last_checked"),
@@ -213,6 +243,10 @@ class Rule:
     row_finding: Callable[[RuleContext, dict], str] | None = None
     defaults: dict = field(default_factory=dict)
 
+    @property
+    def kind(self) -> str:
+        return "portal" if self.portal_findings is not None else "row" if self.row_finding is not None else "table"
+
 
 REGISTRY: list[Rule] = []
 
@@ -274,9 +308,10 @@ def findings_from(df: DataFrame, finding: str) -> DataFrame:
     return df.selectExpr("portal_id", f"{finding} AS f").select("portal_id", "f.*")
 
 
-def run_rules(ctx: RuleContext, checks: list[dict] | None = None, registry: list[Rule] | None = None) -> DataFrame:
-    """Findings of all enabled rules: one exploded portal plan, one exploded plan over entry rows, one plan per table rule."""
+def run_rules(ctx: RuleContext, checks: list[dict] | None = None, registry: list[Rule] | None = None, kinds: tuple[str, ...] = ("portal", "row", "table")) -> DataFrame:
+    """Findings of all enabled rules of these kinds: one exploded portal plan, one exploded plan over entry rows, one plan per table rule."""
     selected, _ = select_rules(checks, registry)
+    selected = [(r, p) for r, p in selected if r.kind in kinds]
     frames: list[DataFrame] = []
     wide, arrays = None, []
     for rule, parameters in selected:

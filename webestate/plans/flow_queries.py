@@ -14,7 +14,7 @@ from webestate.plans.catalog import plain, query
 from webestate.plans.sql_beds import B2, B3, B4, B6, B7, PORTALS
 from webestate.session import TABLES, materialise, scratch_path, table
 from webestate.sources import listings, records, snapshots
-from webestate.streaming import flows
+from webestate.streaming import flows, tables
 
 
 def observation_records(spark, sf):
@@ -263,8 +263,7 @@ def st02(spark, sf):
         n.alias("submission_id"), F.col("user_id").alias("key"), F.lit("p").alias("portal_id"), (F.col("user_id") % 3).alias("task_type"),
         F.lit("completed").alias("outcome"), F.col("ts").alias("created_at"), F.concat(F.lit("note "), n % 2).alias("content_key"),
         F.when(n % 7 == 0, "rejected").when(n % 2 == 0, "pending").otherwise("approved").alias("status"))
-    flows.run_available(flows.duplicates(rows, out), f"{out}/checkpoint")
-    return flows.read_epochs(spark, f"{out}/marks", "submission_id bigint, duplicate_of bigint")
+    return flows.run_duplicates(rows, out, lateness="31 days").select("submission_id", "duplicate_of")
 
 
 @query("st03_enrichment_stream", "SELECT conv_id, turn, nullif(trim(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), '') AS text, 'pending' AS status FROM conversations")
@@ -311,7 +310,7 @@ def st08(spark, sf):
     out = scratch_path(spark, "live-summary")
     approved = stream(spark, sf, "orders").filter("o_orderstatus = 'F'")
     flows.run_available(flows.live_summary(beds.submissions_from(approved).filter("consent"), out), f"{out}-checkpoint")
-    rows = flows.read_latest(spark, out, LIVE)
+    rows = tables.read_table(spark, out, LIVE)
     themes = F.array_join(F.array_sort(F.transform(F.map_entries("theme_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
     return rows.withColumn("themes", themes).drop("theme_counts")
 

@@ -1,13 +1,15 @@
 """The submission flow and incremental analysis as Structured Streaming jobs.
 
-Steps that need earlier rows keep them in a table per epoch below the output
-folder. An epoch reads the table of the epoch before it and overwrites only its
-own, so a batch that is run again after a failure gives the same result.
+Earlier rows that a step needs are engine state (admission, duplicates, running aggregates) or keyed tables of bounded
+size with a committed version (:mod:`webestate.streaming.tables`). A batch that runs again after a failure gives the same result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
+from functools import reduce
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -15,10 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from webestate.functions import checks
 from webestate.operators import experience as ex
 from webestate.operators.rules import RuleContext, run_rules
+from webestate.operators.rules.base import address_partials, entry_partials, merged_addresses, merged_entry, select_rules
+from webestate.streaming import tables
 
 
 def run_available(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
@@ -32,10 +37,6 @@ def read_epochs(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/epoch=*")
 
 
-def _earlier(batch: DataFrame, path: str, epoch: int, schema) -> DataFrame | None:
-    return None if epoch == 0 else batch.sparkSession.read.schema(schema).parquet(f"{path}/epoch={epoch - 1}")
-
-
 def _write(df: DataFrame, path: str, epoch: int) -> DataFrame:
     target = f"{path}/epoch={epoch}"
     df.write.mode("overwrite").parquet(target)
@@ -75,21 +76,120 @@ def admission(requests: DataFrame, out: str, lateness: str = "30 days") -> DataS
     return decided.writeStream.format("parquet").option("path", out).outputMode("append")
 
 
-def duplicates(requests: DataFrame, out: str) -> DataStreamWriter:
-    """Duplicate marking against the ten minutes before each row, across batches."""
+WIDTH = ex.DUPLICATE_MINUTES * 60 * 1_000_000
+#: Times of a key that answer whether there was an event in the minutes before any moment.
+ACTIVITY_STATE = "times array<bigint>, newest bigint"
+
+
+def _sorted_rows(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(frames)).sort_values(["t", "submission_id"], kind="stable")
+
+
+def _sparse(times: np.ndarray) -> np.ndarray:
+    """Sorted times without those between two that are at most ``WIDTH`` apart: for any moment, the same answer, from at most two a ``WIDTH``."""
+    kept: list[int] = []
+    for t in times.tolist():
+        if len(kept) > 1 and t - kept[-2] <= WIDTH:
+            kept[-1] = t
+        else:
+            kept.append(t)
+    return np.asarray(kept, dtype=np.int64)
+
+
+def _expire(state: GroupState, newest: int) -> None:
+    state.setTimeoutTimestamp(max((newest + WIDTH) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+
+
+def activity_gate(requests: DataFrame, out: str, lateness: str = "1 day") -> DataStreamWriter:
+    """Requests with ``active``: whether their key had an earlier event on their portal in the ten minutes before.
+
+    State per (key, portal): the times that the watermark can still need, thinned out to a few for each ten minutes. A request that
+    comes after a later one of its key and portal was decided is decided by what is known, and marked ``late``: earlier answers
+    did not know of it. Requests behind the watermark are dropped by the engine and counted in its progress.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
+    columns = [c for c in requests.columns if c not in ("key", "portal_id")]
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = _sorted_rows(frames)
+        t = rows["t"].to_numpy()
+        known, newest = state.get if state.exists else ([], None)
+        times = np.unique(np.concatenate((np.asarray(known, dtype=np.int64), t)))
+        before = np.searchsorted(times, t) - 1
+        active = (before >= 0) & (t - times[np.maximum(before, 0)] <= WIDTH)
+        late = t < newest if newest is not None else np.zeros(len(t), dtype=bool)
+        needed = times[times >= state.getCurrentWatermarkMs() * 1000 - WIDTH]
+        newest = max(int(t[-1]), newest if newest is not None else int(t[-1]))
+        state.update((_sparse(needed).tolist(), newest))
+        _expire(state, newest)
+        yield rows[columns].assign(key=key[0], portal_id=key[1], active=active, late=late)[[*columns, "key", "portal_id", "active", "late"]]
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in columns), f"key {kinds['key']}", f"portal_id {kinds['portal_id']}", "active boolean", "late boolean"])
+    timed = requests.select("*", F.col("created_at").cast("timestamp").alias("at"), ex.seconds("created_at").alias("t")).withWatermark("at", lateness)
+    decided = timed.groupBy("key", "portal_id").applyInPandasWithState(step, schema, ACTIVITY_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return decided.writeStream.format("parquet").option("path", out).outputMode("append")
 
-    def step(batch: DataFrame, epoch: int) -> None:
-        recent = _earlier(batch, f"{out}/recent", epoch, batch.schema)
-        both = batch if recent is None else batch.unionByName(recent)
-        marked = ex.mark_duplicates(both, both.select("key", "portal_id", "created_at"))
-        marked = marked.join(batch.select("submission_id"), "submission_id", "left_semi")
-        _write(marked.select("submission_id", "duplicate_of"), f"{out}/marks", epoch)
-        newest = both.agg(F.max("created_at")).first()[0]
-        kept = both if newest is None else both.filter(
-            F.col("created_at") >= F.lit(newest) - F.make_dt_interval(mins=F.lit(ex.DUPLICATE_MINUTES)))
-        _write(kept, f"{out}/recent", epoch)
 
-    return requests.writeStream.foreachBatch(step)
+def duplicate_marks(gated: DataFrame, out: str, lateness: str = "1 day") -> DataStreamWriter:
+    """``submission_id, duplicate_of, late`` from the rows of :func:`activity_gate`.
+
+    State per (portal, task, outcome, content): time and id of the usable rows that the watermark can still need. The earliest of the
+    trailing ten minutes is found by binary search. ``late`` as in the gate, here or there.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in gated.schema}
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = _sorted_rows(frames)
+        times, ids, newest = state.get if state.exists else ([], [], None)
+        usable = rows[rows["usable"]]
+        known = pd.DataFrame({"t": np.concatenate((np.asarray(times, dtype=np.int64), usable["t"].to_numpy())),
+                              "submission_id": np.concatenate((np.asarray(ids, dtype=usable["submission_id"].dtype), usable["submission_id"].to_numpy()))})
+        known = known.drop_duplicates().sort_values(["t", "submission_id"], kind="stable")
+        kt, ki, t, own = known["t"].to_numpy(), known["submission_id"].to_numpy(), rows["t"].to_numpy(), rows["submission_id"].to_numpy()
+        place = np.searchsorted(kt, t - WIDTH)
+        inside = np.minimum(place, max(len(kt) - 1, 0))
+        earlier = (place < len(kt)) & rows["active"].to_numpy() if len(kt) else np.zeros(len(t), dtype=bool)
+        if len(kt):
+            earlier &= (kt[inside] < t) | ((kt[inside] == t) & (ki[inside] < own))
+        found = pd.array([int(ki[i]) if e else None for i, e in zip(inside, earlier, strict=True)], dtype="Int64") if len(t) else pd.array([], dtype="Int64")
+        late = (t < newest if newest is not None else np.zeros(len(t), dtype=bool)) | rows["late"].to_numpy()
+        newest = max(int(t[-1]), newest if newest is not None else int(t[-1]))
+        needed = known[known["t"] >= state.getCurrentWatermarkMs() * 1000 - WIDTH]
+        state.update((needed["t"].tolist(), needed["submission_id"].tolist(), newest))
+        _expire(state, newest)
+        yield pd.DataFrame({"submission_id": own, "duplicate_of": found, "late": late})
+
+    timed = gated.select(
+        "submission_id", "portal_id", "task_type", "outcome", F.sha2("content_key", 256).alias("content"), "active", "late",
+        F.coalesce(F.col("status").isin("pending", "approved"), F.lit(False)).alias("usable"),
+        F.col("created_at").cast("timestamp").alias("at"), ex.seconds("created_at").alias("t")).withWatermark("at", lateness)
+    number = kinds["submission_id"]
+    decided = timed.groupBy("portal_id", "task_type", "outcome", "content").applyInPandasWithState(
+        step, f"submission_id {number}, duplicate_of {number}, late boolean", f"times array<bigint>, ids array<{number}>, newest bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return decided.writeStream.format("parquet").option("path", out).outputMode("append")
+
+
+MARKS = "submission_id bigint, duplicate_of bigint, late boolean"
+
+
+def run_duplicates(requests: DataFrame, out: str, lateness: str = "1 day") -> DataFrame:
+    """Both steps over all input there is now: the marks below ``out``. Each step is a query of its own, the second reads what the first wrote.
+
+    Submission ids are whole numbers. A later call with the same ``out`` goes on where the last one ended.
+    """
+    spark = requests.sparkSession
+    gate = activity_gate(requests, f"{out}/gated", lateness)
+    run_available(gate, f"{out}/checkpoint-gate")
+    schema = StructType([*requests.schema.fields, StructField("active", BooleanType()), StructField("late", BooleanType())])
+    gated = spark.readStream.schema(schema).parquet(f"{out}/gated")  # whole batches of the gate: its files are committed together
+    run_available(duplicate_marks(gated, f"{out}/marks", lateness), f"{out}/checkpoint-marks")
+    return spark.read.schema(MARKS).parquet(f"{out}/marks")
 
 
 def enriched(submissions: DataFrame, out: str) -> DataStreamWriter:
@@ -113,7 +213,7 @@ def append_pending(submissions: DataFrame, portals: DataFrame, out: str) -> Data
 
 
 def live_summary(visible: DataFrame, out: str) -> DataStreamWriter:
-    """Running experience summary: an aggregate in engine state. An epoch adds the rows it changed; the last one counts."""
+    """Running experience summary: an aggregate in engine state; the rows that a batch changed are merged into a keyed table."""
     when = F.coalesce("occurred_on", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
     def held(theme: str) -> Column:
         return F.sum(F.size(F.filter("themes", lambda x: x == theme))).alias(f"theme_{theme}")
@@ -127,32 +227,43 @@ def live_summary(visible: DataFrame, out: str) -> DataStreamWriter:
         "small_sample", F.col("experiences") < ex.DISPLAY_THRESHOLD)
 
     def step(batch: DataFrame, epoch: int) -> None:
-        _write(batch, out, epoch)
+        tables.upsert(batch, out, epoch, ["portal_id"])
 
     return running.writeStream.outputMode("update").foreachBatch(step)
 
 
-def read_latest(spark: SparkSession, out: str, schema: str, key: str = "portal_id") -> DataFrame:
-    """The newest row of each key over all epochs."""
-    rows = spark.read.schema(f"{schema}, epoch int").parquet(out)
-    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "epoch")]), "epoch").alias("row")).select(key, "row.*")
+def _run_folder(run_id: str) -> str:
+    return "run_id=" + quote(run_id, safe="")
 
 
 def incremental_findings(
     observations: DataFrame, context: Callable[[DataFrame, str], RuleContext], out: str, checks_list: list[dict] | None = None
 ) -> DataStreamWriter:
-    """Findings per run, kept right while parts of a run arrive.
+    """Findings per run, kept right while parts of a run arrive in any order.
 
-    A batch's observations are stored under its epoch. Every run that the batch touches is evaluated again over all of
-    its stored observations, and its findings are replaced. Only the names of these runs reach the driver.
+    Each run has keyed tables of partial sums: one row per portal of its entry checks and one per (portal, address). A batch is summed up,
+    merged into the tables of the runs it holds, and nothing else is read: observations are stored by run for evidence and not
+    looked at again. Rules over the profile are evaluated on the merged sums; rules over single checks only on the batch, and their findings are
+    kept per batch. Only the names of a batch's runs reach the driver.
     """
 
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        _write(batch, f"{out}/observations", epoch)
-        stored = spark.read.schema(batch.schema).parquet(*[f"{out}/observations/epoch={e}" for e in range(epoch + 1)])
-        for run_id in sorted(r[0] for r in batch.select("run_id").distinct().collect()):
-            found = run_rules(context(stored.filter(F.col("run_id") == run_id), run_id), checks_list)
-            found.write.mode("overwrite").parquet(f"{out}/findings/run_id={run_id}")
+        stored = _write(batch, f"{out}/observations", epoch)
+        for run_id in sorted(r[0] for r in stored.select("run_id").distinct().collect()):
+            folder, ctx = _run_folder(run_id), context(stored.filter(F.col("run_id") == run_id), run_id)
+            sums = {"entry": (entry_partials(ctx.entry_rows), ["portal_id"], merged_entry), "addresses": (address_partials(ctx.pages), ["portal_id", "requested_url"], merged_addresses)}
+            merged = {}
+            for name, (part, keys, merge) in sums.items():
+                tables.merge_into(part, f"{out}/{name}/{folder}", epoch, keys[:1], lambda old, new, merge=merge: merge(old.unionByName(new)))
+                merged[name] = tables.read_table(spark, f"{out}/{name}/{folder}", part.schema)
+            whole = replace(ctx, stored_entry=merged["entry"], stored_addresses=merged["addresses"])
+            kinds = {r.kind for r, _ in select_rules(checks_list)[0]}
+            frames = [run_rules(whole, checks_list, kinds=(k,)) for k in ("portal", "table") if k in kinds]
+            if "row" in kinds:
+                run_rules(ctx, checks_list, kinds=("row",)).write.mode("overwrite").parquet(f"{out}/row-findings/{folder}/epoch={epoch}")
+                frames.append(spark.read.parquet(f"{out}/row-findings/{folder}").drop("epoch"))
+            found = reduce(DataFrame.unionByName, frames)
+            found.write.mode("overwrite").parquet(f"{out}/findings/{folder}")
 
     return observations.writeStream.foreachBatch(step)
