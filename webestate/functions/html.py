@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from html.entities import name2codepoint
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +25,11 @@ BLOCK_PHRASES = (
     "please verify you are a human", "verify you are human",
     "checking your browser before accessing", "pardon the interruption", "request blocked",
 )
+# Every signature and phrase holds one of these.
+BLOCK_PARTS = (
+    "captcha", "cf-turnstile", "arkoselabs", "access denied", "automated ", "unusual traffic", "verify you are", "checking your browser",
+    "pardon the interruption", "request blocked",
+)
 # Reasons for a login wall or a block.
 LOGIN_ROUTE_AND_PASSWORD = "final URL path looks like a login route and the page contains a password field"
 PASSWORD_AND_USERNAME = "page contains both a password field and a recognizable username field"
@@ -33,6 +41,8 @@ SHELL_TEXT, SHELL_LINKS, APP_ROOT_TEXT = 200, 3, 400
 
 # White space as JavaScript's \s has it, as a regex class body.
 SPACE = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+# The same without the plain blank.
+BREAKS = SPACE.replace(r"\s", r"\t\n\x0B\f\r")
 
 # " name=hex code point " of the HTML 4 entity names, from the standard library's table, and apos.
 ENTITY_NAMES = " " + " ".join(f"{n}={c:06X}" for n, c in sorted({**name2codepoint, "apos": 39}.items())) + " "
@@ -88,29 +98,58 @@ def trim_all(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    return trim_all(F.regexp_replace(text, f"[{SPACE}]+", " "))
+    """Runs of white space as one blank, none at the ends. Single blanks are no match, so most of a text is copied as it is."""
+    return F.btrim(F.regexp_replace(text, rf"[{BREAKS}][{SPACE}]*| [{SPACE}]+", " "), F.lit(" "))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _entity(piece: Column) -> Column:
     """What follows an ampersand, decoded."""
-    def decoded(name: Column) -> Column:
-        at = F.instr(F.lit(ENTITY_NAMES), F.concat(F.lit(" "), name, F.lit("=")))
-        code = (F.when(F.lower(name).startswith("#x"), F.substring(name, 3, 2**30)).when(name.startswith("#"), F.hex(F.substring(name, 2, 2**30).try_cast("bigint")))
-                .when(at > 0, F.substring(F.lit(ENTITY_NAMES), at + F.length(name) + 2, F.lit(6))))
-        digits = F.ltrim(F.coalesce(code, F.lit("FFFFFFF")), F.lit("0"))
+    def pointed(name: Column, code: Column) -> Column:
+        """The character of a hexadecimal code, and what follows the reference."""
+        digits = F.ltrim(code, F.lit("0"))
         number = F.conv(digits, 16, 10).cast("bigint")
         valid = F.length(digits).between(1, 6) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
         char = F.when(valid, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")).otherwise("\ufffd")
-        same = (name == "") | (~name.startswith("#") & (at == 0))
-        return F.when(same, F.concat(F.lit("&"), piece)).otherwise(F.concat(char, F.substring(piece, F.length(name) + 2, F.lit(2**30))))
+        return F.concat(char, F.substring(piece, F.length(name) + 2, F.lit(2**30)))
+
+    def named(name: Column) -> Column:
+        """A name's code, null if it has none."""
+        at = F.instr(F.lit(ENTITY_NAMES), F.concat(F.lit(" "), name, F.lit("=")))
+        return bound(at, lambda i: F.when(i > 0, F.substring(F.lit(ENTITY_NAMES), i + F.length(name) + 2, F.lit(6))))
+
+    def decoded(name: Column) -> Column:
+        numeric = F.when(F.lower(name).startswith("#x"), F.substring(name, 3, 2**30)).otherwise(F.hex(F.substring(name, 2, 2**30).try_cast("bigint")))
+        code = F.when(name.startswith("#"), F.coalesce(numeric, F.lit("FFFFFFF"))).otherwise(named(name))
+        plain = F.concat(F.lit("&"), piece)
+        return F.when(name == "", plain).otherwise(bound(code, lambda c: F.when(c.isNull(), plain).otherwise(pointed(name, c))))
 
-    return F.transform(F.array(F.regexp_extract(piece, ENTITY, 1)), decoded)[0]
+    return bound(F.regexp_extract(piece, ENTITY, 1), decoded)
+
+
+#: Frequent references that plain replacement decodes; the ampersand comes last, so nothing is decoded twice.
+FREQUENT = ("lt", "gt", "quot", "apos", "nbsp", "copy", "middot")
+#: Any other reference.
+OTHER = r"&(?!amp;)(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
 
 
 def decode_entities(text: Column) -> Column:
-    """Character references decoded; works on plain columns."""
-    pieces = F.transform(F.split(text, "&", -1), lambda p, i: F.when(i == 0, p).otherwise(_entity(p)))
-    return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
+    """Character references decoded; works on plain columns. Texts with frequent references only are not taken apart."""
+    def whole(t: Column) -> Column:
+        return F.array_join(F.transform(F.split(t, "&", -1), lambda p, i: F.when(i == 0, p).otherwise(_entity(p))), "")
+
+    def decoded(t: Column) -> Column:
+        common = t
+        for name in FREQUENT:
+            common = F.replace(common, F.lit(f"&{name};"), F.lit(chr({**name2codepoint, "apos": 39}[name])))
+        known = bound(common, lambda c: F.when(~c.contains("&") | ~c.rlike(OTHER), F.replace(c, F.lit("&amp;"), F.lit("&"))))
+        return F.when(~t.contains("&"), t).otherwise(F.coalesce(known, whole(t)))
+
+    return bound(text, decoded)
 
 
 def strip_tags(html: Column) -> Column:
@@ -193,26 +232,37 @@ def block_reason(html: Column) -> Column:
     for patterns, label in groups:
         for pattern in reversed(patterns):
             out = F.when(html.rlike("(?i)" + pattern), F.lit(f"{label}{pattern})")).otherwise(out)
-    # One combined scan answers for the many pages that match nothing.
-    any_of = "(?i)" + "|".join(CAPTCHA_SIGNATURES + BLOCK_PHRASES)
-    return F.when(html.rlike(any_of), out)
+    # Plain searches answer for the many pages that match nothing.
+    def maybe(low: Column) -> Column:
+        return reduce(or_, (low.contains(part) for part in BLOCK_PARTS))
+
+    return F.when(bound(F.lower(html), maybe), out)
 
 
 def visible_markup(html: Column) -> Column:
     """Body markup without scripts, styles, noscript parts and comments."""
-    quiet = F.regexp_replace(
-        html, r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1\s*>|<!--.*?-->", ""
-    )
-    return F.when(
-        quiet.rlike(r"(?i)<body\b"), F.regexp_extract(quiet, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)", 1)
-    ).otherwise(F.regexp_replace(quiet, r"(?is)<head\b[^>]*>.*?</head\s*>|<title[^>]*>.*?</title\s*>", ""))
+    def body(quiet: Column) -> Column:
+        return F.when(
+            quiet.rlike(r"(?i)<body\b"), F.regexp_extract(quiet, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)", 1)
+        ).otherwise(F.regexp_replace(quiet, r"(?is)<head\b[^>]*>.*?</head\s*>|<title[^>]*>.*?</title\s*>", ""))
+
+    return bound(F.regexp_replace(html, r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1\s*>|<!--.*?-->", ""), body)
+
+
+def markup_text(markup: Column) -> Column:
+    """Text of visible markup."""
+    return collapse(decode_entities(strip_tags(markup)))
 
 
 def visible_text(html: Column) -> Column:
-    return collapse(decode_entities(strip_tags(visible_markup(html))))
+    return markup_text(visible_markup(html))
 
 
 def has_app_root(html: Column) -> Column:
+    return app_root(visible_markup(html))
+
+
+def app_root(body: Column) -> Column:
     """A mount-point element alone in the body, or beside one simple sibling.
 
     Approximates "at most two body children" without a DOM: the sibling may hold text only.
@@ -220,7 +270,11 @@ def has_app_root(html: Column) -> Column:
     mark = r"""(?:\bid\s*=\s*["']?(?:app|root|__next|__nuxt)["']?(?=[\s>/])|\bdata-reactroot\b)"""
     sibling = r"(?:<[a-z0-9]+\b[^>]*>(?:[^<]*</[a-z0-9]+\s*>)?)"
     root = rf"<([a-z0-9]+)\b[^>]*{mark}[^>]*>.*</\1\s*>"
-    body = visible_markup(html)
+    # Most pages have no such mark at all.
+    return bound(body, lambda body: body.rlike("(?i)" + mark) & _root_alone(body, root, sibling))
+
+
+def _root_alone(body: Column, root: str, sibling: str) -> Column:
     return body.rlike(rf"(?is)^\s*{sibling}\s*{root}\s*$") | body.rlike(rf"(?is)^\s*{root}\s*{sibling}?\s*$")
 
 

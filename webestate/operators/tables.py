@@ -53,8 +53,10 @@ def error_counts(classified: DataFrame) -> DataFrame:
 
 def page_access(df: DataFrame, url: str = "url", body: str = "html") -> DataFrame:
     """Access class of a page: login wall, automation block or empty shell, else open."""
-    page = df.withColumn("links", F.size(html.raw_hrefs(F.col(body)))).withColumn("text_length", F.length(html.visible_text(F.col(body))))
-    page = page.withColumn("app_root", html.has_app_root(F.col(body)))
+    # Text and mount point come from one evaluation of the visible markup.
+    seen = html.bound(html.visible_markup(F.col(body)), lambda m: F.struct(F.length(html.markup_text(m)).alias("text_length"), html.app_root(m).alias("app_root")))
+    page = df.withColumn("links", F.size(html.raw_hrefs(F.col(body)))).withColumn("__seen", seen)
+    page = page.withColumns({"text_length": F.col("__seen.text_length"), "app_root": F.col("__seen.app_root")}).drop("__seen")
     page = page.withColumn("auth_reason", html.auth_wall_reason(F.col(body), F.col(url))).withColumn("block_reason", html.block_reason(F.col(body)))
     shell = html.empty_shell(F.col("text_length"), F.col("links"), F.col("app_root"))
     return page.withColumn(

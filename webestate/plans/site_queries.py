@@ -264,7 +264,7 @@ def tx04_docs(spark, sf):
 
 
 @query("tx05_page_metadata", """SELECT page_id, nullif(CASE WHEN length(t) > 200 THEN left(t, 199) || '…' ELSE t END, '') AS title, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS language, sha256(html) AS digest
-  FROM (SELECT *, trim(regexp_replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&'), '\\s+', ' ', 'g')) AS t FROM pages)""")
+  FROM (SELECT *, trim(regexp_replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS t FROM pages)""")
 def tx05(spark, sf):
     return tables.page_metadata(table(spark, sf, "pages")).select("page_id", "title", "language", "digest")
 
