@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webestate.functions.html import bound
 from webestate.llm.common import wide_hash, wrapped
 
 #: ASCII white space that is stripped from both ends of a line.
@@ -37,7 +38,9 @@ def text_mark(text: Column) -> Column:
 
 def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, salts: int = 256) -> DataFrame:
     """``doc_id, mark, n_dropped, dropped``: documents that lose a line. ``dropped`` maps a word index to 64 line bits."""
-    lines = docs.select("doc_id", text_mark(F.col("text")).alias("mark"), F.posexplode(text_lines(F.col("text"))).alias("pos", "line"))
+    # Mark and lines are made below the generator, once for each text.
+    split = docs.select("doc_id", text_mark(F.col("text")).alias("mark"), text_lines(F.col("text")).alias("lines"))
+    lines = split.select("doc_id", "mark", F.posexplode("lines").alias("pos", "line"))
     keys = (lines.where(F.octet_length("line") >= min_chars)
             .select("doc_id", "mark", "pos", F.btrim("line", F.lit(BLANKS)).alias("line"))
             .where(F.length("line") >= min_chars)
@@ -63,9 +66,13 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     marks = bitmaps.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_m"), F.col("n_dropped").alias("_gone"), F.col("dropped").alias("_bits"))
     joined = docs.withColumn("_mark", text_mark(F.col("text"))).join(
         marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_m")), "left")
-    stays = F.filter(text_lines(F.col("text")), lambda line, i: (
-        F.coalesce(F.get(F.map_values(F.map_filter("_bits", lambda w, b: w == F.shiftright(i, 6))), F.lit(0)), F.lit(0))
-        .bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)) == 0))
+    # Words of a text in order, with zeros for those that the map leaves out: made once for each text, then looked up by place.
+    given = F.array_sort(F.map_entries("_bits"))
+    before = F.concat(F.array(F.lit(-1)), F.transform(given, lambda e: e["key"]))
+    words = F.flatten(F.transform(F.arrays_zip(given.alias("e"), F.slice(before, F.lit(1), F.size(given)).alias("p")), lambda x: F.concat(
+        F.array_repeat(F.lit(0).cast("long"), x["e"]["key"] - x["p"] - 1), F.array(x["e"]["value"]))))
+    stays = bound(words, lambda w: F.filter(text_lines(F.col("text")), lambda line, i: (
+        F.coalesce(F.get(w, F.shiftright(i, 6)), F.lit(0)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)) == 0)))
     return (joined.withColumn("_lines", F.size(text_lines(F.col("text"))).cast("long"))
             .withColumn("_kept", F.when(F.col("_bits").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(stays, "\n")))
             .withColumn("_gone", F.coalesce("_gone", F.lit(0)).cast("long"))
