@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -258,6 +258,24 @@ def apply_retention(submissions: DataFrame, moderation: DataFrame, now: str, day
     return kept_s, kept_m, removed
 
 
+def write_retained(submissions: DataFrame, moderation: DataFrame, now: str, path: str, days: int = REJECTED_DAYS) -> dict[str, int]:
+    """Write both tables without long-rejected reports below ``path``; counts of what stayed and went are observed on the written plans.
+
+    Each table is read once more than its ids: for the write. Counts are ``submissions``, ``moderation`` (rows kept) and
+    ``rejected_submissions_deleted``.
+    """
+    gone = expired_submissions(moderation, now, days).distinct().withColumn("__gone", F.lit(True))
+    counts = {}
+    for name, rows in (("submissions", submissions), ("moderation", moderation)):
+        seen = Observation(name)
+        marked = rows.join(gone, "submission_id", "left").observe(seen, F.count_if(F.col("__gone").isNull()).alias("kept"), F.count("__gone").alias("gone"))
+        marked.where("__gone IS NULL").drop("__gone").write.parquet(f"{path}/{name}")
+        counts[name] = seen.get["kept"]
+        if name == "submissions":
+            counts["rejected_submissions_deleted"] = seen.get["gone"]
+    return counts
+
+
 def drop_expired_keys(events: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
     old = F.col("expires_at") < F.lit(now).cast("timestamp_ntz")
     return events.filter(~old), events.agg(F.count_if(old).alias("expired_keys_deleted"))

@@ -8,7 +8,9 @@ of an observation table.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -30,9 +32,22 @@ FIELD_TYPES = {
     "affected_urls": "array<string>", "limitations": "array<string>",
     "first_observed_at": "timestamp_ntz", "last_observed_at": "timestamp_ntz",
 }
-NO_FINDINGS = "CAST(array() AS array<struct<" + ",".join(
-    f"{name}:{FIELD_TYPES.get(name, 'string')}" for name in FINDING_FIELDS
-) + ">>)"
+#: Fields that drafts hold; fewer while only these are wanted, so the others are never computed.
+_WANTED: ContextVar[tuple[str, ...]] = ContextVar("wanted finding fields", default=FINDING_FIELDS)
+
+
+@contextmanager
+def wanted_fields(*names: str) -> Iterator[None]:
+    """Findings drafted inside have these fields only, besides those that rules read of each other (rule, category, severity)."""
+    token = _WANTED.set(tuple(n for n in FINDING_FIELDS if n in {*names, "rule_id", "category", "severity"}))
+    try:
+        yield
+    finally:
+        _WANTED.reset(token)
+
+
+def no_findings() -> str:
+    return "CAST(array() AS array<struct<" + ",".join(f"{name}:{FIELD_TYPES.get(name, 'string')}" for name in _WANTED.get()) + ">>)"
 
 # Suggestion id -> suggested action.
 SUGGESTIONS = {
@@ -295,7 +310,7 @@ def draft(rule_id: str, category: str, suggestion: str, action: str | None = Non
         "suggested_action": quoted(action or SUGGESTIONS[suggestion]), **fields,
     }
     return "named_struct(" + ", ".join(
-        f"'{name}', CAST({values[name]} AS {FIELD_TYPES.get(name, 'string')})" for name in FINDING_FIELDS
+        f"'{name}', CAST({values[name]} AS {FIELD_TYPES.get(name, 'string')})" for name in _WANTED.get()
     ) + ")"
 
 
@@ -318,11 +333,11 @@ def run_rules(ctx: RuleContext, checks: list[dict] | None = None, registry: list
         if rule.portal_findings is None:
             continue
         if wide is None:
-            wide = ctx.profile.withColumn("prior", F.expr(NO_FINDINGS))
+            wide = ctx.profile.withColumn("prior", F.expr(no_findings()))
             minutes = {SPACED_RULES[r.rule_id]: int_param(p, "minSpacingMinutes", MIN_SPACING_MINUTES) for r, p in selected if r.rule_id in SPACED_RULES}
             if ctx.several_runs and minutes:
                 wide = wide.join(ctx.spaced_attempts(minutes), "portal_id", "left")
-        own = f"coalesce({rule.portal_findings(ctx, parameters, 'prior')}, {NO_FINDINGS})"
+        own = f"coalesce({rule.portal_findings(ctx, parameters, 'prior')}, {no_findings()})"
         if rule.category == "availability":
             wide = wide.withColumn("prior", F.expr(f"concat(prior, {own})"))
         else:
@@ -338,7 +353,7 @@ def run_rules(ctx: RuleContext, checks: list[dict] | None = None, registry: list
         frames.append(flat.select("portal_id", "f.*"))
     for rule, parameters in selected:
         if rule.evaluate is not None:
-            frames.append(rule.evaluate(ctx, parameters))
+            frames.append(rule.evaluate(ctx, parameters).select("portal_id", *_WANTED.get()))
     if not frames:
         raise ValueError("no enabled rule")
     out = frames[0]
@@ -347,6 +362,12 @@ def run_rules(ctx: RuleContext, checks: list[dict] | None = None, registry: list
     return out
 
 
+def rule_severities(ctx: RuleContext, checks: list[dict] | None = None, registry: list[Rule] | None = None) -> DataFrame:
+    """``portal_id, rule_id, category, severity`` of all findings, without their texts and evidence: what health and counts need."""
+    with wanted_fields():
+        return run_rules(ctx, checks, registry)
+
+
 def scoped_portals(portals: DataFrame, pages: DataFrame) -> DataFrame:
     """Portals with at least one page observation; all of them when there is none at all."""
     if pages.select("portal_id").isEmpty():

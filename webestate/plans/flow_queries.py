@@ -151,16 +151,17 @@ def src08(spark, sf):
 
 @query("snk03_nested_export", runs.ASM + f"SELECT portal_id, technical_health, (SELECT count(*) FROM fnd WHERE fnd.portal_id = asm.portal_id AND {runs.PUB}) AS findings FROM asm")
 def snk03(spark, sf):
-    """Both exported datasets, read back."""
+    """The nested document, read back: one object per portal with its findings, and the parts of those that have more."""
     findings = runs.stored_findings(spark, sf)
     path = scratch_path(spark, "export")
     published = findings.filter(F.col("review_status").isin(*publish.PUBLISHABLE))
     asm = materialise(runs.assessments(spark, sf, findings), "assessments")
     summary = rollup.publication_summary(asm, runs.audit_run(spark, sf), "2024-02-02 00:00:00", ["Ids are digests."])
-    snapshots.export_json(summary, asm, published, path)
-    per = spark.read.schema("portal_id bigint").json(f"{path}/findings").groupBy("portal_id").agg(F.count("*").alias("findings"))
-    portals = spark.read.schema("portal_id bigint, technical_health string").json(f"{path}/portals")
-    return portals.join(per, "portal_id", "left").withColumn("findings", F.coalesce("findings", F.lit(0)))
+    snapshots.export_nested(summary, asm, published, path, most=20_000)
+    inner = "findings array<struct<rule_id:string>>"
+    parts = spark.read.schema(f"portal_id bigint, {inner}").json(f"{path}/parts").groupBy("portal_id").agg(F.sum(F.size("findings")).alias("more"))
+    portals = spark.read.schema(f"portal_id bigint, technical_health string, {inner}").json(f"{path}/portals")
+    return portals.join(parts, "portal_id", "left").select("portal_id", "technical_health", (F.size("findings") + F.coalesce("more", F.lit(0))).cast("bigint").alias("findings"))
 
 
 @query("dq02_run_violations", f"""WITH {B2}, st AS (SELECT portal_id, CASE WHEN arg_min(error_code IS NOT NULL, seq) THEN 'failed' WHEN bool_or(error_code IS NOT NULL) THEN 'partial' ELSE 'succeeded' END AS status FROM b2 GROUP BY 1),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webestate.functions import dates
+from webestate.functions.sql import register_functions
 from webestate.operators import freshness, mixed
 from webestate.operators.rules import run_rules
 from webestate.plans import beds
@@ -181,3 +182,28 @@ def ex05_mixed_findings(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("page_id")
     pages = loading_pages(spark, sf).select(n.alias("portal_id"), "page_id", F.concat(F.lit("https://p"), n, F.lit(".example.org/")).alias("url"), "html")
     return plain(run_rules(rules.context(spark, sf), registry=[mixed.mixed_rule(pages)]), *rules.COLUMNS)
+
+
+# SQL surface ---------------------------------------------------------------------
+
+LINKS_SQL = """
+SELECT web_stem(p.url) AS site, coalesce(web_host(a.href), 'own') AS target, count(*) AS links, count(DISTINCT p.page_id) AS pages, min(a.anchor_text) AS first_text,
+    max(names_disagree(page_title(p.html), a.anchor_text)) AS disagrees
+FROM webestate_pages p, LATERAL web_anchors(p.html) a WHERE a.href <> '#' GROUP BY 1, 2"""
+
+
+@query("ux01_sql_surface", r"""WITH hrefs AS (
+    SELECT page_id, url, html, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS t FROM pages
+), words AS (
+    SELECT *, list_filter(regexp_split_to_array(lower(regexp_extract(html, '<title>(.*?)</title>', 1)), '[^a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ('amp', 'quot')) AS a,
+        list_filter(regexp_split_to_array(lower(t), '[^a-z0-9]+'), lambda w: length(w) >= 3) AS b FROM hrefs
+)
+SELECT regexp_replace(regexp_extract(url, '^https?://([^/?#:]+)', 1), '^(?:www[0-9]?|m|mobile)\.', '') AS site,
+    CASE WHEN href LIKE 'http%' THEN regexp_extract(href, '^https?://([^/?#:]+)', 1) ELSE 'own' END AS target, count(*) AS links, count(DISTINCT page_id) AS pages, min(t) AS first_text,
+    bool_or(len(a) > 0 AND len(b) > 0 AND NOT list_has_any(a, b)) AS disagrees
+FROM words GROUP BY 1, 2""".replace(chr(92) * 2, chr(92)))
+def ux01_sql_surface(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the links of each site lead, written in SQL with the registered functions only."""
+    register_functions(spark)
+    table(spark, sf, "pages").createOrReplaceTempView("webestate_pages")
+    return spark.sql(LINKS_SQL)

@@ -10,7 +10,7 @@ from webestate.operators import review, rollup
 from webestate.plans import beds
 from webestate.plans.catalog import ORACLES, plain, query  # noqa: F401
 from webestate.plans.sql_beds import B4, B6, B7
-from webestate.session import table
+from webestate.session import scratch_path, table
 
 NOW = "1999-01-01 00:00:00"
 
@@ -150,11 +150,10 @@ def ag20(spark, sf):
   SELECT 'submissions' AS relation, count(*) AS rows FROM subs WHERE submission_id NOT IN (SELECT submission_id FROM gone) UNION ALL
   SELECT 'moderation', count(*) FROM subs WHERE submission_id NOT IN (SELECT submission_id FROM gone) UNION ALL SELECT 'deleted', count(*) FROM gone""")
 def st06(spark, sf):
-    s, m, removed = ex.apply_retention(beds.submissions(spark, sf), beds.moderation(spark, sf), NOW)
-    out = removed.select(F.lit("deleted").alias("relation"), F.col("rejected_submissions_deleted").alias("rows"))
-    for name, df in (("submissions", s), ("moderation", m)):
-        out = out.unionByName(df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("relation"), "rows"))
-    return out
+    """Both tables rewritten; the counts were observed while they were written."""
+    counts = ex.write_retained(beds.submissions(spark, sf), beds.moderation(spark, sf), NOW, scratch_path(spark, "retained"))
+    rows = [("submissions", counts["submissions"]), ("moderation", counts["moderation"]), ("deleted", counts["rejected_submissions_deleted"])]
+    return spark.createDataFrame(rows, "relation string, rows bigint")
 
 
 def decision_batch(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webestate.functions import checks
 from webestate.operators import publish, review, rollup
-from webestate.operators.rules import materialise_findings, run_rules
+from webestate.operators.rules import materialise_findings, rule_severities, run_rules
 from webestate.operators.rules.availability import entry_evidence
 from webestate.operators.rules.base import effective_attempts
 from webestate.operators.rules.links import broken_link_sources
@@ -125,14 +125,14 @@ ASM = f"WITH {ASSESS} "
   count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'significant') AS s, count(*) FILTER (severity = 'advisory') AS a FROM fnd GROUP BY 1) h USING (portal_id)""")
 def dv01(spark, sf):
     portals = beds.portals(spark, sf)
-    health = rollup.portal_health(portals, run_rules(rq.context(spark, sf)))
+    health = rollup.portal_health(portals, rule_severities(rq.context(spark, sf)))
     return health.join(portals.select("portal_id", "name"), "portal_id").orderBy(
         checks.rank(F.col("health"), checks.HEALTH_ORDER), "name")
 
 
 @query("se02_all_findings", f"WITH {FINDINGS} SELECT rule_id, severity, count(*) AS findings, count(DISTINCT portal_id) AS portals FROM fnd GROUP BY 1, 2")
 def se02(spark, sf):
-    return run_rules(rq.context(spark, sf)).groupBy("rule_id", "severity").agg(
+    return rule_severities(rq.context(spark, sf)).groupBy("rule_id", "severity").agg(
         F.count("*").alias("findings"), F.count_distinct("portal_id").alias("portals"))
 
 
@@ -198,7 +198,7 @@ def ag05(spark, sf):
 @query("ag06_severity_per_portal", f"""WITH {FINDINGS} SELECT portal_id, count(*) FILTER (severity = 'critical') AS critical_count,
   count(*) FILTER (severity = 'significant') AS significant_count, count(*) FILTER (severity = 'advisory') AS advisory_count FROM fnd GROUP BY 1""")
 def ag06(spark, sf):
-    return run_rules(rq.context(spark, sf)).groupBy("portal_id").agg(*rollup.severity_count_columns())
+    return rule_severities(rq.context(spark, sf)).groupBy("portal_id").agg(*rollup.severity_count_columns())
 
 
 @query("ag07_health_counts", ASM + """SELECT technical_health, (SELECT count(*) FROM asm WHERE asm.technical_health = v.technical_health) AS portals

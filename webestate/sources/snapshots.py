@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webestate.operators import publish
@@ -81,3 +81,41 @@ def export_json(summary: DataFrame, assessments: DataFrame, findings: DataFrame,
     summary.write.json(f"{path}/summary")
     assessments.write.json(f"{path}/portals")
     findings.write.json(f"{path}/findings")
+
+
+#: JSON characters of findings that one row of a nested export holds.
+NESTED_CHARS = 1 << 20
+
+
+def nested_parts(findings: DataFrame, most: int = NESTED_CHARS) -> DataFrame:
+    """``portal_id, part, findings``: each portal's findings as arrays of at most ``most`` JSON characters, a longer finding alone in one.
+
+    Parts are numbered from 0 within a portal. Findings are dealt into groups of about sixteen parts by a hash first, from counts per portal; a
+    running length then cuts each group. So no task sorts or holds more of a portal than one group.
+    """
+    item = F.struct(*[F.col(c) for c in findings.columns if c != "portal_id"])
+    sized = findings.select("portal_id", item.alias("finding"), (F.length(F.to_json(item)) + 1).alias("chars"), F.xxhash64(item).alias("hash"))
+    groups = sized.groupBy("portal_id").agg(F.ceil(F.sum("chars") / (16 * most)).alias("groups"))
+    dealt = sized.join(groups, "portal_id").withColumn("group", F.pmod("hash", "groups"))
+    # First fit in order: a part ends where the next finding would pass the limit; two halves of a limit never share a part.
+    order = Window.partitionBy("portal_id", "group").orderBy("hash", "finding").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = dealt.withColumn("end", F.sum("chars").over(order)).withColumn("slot", F.floor((F.col("end") - 1) / F.lit(most // 2)))
+    cut = cut.withColumn("long", F.when(F.col("chars") > most // 2, F.col("hash")))
+    packs = cut.groupBy("portal_id", "group", "slot", "long").agg(F.array_sort(F.collect_list("finding")).alias("findings"))
+    number = Window.partitionBy("portal_id").orderBy("group", "slot", "long")
+    return packs.select("portal_id", (F.row_number().over(number) - 1).alias("part"), "findings")
+
+
+def export_nested(summary: DataFrame, assessments: DataFrame, findings: DataFrame, path: str, most: int = NESTED_CHARS) -> None:
+    """The nested document ``{summary, portals[]}`` as JSON lines: ``summary``, one object per portal in ``portals`` with its first
+    ``findings`` and ``more_parts``, and further ``{portal_id, part, findings}`` rows in ``parts`` for portals whose findings pass ``most`` characters.
+    """
+    packs = nested_parts(findings, most)
+    first = packs.groupBy("portal_id").agg(F.max("part").alias("more_parts"))
+    inner = packs.where("part = 0").select("portal_id", "findings").join(first, "portal_id")
+    kind = packs.schema["findings"].dataType
+    portals = assessments.join(inner, "portal_id", "left").withColumns({
+        "findings": F.coalesce("findings", F.array().cast(kind)), "more_parts": F.coalesce("more_parts", F.lit(0))})
+    summary.write.json(f"{path}/summary")
+    portals.write.json(f"{path}/portals")
+    packs.where("part > 0").write.json(f"{path}/parts")
