@@ -3,8 +3,9 @@
 A task that holds a cell of documents asks about a sorted list of distinct hashes; the list is cut by hash range, every
 range gets one binary value per cell, answers one bit per hash, and the bits come back to the cell in the order of the
 list. A hash is sent once per cell however often the cell holds it, so a hash that every document holds costs one entry
-per cell, and both directions are spread evenly. Cells are a function of the document id and lists are sorted sets, so a
-task that runs again after a lost executor asks and answers the same.
+per cell, and both directions are spread evenly. Cells are a function of a row's id and text and lists are sorted sets, so a
+task that runs again after a lost executor asks and answers the same. The numbers of cells and ranges follow the bytes of
+all texts, so what one task holds does not grow with the data.
 """
 
 from __future__ import annotations
@@ -16,17 +17,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webestate.llm.common import partitions
 from webestate.llm.wordhash import U
 
+CELL_BYTES, RANGE_BYTES = 4 << 20, 16 << 20
 ASKS = "step int, range int, cell bigint, hashes binary, extra binary"
 REPLIES = "step int, cell bigint, range int, bits binary, n int"
 
 
-def cells(docs: DataFrame, each: int = 2) -> tuple[DataFrame, int]:
-    """``doc_id, text, cell`` and the number of hash ranges: ``each`` cells for each shuffle partition of the session, one range for two."""
-    n = partitions(docs.sparkSession)
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(each * n)).alias("cell")), max(1, n // 2)
+def cells(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``doc_id, text, cell`` with about ``CELL_BYTES`` of text to a cell, and the number of hash ranges, one for ``RANGE_BYTES``.
+
+    Rows of one id, or without any, are spread by their text.
+    """
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n, ranges = (max(1, -(-total // size)) for size in (CELL_BYTES, RANGE_BYTES))
+    return docs.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(29), "doc_id", "text"), F.lit(n)).alias("cell")), ranges
 
 
 def cut(hashes: np.ndarray, ranges: int) -> np.ndarray:
