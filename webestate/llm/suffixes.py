@@ -10,7 +10,8 @@ suffix that a cell holds repeatedly is one entry, so a frequent passage costs on
 
 **Extension.** A match of 64 bytes is extended in both directions. First the whole context of the suffix (all strings
 through it) is compared: where it occurs again, all its strings are repeats. The other contexts, and one holder of each
-repeated context that has rivals, post their strings, whose 96-bit hashes are counted over all cells.
+repeated context that has rivals, post their strings, whose 96-bit hashes are counted over all cells. The kept starts of
+a cell are found once and stored; extension hashes only texts with a shared suffix.
 
 Cases: null text is empty; text shorter than ``span`` loses nothing. Ids play no part: equal rows are repeats of each
 other. Extra columns are ignored. Remaining bytes can cut a UTF-8 letter, so they are returned as binary.
@@ -52,6 +53,11 @@ class Hashed:
         for k, (a, b) in enumerate(parts):
             np.cumsum(_BYTE[raw[a:b]] * self.power[: b - a], out=self.sums[a + k + 1:b + k + 1])
 
+    def grams(self, k: int, n: int, width: int) -> np.ndarray:
+        """:meth:`of` for all ``width`` neighbouring bytes of slab ``k``, which has ``n``."""
+        sums, m = self.sums[self.parts[k] + k:self.parts[k] + k + n + 1], n - width + 1
+        return mix((sums[width:] - sums[:-width]) * self.power[self.top - m + 1:self.top + 1][::-1] * self.back + U(width))
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         k = np.searchsorted(self.parts, start, "right") - 1
         return mix((self.sums[end + k] - self.sums[start + k]) * self.power[self.top - (start - self.parts[k])] * self.back + (end - start).astype(np.uint64))
@@ -74,18 +80,23 @@ def spans(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 class Cell:
-    """The texts of one cell as one byte string, and what is asked about it."""
+    """The texts of one cell as one byte string, and what is asked about it. ``kept`` are the stored starts of an earlier step."""
 
-    def __init__(self, table: pa.Table, span: int) -> None:
+    def __init__(self, table: pa.Table, span: int, kept: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         coded = [(t or "").encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()]
+        ids = table.column("doc_id").to_pylist()
+        # Rows arrive in any order; stored places need one that every step finds again. Rows that tie are equal.
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, coded[i]))
+        self.ids, coded = [ids[i] for i in order], [coded[i] for i in order]
         self.span, self.raw = span, np.frombuffer(b"".join(coded), dtype=np.uint8)
         self.bounds = np.concatenate(([0], np.cumsum([len(x) for x in coded]))).astype(np.int64)
-        self.parts = slabs(self.bounds, 1 << 19)
-        self.first = Hashed(self.raw, self.parts, BASES[0])
-        self.at = np.concatenate([self._samples(a, b) for a, b in self.parts] or [np.zeros(0, dtype=np.int64)])
-        text = np.searchsorted(self.bounds, self.at, "right") - 1
-        self.from_, self.to = self.bounds[text], self.bounds[text + 1]
-        self.prints, self.place, count = np.unique(self.first.of(self.at, self.at + GRAM), return_inverse=True, return_counts=True)
+        if kept is not None:
+            self.at, self.place = kept
+            return
+        parts = slabs(self.bounds, 1 << 19)
+        first = Hashed(self.raw, parts, BASES[0])
+        self.at = np.concatenate([self._samples(first, k, a, b) for k, (a, b) in enumerate(parts)] or [np.zeros(0, dtype=np.int64)])
+        self.prints, self.place, count = np.unique(first.of(self.at, self.at + GRAM), return_inverse=True, return_counts=True)
         self.several = count > 1
         head = np.zeros(len(self.prints), dtype=np.int64)
         head[self.place] = self.at
@@ -93,17 +104,12 @@ class Cell:
         for j in range(8):
             self.lead = (self.lead << U(8)) | self.raw[head + j].astype(np.uint64)
 
-    def second(self) -> Hashed:
-        if not hasattr(self, "_second"):
-            self._second = Hashed(self.raw, self.parts, BASES[1])
-        return self._second
-
-    def _samples(self, a: int, b: int) -> np.ndarray:
-        """Starts kept in one slab."""
+    def _samples(self, first: Hashed, k: int, a: int, b: int) -> np.ndarray:
+        """Starts kept in slab ``k``."""
         if b - a < self.span:
             return np.zeros(0, dtype=np.int64)
-        i = np.arange(a, b - GRAM + 1)
-        key = (self.first.of(i, i + GRAM) & U(0xFFFFFFFF00000000)) | (i - a).astype(np.uint64)
+        grams = first.grams(k, b - a, GRAM)
+        key = (grams & U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
         least = sliding_least(key, self.span - GRAM + 1)
         whole = np.zeros(b - a, dtype=bool)  # starts of strings inside one text
         inside = self.bounds[(self.bounds >= a) & (self.bounds <= b)]
@@ -111,14 +117,28 @@ class Cell:
             whole[x - a:max(x, y - self.span + 1) - a] = True
         return a + np.unique((least[whole[: len(least)]] & U(0xFFFFFFFF)).astype(np.int64))
 
+    def _hash(self, at: np.ndarray) -> None:
+        """Hashes of the texts that hold these places; adjacent texts share a slab."""
+        texts = np.unique(np.searchsorted(self.bounds, at, "right") - 1)
+        parts: list[tuple[int, int]] = []
+        for a, b in zip(self.bounds[texts].tolist(), self.bounds[texts + 1].tolist(), strict=True):
+            if parts and parts[-1][1] == a and b - parts[-1][0] <= 1 << 19:
+                parts[-1] = parts[-1][0], b
+            else:
+                parts.append((a, b))
+        self.first, self.second = (Hashed(self.raw, parts, base) for base in BASES)
+
     def contexts(self, shared: np.ndarray) -> None:
         """Distinct (fingerprint, context) of the shared suffixes: ``f, c1, c2``; ``entry`` of each shared suffix."""
         pick = shared[self.place]
-        self.sat, low, high = self.at[pick], self.from_[pick], self.to[pick]
+        self.sat = self.at[pick]
+        self._hash(self.sat)
+        text = np.searchsorted(self.bounds, self.sat, "right") - 1
+        low, high = self.bounds[text], self.bounds[text + 1]
         low, high = np.maximum(low, self.sat - self.span + GRAM), np.minimum(high, self.sat + self.span)
         self.begin, self.last = low, np.minimum(self.sat, high - self.span)  # starts of the strings through the suffix
         turn = mix((self.sat - low).astype(np.uint64))
-        f, c1, c2 = self.prints[self.place[pick]], self.first.of(low, high) ^ turn, self.second().of(low, high) + turn
+        f, c1, c2 = self.first.of(self.sat, self.sat + GRAM), self.first.of(low, high) ^ turn, self.second.of(low, high) + turn
         order = np.lexsort((c2, c1, f))
         f, c1, c2 = f[order], c1[order], c2[order]
         fresh = np.concatenate(([True], (np.diff(f) != 0) | (np.diff(c1) != 0) | (np.diff(c2) != 0)))[: len(order)]
@@ -133,7 +153,7 @@ class Cell:
         one[self.entry[::-1]] = np.arange(len(self.entry))[::-1]  # first suffix of each context
         use = one[posts]
         self.starts = spans(self.begin[use], self.last[use])
-        s1, s2 = self.first.of(self.starts, self.starts + self.span), self.second().of(self.starts, self.starts + self.span)
+        s1, s2 = self.first.of(self.starts, self.starts + self.span), self.second.of(self.starts, self.starts + self.span)
         order = np.lexsort((s2, s1))
         fresh = np.concatenate(([True], (np.diff(s1[order]) != 0) | (np.diff(s2[order] >> U(32)) != 0)))[: len(order)]
         self.of = np.zeros(len(order), dtype=np.int64)
@@ -143,7 +163,7 @@ class Cell:
 
     def removed(self, settled: np.ndarray, found: np.ndarray) -> np.ndarray:
         """Mask of the bytes that go."""
-        self.first = self._second = None  # hashing is over
+        self.first = self.second = None  # hashing is over
         edge = np.zeros(len(self.raw) + 1, dtype=np.int32)
         all_in = settled[self.entry] & (self.last >= self.begin)
         np.add.at(edge, self.begin[all_in], 1)
@@ -168,7 +188,7 @@ class SuffixIndex:
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:  # geometric merge, before the next batch
             (n, a), (_, b) = self.levels.pop(), self.levels.pop()
             self.levels.append((2 * n, materialise(a.groupBy("range").cogroup(b.groupBy("range")).applyInArrow(lambda x, y: _row(_sorted(x, y)), ARRAY), "level")))
-        batch = materialise(asks.groupBy("range").applyInArrow(lambda t: _array(t), ARRAY), "suffixes")
+        batch = materialise(asks.where("step = 1").groupBy("range").applyInArrow(lambda t: _array(t), ARRAY), "suffixes")
         found = batch.groupBy("range").applyInArrow(lambda t: _repeats(t, None), c.REPLIES)
         for _, level in self.levels:
             found = found.unionByName(batch.groupBy("range").cogroup(level.groupBy("range")).applyInArrow(lambda x, y: _repeats(x, y), c.REPLIES))
@@ -263,26 +283,35 @@ def _name(docs: pa.Table) -> int:
 
 
 def _ask_suffixes(docs: pa.Table, span: int, ranges: int) -> pa.Table:
+    """The suffixes of a cell, and, as step 0, the places of its kept starts for the later steps."""
     cell = Cell(docs, span)
-    return c.ask(1, _name(docs), cell.prints, [cell.lead, cell.several], ranges)
+    asks = c.ask(1, _name(docs), cell.prints, [cell.lead, cell.several], ranges)
+    kept = pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip((0, -1, _name(docs), cell.at.astype(np.int32).tobytes(), cell.place.astype(np.int32).tobytes()), asks.schema, strict=True)], schema=asks.schema)
+    return pa.concat_tables([asks, kept])
+
+
+def _again(docs: pa.Table, replies: pa.Table, span: int) -> Cell:
+    """The cell with its stored starts and the contexts of its shared suffixes."""
+    kept = next(r["bits"] for r in replies.select(["step", "bits"]).to_pylist() if r["step"] == 0)
+    both = np.frombuffer(kept, dtype=np.int32).astype(np.int64).reshape(2, -1)
+    cell = Cell(docs, span, (both[0], both[1]))
+    cell.contexts(c.bits_of(replies, 1, int(both[1].max(initial=-1)) + 1))
+    return cell
 
 
 def _ask_contexts(docs: pa.Table, replies: pa.Table, span: int, ranges: int) -> pa.Table:
-    cell = Cell(docs, span)
-    cell.contexts(c.bits_of(replies, 1, len(cell.prints)))
+    cell = _again(docs, replies, span)
     return c.ask(2, _name(docs), cell.f, [cell.c1, cell.c2, cell.repeated], ranges)
 
 
 def _ask_strings(docs: pa.Table, replies: pa.Table, span: int, ranges: int) -> pa.Table:
-    cell = Cell(docs, span)
-    cell.contexts(c.bits_of(replies, 1, len(cell.prints)))
+    cell = _again(docs, replies, span)
     cell.strings(c.bits_of(replies, 2, len(cell.f), 2)[:, 1])
     return c.ask(3, _name(docs), cell.s1, [cell.s2, cell.twice], ranges)
 
 
 def _apply(docs: pa.Table, replies: pa.Table, span: int) -> pa.Table:
-    cell = Cell(docs, span)
-    cell.contexts(c.bits_of(replies, 1, len(cell.prints)))
+    cell = _again(docs, replies, span)
     settled = c.bits_of(replies, 2, len(cell.f), 2)
     cell.strings(settled[:, 1])
     gone = cell.removed(settled[:, 0], c.bits_of(replies, 3, len(cell.s1)))
@@ -293,7 +322,7 @@ def _apply(docs: pa.Table, replies: pa.Table, span: int) -> pa.Table:
         removed.append(int(part.sum()))
         runs.append(int((np.diff(np.concatenate(([False], part)).astype(np.int8)) == 1).sum()))
     sizes = np.diff(cell.bounds)
-    return pa.Table.from_arrays([docs.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
+    return pa.Table.from_arrays([pa.array(cell.ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
                                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
@@ -304,11 +333,12 @@ def dedup_suffixes(docs: DataFrame, span: int = 400, batches: int = BATCHES) ->
     parted, ranges = c.cells(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     by_cell = parted.groupBy("cell")
     asked = materialise(by_cell.applyInArrow(lambda d: _ask_suffixes(d, span, ranges), c.ASKS), "suffix-lists")
+    kept = asked.where("step = 0").select("step", "cell", "range", F.concat("hashes", "extra").alias("bits"), F.lit(0).alias("n"))
     index, first = SuffixIndex(), None
     for batch in range(batches):
         found = index.add(asked.where(F.pmod("cell", F.lit(batches)) == batch))
         first = found if first is None else first.unionByName(found)
-    first = materialise(first, "suffix-replies")
+    first = materialise(first, "suffix-replies").unionByName(kept)
     asked = by_cell.cogroup(first.groupBy("cell")).applyInArrow(lambda d, r: _ask_contexts(d, r, span, ranges), c.ASKS)
     replies = first.unionByName(c.answer(asked, _settle))
     asked = by_cell.cogroup(replies.groupBy("cell")).applyInArrow(lambda d, r: _ask_strings(d, r, span, ranges), c.ASKS)
