@@ -21,7 +21,8 @@ def freshness_signals(texts: DataFrame, keep: list[str], day_first: bool = True)
     ``kind`` is updated, deadline, copyright or dated. Rows are exploded before they are parsed, so every expression is
     evaluated once for each mention.
     """
-    rows = texts.select(*keep, F.posexplode(date_mentions(F.col("text"))).alias("nth", "m")).select(*keep, "nth", "m.raw", "m.at")
+    # The outer form keeps the optimizer from testing the array, and so searching the text, once more.
+    rows = texts.select(*keep, F.posexplode_outer(date_mentions(F.col("text"))).alias("nth", "m")).where("m IS NOT NULL").select(*keep, "nth", "m.raw", "m.at")
     return rows.withColumn("f", mention_fields(F.col("raw"), day_first)).select(*keep, "nth", "raw", "f.kind", "f.day", "f.precision", "f.ambiguous", "at")
 
 

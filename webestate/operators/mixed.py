@@ -22,7 +22,8 @@ def sub_resources(pages: DataFrame, mention: str | None = None) -> DataFrame:
     """
     page = pages.select("page_id", "url", base_href(F.col("html")).alias("base"), T.tags(F.col("html")).alias("tags"))
     base_scheme = F.lower(F.coalesce(F.nullif(F.regexp_extract("base", SCHEME, 1), F.lit("")), F.nullif(F.regexp_extract("url", SCHEME, 1), F.lit(""))))
-    rows = page.select("page_id", "url", base_scheme.alias("base_scheme"), F.posexplode("tags").alias("tag_nth", "raw"))
+    # Outer forms keep the optimizer from testing the arrays, and so making them, once more.
+    rows = page.select("page_id", "url", base_scheme.alias("base_scheme"), F.posexplode_outer("tags").alias("tag_nth", "raw")).where("raw IS NOT NULL")
     if mention is not None:
         rows = rows.where(F.col("raw").rlike(mention) | (F.col("base_scheme") == "http"))
     named = rows.select("page_id", "url", "base_scheme", "tag_nth", "raw", T.tag_name(F.col("raw")).alias("tag"))
@@ -30,7 +31,7 @@ def sub_resources(pages: DataFrame, mention: str | None = None) -> DataFrame:
     attributes = named.select("page_id", "url", "base_scheme", "tag_nth", "tag", own.alias("attributes"))
     relation = F.lower(F.get(F.filter("attributes", lambda a: a["name"] == "rel"), F.lit(0))["value"])
     each = attributes.select("page_id", "url", "base_scheme", "tag_nth", "tag", F.when(F.col("tag") == "link", relation).alias("rel"),
-                             F.explode("attributes").alias("a")).select("*", F.col("a.name").alias("attribute"), "a.value")
+                             F.explode_outer("attributes").alias("a")).where("a IS NOT NULL").select("*", F.col("a.name").alias("attribute"), "a.value")
     kinds = F.create_map(*[F.lit(x) for (tag, name), kind in T.LOADS.items() for x in (f"{tag} {name}", kind)])
     words = F.split("rel", r"\s+")
     linked = (F.when(F.arrays_overlap(words, F.array(*map(F.lit, T.ACTIVE_LINKS))), "active")
@@ -41,7 +42,7 @@ def sub_resources(pages: DataFrame, mention: str | None = None) -> DataFrame:
     loaded = F.when(css, F.array_except(T.css_urls(F.col("value")), imports)).when(F.col("attribute") == "srcset", T.srcset_urls(F.col("value"))).otherwise(F.array("value"))
     found = each.where(known.isNotNull() | css).select(
         "page_id", "url", "base_scheme", "tag_nth", "tag", "attribute",
-        F.explode(F.concat(F.transform(loaded, lambda u: F.struct(u.alias("resource"), F.when(css, "passive").otherwise(known).alias("kind"))),
+        F.explode_outer(F.concat(F.transform(loaded, lambda u: F.struct(u.alias("resource"), F.when(css, "passive").otherwise(known).alias("kind"))),
                            F.transform(F.when(css, imports).otherwise(F.array().cast("array<string>")), lambda u: F.struct(u.alias("resource"), F.lit("active").alias("kind"))))).alias("r"))
     resource = trim_all(F.col("r.resource"))
     scheme = F.coalesce(F.nullif(F.regexp_extract(resource, SCHEME, 1), F.lit("")), F.when(resource.startswith("//"), F.regexp_extract("url", SCHEME, 1)), "base_scheme")
