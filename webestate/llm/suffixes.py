@@ -59,6 +59,9 @@ class Hashed:
         return mix((sums[width:] - sums[:-width]) * self.power[self.top - m + 1:self.top + 1][::-1] * self.back + U(width))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the parts, some at a time: intermediate arrays stay small."""
+        if len(start) > 1 << 17:
+            return np.concatenate([self.of(start[i:i + (1 << 17)], end[i:i + (1 << 17)]) for i in range(0, len(start), 1 << 17)])
         k = np.searchsorted(self.parts, start, "right") - 1
         return mix((self.sums[end + k] - self.sums[start + k]) * self.power[self.top - (start - self.parts[k])] * self.back + (end - start).astype(np.uint64))
 
@@ -154,11 +157,13 @@ class Cell:
         use = one[posts]
         self.starts = spans(self.begin[use], self.last[use])
         s1, s2 = self.first.of(self.starts, self.starts + self.span), self.second.of(self.starts, self.starts + self.span)
+        s2 = (s2 >> U(32)).astype(np.uint32)
         order = np.lexsort((s2, s1))
-        fresh = np.concatenate(([True], (np.diff(s1[order]) != 0) | (np.diff(s2[order] >> U(32)) != 0)))[: len(order)]
-        self.of = np.zeros(len(order), dtype=np.int64)
+        s1, s2 = s1[order], s2[order]
+        fresh = np.concatenate(([True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])))[: len(order)]
+        self.of = np.zeros(len(order), dtype=np.int32)
         self.of[order] = np.cumsum(fresh) - 1
-        self.s1, self.s2 = s1[order][fresh], (s2[order][fresh] >> U(32)).astype(np.uint32)
+        self.s1, self.s2 = s1[fresh], s2[fresh]
         self.twice = np.bincount(self.of, minlength=len(self.s1)) > 1
 
     def removed(self, settled: np.ndarray, found: np.ndarray) -> np.ndarray:
