@@ -42,9 +42,15 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that their squares neither overflow nor vanish; cosines stay the same to the last bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0, keepdims=True))[1])
+
+
 def linked_pairs(a: np.ndarray, b: np.ndarray, threshold: float, same: bool):
     """Yield ``rows, cols`` of pairs with cosine >= threshold between the double-precision rows of ``a`` and ``b``."""
     (qa, sa, ea), (qb, sb, eb) = quantised(unit_rows(a)), quantised(unit_rows(b))
+    a, b = scaled(a), scaled(b)
     kind = np.float32 if a.shape[1] * 127 * 127 < 2**24 else np.float64
     right, sb32 = np.ascontiguousarray(qb.T.astype(kind)), sb.astype(np.float32)
     slack = (np.float32(eb.max()) if len(eb) else np.float32(0))
