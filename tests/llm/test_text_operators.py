@@ -265,3 +265,78 @@ def test_empty_tables(spark):
         assert df.collect() == []
     some = table(spark, [(1, "text")])
     assert decontam.clean_documents(some, bench).count() == 1
+
+
+def byte_brute(rows, span=400):
+    """Bytes under a string of ``span`` bytes that starts twice, by a table of all strings."""
+    seen = {}
+    texts = [(t or "").encode() for _, t in rows]
+    for raw in texts:
+        for i in range(len(raw) - span + 1):
+            h = hash(raw[i:i + span])
+            seen[h] = seen.get(h, 0) + 1
+    out = []
+    for (i, _), raw in zip(rows, texts, strict=True):
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - span + 1):
+            if seen[hash(raw[k:k + span])] > 1:
+                gone[k:k + span] = b"\x01" * span
+        kept = bytes(b for b, g in zip(raw, gone, strict=True) if not g)
+        out.append((i, len(raw), sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)), brute.sha(kept)))
+    return out
+
+
+def test_suffixes_of_the_given_table_match_brute_force(spark, given):
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    want = sorted(byte_brute(given[0]))
+    assert sum(r[2] > 0 for r in want) > 20
+    assert got(suffixes.suffix_digest(given[1]), *columns) == want
+
+
+def test_planted_passages_of_the_span_are_all_found(spark):
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(430))
+    own = ["".join(rng.choice("ijklmnop ") for _ in range(700)) for _ in range(40)]
+    rows = [(i, t[:200 + i] + (passage if i % 2 else passage[:380]) + t[200 + i:]) for i, t in enumerate(own)]
+    removed = {r["doc_id"]: r["n_removed"] for r in suffixes.suffix_digest(table(spark, rows)).collect()}
+    assert all(removed[i] >= 430 if i % 2 else removed[i] == 0 for i in range(40))
+
+
+def test_suffix_cells_do_not_depend_on_the_order_of_rows():
+    import pyarrow as pa
+
+    rows = invented(n=20) + [(None, "x" * 900), (None, "y" * 900), (3, "another text " * 60)]
+    tables = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        tables.append(suffixes.Cell(pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}), 400))
+    assert (tables[0].at == tables[1].at).all() and (tables[0].raw == tables[1].raw).all() and tables[0].ids == tables[1].ids
+
+
+def test_lines_of_a_very_long_text(spark):
+    shared = "a shared line that is longer than forty characters"
+    rows = [(i, "\n".join(shared if n % 3 == i % 3 else f"line {n}" for n in range(40_000 if i == 0 else 300))) for i in range(9)]
+    expected = sorted((i, n, g, brute.sha(k.encode())) for (i, _), (n, g, k) in zip(rows, brute.drop_lines(rows), strict=True))
+    assert got(lines.line_digest(table(spark, rows)), "doc_id", "n_lines", "n_dropped", "kept_sha256") == expected
+
+
+def test_items_beyond_one_shard_meet_texts_in_groups(spark, monkeypatch):
+    rng = random.Random(11)
+    items = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(14))) for i in range(12)] + [(40, None), (41, " "), (7, "a second text of item seven that is long enough")]
+    rows = [(i, f"{i} " + (items[i % 12][1] if i % 3 == 0 else "") + " end " + (items[(i + 5) % 12][1].replace("w1", "x1", 1) if i % 5 == 0 else "")) for i in range(60)]
+    rows += [(5, rows[0][1]), (5, rows[0][1]), (None, None), (70, ""), (71, items[14][1].upper())]
+    docs, bench = table(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")
+    columns = ("doc_id", "contaminated", "n_items", "item_ids", "distances")
+    one, many = ([tuple(map(str, r)) for r in decontam.contamination_digest(docs, bench, shard_chars=n).select(*columns).collect()] for n in (4_000_000, 150))
+    assert sorted(one) == sorted(many) and sum(r[1] == "True" for r in one) > 20
+    kept = decontam.clean_documents(docs, bench, shard_chars=150)
+    assert kept.columns == docs.columns and kept.count() == sum(r[1] == "False" for r in one)
+
+
+def test_vectors_of_extreme_size_link_by_cosine(spark):
+    from webestate.llm import vectors
+
+    base = [[1.0, 2.0, 3.0, -1.0], [1.1, 2.0, 3.0, -1.0], [-3.0, 1.0, 0.0, 2.0]]
+    rows = [(n * 10 + k, [x * s for x in v]) for n, s in enumerate((1.0, 1e200, 1e-200)) for k, v in enumerate(base)]
+    got_ = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.vector_links(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert got_ == {i: (5, 0) if i % 10 < 2 else (2, 2) for i, _ in rows}
