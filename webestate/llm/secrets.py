@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from webestate.session import materialise
 
 NEAR = 40
+#: A code point that is no character.
+MARK = "\ufdd0"
 CREDENTIAL = r"(?i)(token|passw(or)?d|pwd|secret|api_?key|access_?key|auth|credential)"
 #: What stands between a value and the credential word that it belongs to: the rest of a name, a sign, a quote.
 NAMED = CREDENTIAL.replace("_?key", "[_-]?key") + r"(s|(?-i:[A-Z0-9_-])[A-Za-z0-9_-]{0,20})?[\"']?[ \t]{0,4}(:=|=>|==?|:)[ \t]{0,4}"
@@ -46,10 +48,17 @@ def _value(min_value: int) -> str:
 def findings(docs: DataFrame, min_chars: int = 16, min_value: int = 6) -> DataFrame:
     """``doc_id, source, nth, candidate, before, after``: every candidate with the text around it."""
     token = rf"{_value(min_value)}|(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{{{min_chars},}}(?![A-Za-z0-9_+/-])"
-    pieces = F.transform(F.split("text", token, -1), lambda x: F.struct(F.left(x, F.lit(NEAR)).alias("head"), F.right(x, F.lit(NEAR)).alias("tail")))
-    cut = docs.where(F.col("text").rlike(token)).select("doc_id", "source", F.regexp_extract_all("text", F.lit(token), F.lit(0)).alias("found"), pieces.alias("pieces"))
-    each = cut.select("doc_id", "source", "pieces", F.posexplode("found").alias("nth", "candidate"))
-    return each.select("doc_id", "source", "nth", "candidate", F.get("pieces", F.col("nth"))["tail"].alias("before"), F.get("pieces", F.col("nth") + 1)["head"].alias("after"))
+    # One pass of the pattern marks candidates; a split at the marks gives text and candidates in turn. A text that holds the mark itself is
+    # taken apart by two passes.
+    text, n = F.col("text"), F.size("parts")
+    marked = F.split(F.regexp_replace(text, f"(?:{token})", f"{MARK}$0{MARK}"), MARK, -1)
+    twice = F.flatten(F.zip_with(F.split(text, token, -1), F.regexp_extract_all(text, F.lit(token), F.lit(0)), lambda plain, found: F.array_compact(F.array(plain, found))))
+    parts = docs.select("doc_id", "source", F.when(text.contains(MARK), twice).otherwise(marked).alias("parts"))
+    # Neighbours are cut to size before rows are made, so no row carries the whole text. The outer form keeps the optimizer from testing
+    # the array, and so the pattern, below the generator.
+    each = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1, F.lit(2)), lambda i: F.struct(
+        F.get("parts", i).alias("candidate"), F.right(F.get("parts", i - 1), F.lit(NEAR)).alias("before"), F.left(F.get("parts", i + 1), F.lit(NEAR)).alias("after"))))
+    return parts.select("doc_id", "source", F.posexplode_outer(each).alias("nth", "f")).where("f IS NOT NULL").select("doc_id", "source", "nth", "f.candidate", "f.before", "f.after")
 
 
 def dictionary(docs: DataFrame, share: float = 0.002) -> DataFrame:
