@@ -83,6 +83,20 @@ def test_duplicates_go_on_after_a_restart_and_late_rows_find_their_predecessors(
     assert again.count() == 10
 
 
+def test_state_of_one_content_is_cut_by_hour(spark, tmp_path):
+    rows = [report(i, 7 * i, key=i % 3) for i in range(1, 400)] + [report(1000 + i, 7 * i + 2, "rejected", key=i % 3) for i in range(1, 400)]
+    for part in range(2):
+        put(spark, rows[part::2], tmp_path / "in" / str(part))
+    out = str(tmp_path / "out")
+    stream = spark.readStream.schema(REPORT).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    got = flows.run_duplicates(stream, out, "31 days")
+    assert got.count() == len(rows)
+    state = spark.read.format("statestore").load(f"{out}/checkpoint-marks").select(F.size("value.groupState.times").alias("n"))
+    assert state.agg(F.max("n")).first()[0] <= 11 and state.agg(F.sum("n")).first()[0] >= 399
+    one = flows.run_duplicates(spark.readStream.schema(REPORT).option("recursiveFileLookup", True).parquet(str(tmp_path / "in")), str(tmp_path / "one"), "31 days")
+    assert marks(one) == duplicates_of(spark.createDataFrame(rows, REPORT)) and any(v is not None for v in marks(one).values())
+
+
 def test_thinned_times_answer_alike():
     import numpy as np
 

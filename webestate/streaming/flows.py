@@ -77,6 +77,8 @@ def admission(requests: DataFrame, out: str, lateness: str = "30 days") -> DataS
 
 
 WIDTH = ex.DUPLICATE_MINUTES * 60 * 1_000_000
+#: Time that one group of candidates spans.
+SPAN = 6 * WIDTH
 #: Times of a key that answer whether there was an event in the minutes before any moment.
 ACTIVITY_STATE = "times array<bigint>, newest bigint"
 
@@ -136,8 +138,10 @@ def activity_gate(requests: DataFrame, out: str, lateness: str = "1 day") -> Dat
 def duplicate_marks(gated: DataFrame, out: str, lateness: str = "1 day") -> DataStreamWriter:
     """``submission_id, duplicate_of, late`` from the rows of :func:`activity_gate`.
 
-    State per (portal, task, outcome, content): time and id of the usable rows that the watermark can still need. The earliest of the
-    trailing ten minutes is found by binary search. ``late`` as in the gate, here or there.
+    State per (portal, task, outcome, content) and hour: time and id of the usable rows of the hour and of the ten minutes before it that the
+    watermark can still need. So what a task holds follows the rows of an hour, not of all time: a row goes to its own hour, and at the edge
+    also to the next one as a candidate or to the one before as news. The earliest of the trailing ten minutes is found by binary search.
+    ``late``: late in the gate, or a later row of its content, of the same hour or the ten minutes after it, was decided in a batch before.
     """
     kinds = {f.name: f.dataType.simpleString() for f in gated.schema}
 
@@ -147,30 +151,34 @@ def duplicate_marks(gated: DataFrame, out: str, lateness: str = "1 day") -> Data
             return
         rows = _sorted_rows(frames)
         times, ids, newest = state.get if state.exists else ([], [], None)
-        usable = rows[rows["usable"]]
+        usable = rows[rows["usable"] & (rows["hour"] <= key[4])]
         known = pd.DataFrame({"t": np.concatenate((np.asarray(times, dtype=np.int64), usable["t"].to_numpy())),
                               "submission_id": np.concatenate((np.asarray(ids, dtype=usable["submission_id"].dtype), usable["submission_id"].to_numpy()))})
         known = known.drop_duplicates().sort_values(["t", "submission_id"], kind="stable")
+        last, rows = int(rows["t"].iloc[-1]), rows[rows["hour"] == key[4]]
         kt, ki, t, own = known["t"].to_numpy(), known["submission_id"].to_numpy(), rows["t"].to_numpy(), rows["submission_id"].to_numpy()
         place = np.searchsorted(kt, t - WIDTH)
         inside = np.minimum(place, max(len(kt) - 1, 0))
         earlier = (place < len(kt)) & rows["active"].to_numpy() if len(kt) else np.zeros(len(t), dtype=bool)
         if len(kt):
             earlier &= (kt[inside] < t) | ((kt[inside] == t) & (ki[inside] < own))
-        found = pd.array([int(ki[i]) if e else None for i, e in zip(inside, earlier, strict=True)], dtype="Int64") if len(t) else pd.array([], dtype="Int64")
         late = (t < newest if newest is not None else np.zeros(len(t), dtype=bool)) | rows["late"].to_numpy()
-        newest = max(int(t[-1]), newest if newest is not None else int(t[-1]))
+        newest = max(last, newest if newest is not None else last)
         needed = known[known["t"] >= state.getCurrentWatermarkMs() * 1000 - WIDTH]
         state.update((needed["t"].tolist(), needed["submission_id"].tolist(), newest))
         _expire(state, newest)
-        yield pd.DataFrame({"submission_id": own, "duplicate_of": found, "late": late})
+        if len(t):
+            found = pd.array([int(ki[i]) if e else None for i, e in zip(inside, earlier, strict=True)], dtype="Int64")
+            yield pd.DataFrame({"submission_id": own, "duplicate_of": found, "late": late})
 
     timed = gated.select(
         "submission_id", "portal_id", "task_type", "outcome", F.sha2("content_key", 256).alias("content"), "active", "late",
         F.coalesce(F.col("status").isin("pending", "approved"), F.lit(False)).alias("usable"),
         F.col("created_at").cast("timestamp").alias("at"), ex.seconds("created_at").alias("t")).withWatermark("at", lateness)
-    number = kinds["submission_id"]
-    decided = timed.groupBy("portal_id", "task_type", "outcome", "content").applyInPandasWithState(
+    number, t = kinds["submission_id"], F.col("t")
+    hours = F.array_distinct(F.array(*(F.floor(x / SPAN) for x in (t, t - WIDTH, t + WIDTH))))
+    dealt = timed.withColumn("hour", F.floor(t / SPAN)).withColumn("group", F.explode(hours))
+    decided = dealt.groupBy("portal_id", "task_type", "outcome", "content", "group").applyInPandasWithState(
         step, f"submission_id {number}, duplicate_of {number}, late boolean", f"times array<bigint>, ids array<{number}>, newest bigint", "append", GroupStateTimeout.EventTimeTimeout)
     return decided.writeStream.format("parquet").option("path", out).outputMode("append")
 
