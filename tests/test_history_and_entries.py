@@ -204,3 +204,15 @@ def test_tiles_of_a_hot_block_lose_no_pair(spark, monkeypatch):
         monkeypatch.setattr(resolution, "BLOCK", block)
         got = [(r["a"], r["b"], round(r["score"], 9)) for r in resolution.scored_pairs(named).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_graph_holds_only_names_that_meet_others(spark, monkeypatch):
+    rows = [(n, "s", f"alpha{n} beta{n} gamma{n}", f"https://h{n}.org/{n}") for n in range(40)]
+    rows += [(100 + n, "t", "gamma1 alpha1 beta1", f"https://t{n}.org/") for n in range(30)]  # the name of 1
+    rows += [(200, "t", "quite another name", "http://www.h2.org/2"), (201, "t", None, "https://h3.org/3/index.html"), (202, "t", "pair", "https://h4.org/4"), (3, "u", "Delta Words Here", "https://u.org/")]
+    seen = []
+    monkeypatch.setattr(resolution, "components", lambda edges: (seen.append(edges.distinct().count()), graph.components(edges))[1])
+    clusters, _ = resolution.portal_clusters(spark.createDataFrame([*rows, (None, "v", "x", "https://h5.org/5")], "entry_id bigint, source_id string, name string, url string"))
+    got = sorted((r["entry_id"], r["cluster_id"]) for r in clusters.collect())
+    own = {**{n: n for n in range(40)}, **{100 + n: 1 for n in range(30)}, 200: 2, 201: 3, 202: 4}
+    assert got == sorted([*own.items(), (3, 3)]) and seen == [4]

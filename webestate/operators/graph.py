@@ -7,18 +7,14 @@ from pyspark.sql import functions as F
 
 from webestate.session import materialise
 
-SALTS = 8
-
 
 def _with_least(edges: DataFrame) -> DataFrame:
     """``u, v, m``: each edge with the least neighbour of ``u``, itself included.
 
-    The least neighbour is found with partial aggregates and copied to ``SALTS`` rows, so a node with most edges is
-    spread over tasks.
+    The least neighbour is found with partial aggregates; the edges of a node with very many are split by adaptive execution.
     """
     least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    copies = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-    return edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS))).join(copies, ["u", "s"]).select("u", "v", "m")
+    return edges.join(least, "u").select("u", "v", "m")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 Entries agree by their address (host without ``www.`` or ``m.``, and path), by an equal name of some words, or by a scored
 pair: the overlap of their name tokens (Jaccard) plus ``STEM_BONUS`` on the same host stem or ``DOMAIN_BONUS`` on the same
-registered domain, at least 1. Equal values meet at a hub node and need no pairs. Pairs are formed between distinct
+registered domain, at least 1. All entries of one name are one node of the graph (of a short name, those of one host stem; without a
+name, those of one address), and nodes that share an address are linked to the least of them, so the graph holds only names that meet others.
+Pairs are formed between distinct
 (host stem, name) profiles only, and only where they share one of their rarest tokens: with an overlap of ``t`` or more,
 two token sets share a token among the ``n - ceil(t n) + 1`` rarest of each, so nothing is missed. Blocks of more
 than ``BLOCK`` profiles are cut into tiles; only links leave a tile.
 
-Cases: an entry without a usable address or name agrees with nothing by it. Entries of equal ``entry_id`` are one node.
+Cases: an entry without a usable address or name agrees with nothing by it. Entries of equal ``entry_id`` are one; those without are left out.
 """
 
 from __future__ import annotations
@@ -45,12 +47,23 @@ def profiles(entries: DataFrame) -> DataFrame:
 
 
 def _id(kind: str, *cols: Column | str) -> Column:
-    """A node's name; entries come first in order."""
-    return F.concat(F.lit(kind), F.md5(F.to_json(F.struct(*[F.col(c).alias(f"c{i}") if isinstance(c, str) else c.alias(f"c{i}") for i, c in enumerate(cols)]))))
+    """A digest that names something of this kind."""
+    return F.unhex(F.md5(F.to_json(F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"{kind}{i}") for i, c in enumerate(cols)]))))
+
+
+def _node(tokens: Column, profile: Column) -> Column:
+    """The node of a profile: its name alone, if that is enough."""
+    return F.when(F.size(tokens) >= NAME_WORDS, _id("n", tokens)).otherwise(profile)
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """``a, b``: the nodes of each key (``key, node``) linked to the least of them. Keys of one node, most of them, go no further than counting."""
+    least = rows.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").select("key", "b")
+    return rows.join(materialise(least, "shared"), "key").where("node > b").select(F.col("node").alias("a"), "b")
 
 
 def scored_pairs(named: DataFrame) -> DataFrame:
-    """``a, b, score``: linked pairs of distinct ``profile, stem, domain, tokens`` rows."""
+    """``a, b, score, a_node, b_node``: linked pairs of distinct ``profile, stem, domain, tokens`` rows, and their nodes."""
     frequency = named.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     spread = named.select("profile", F.explode("tokens").alias("token")).join(frequency, "token")
     rarest = spread.groupBy("profile").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("ranked"))
@@ -75,7 +88,9 @@ def scored_pairs(named: DataFrame) -> DataFrame:
     apart = (F.col("scope") == "stem") | (F.col("stem") != F.col("stem_b"))
     near = F.least("n", "n_b") >= (1 - F.col("bonus")) * F.greatest("n", "n_b")
     met = left.join(right, [*block, "i", "j"]).where((F.col("profile") < F.col("profile_b")) & near & apart & once)
-    return met.select(F.col("profile").alias("a"), F.col("profile_b").alias("b"), (overlap + F.col("bonus")).alias("score")).where("score >= 1")
+    scored = met.withColumn("score", overlap + F.col("bonus")).where("score >= 1")
+    nodes = [_node(F.col(f"tokens{side}"), F.col(f"profile{side}").cast("binary")).alias(name) for side, name in (("", "a_node"), ("_b", "b_node"))]
+    return scored.select(F.col("profile").alias("a"), F.col("profile_b").alias("b"), "score", *nodes)
 
 
 def portal_clusters(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,18 +99,24 @@ def portal_clusters(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     First ``entry_id, source_id, address, tokens, cluster_id``: every entry, a cluster being its smallest entry id. Then the
     linked pairs of profiles, ``cluster_id, a, b, score``.
     """
-    known = materialise(profiles(entries).withColumn("profile", F.when((F.size("tokens") > 0) & (F.col("stem") != ""), _id("p", "stem", "tokens"))), "profiles")
+    profile = F.when((F.size("tokens") > 0) & (F.col("stem") != ""), _id("c", "stem", "tokens"))
+    alone = F.when(F.col("address") != "", _id("x", "address")).otherwise(_id("e", "entry_id"))
+    known = profiles(entries).where("entry_id IS NOT NULL").withColumn("profile", profile)
+    known = materialise(known.withColumn("node", F.coalesce(_node(F.col("tokens"), F.col("profile")), alone)), "profiles")
     named = known.where("profile IS NOT NULL").select("profile", "stem", "domain", "tokens").distinct()
     pairs = materialise(scored_pairs(named), "pairs")
-    entry = F.concat(F.lit("e"), F.col("entry_id").cast("string"))
-    hubs = F.array_compact(F.array("profile", F.when(F.col("address") != "", _id("x", "address")), F.when(F.size("tokens") >= NAME_WORDS, _id("n", "tokens"))))
-    edges = known.select(entry.alias("a"), F.explode(hubs).alias("b")).unionByName(pairs.select("a", "b"))
+    edges = pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    for key in (F.when(F.col("address") != "", _id("x", "address")), F.col("entry_id")):
+        edges = edges.unionByName(_met(known.select(key.alias("key"), "node").where("key IS NOT NULL")))
     found = components(edges)
-    labelled = known.withColumn("node", entry).join(found, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    first = labelled.groupBy("label").agg(F.min("entry_id").alias("cluster_id"))
-    clustered = materialise(labelled.join(first, "label").select("entry_id", "source_id", "address", "tokens", "profile", "cluster_id"), "clustered")
-    linked = pairs.join(clustered.where("profile IS NOT NULL").select(F.col("profile").alias("a"), "cluster_id").distinct(), "a")
-    return clustered.drop("profile"), linked.select("cluster_id", "a", "b", "score")
+    nodes = known.groupBy("node").agg(F.min("entry_id").alias("least")).join(found, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    nodes = materialise(nodes.select("node", "label", "least"), "nodes")
+    clusters = nodes.groupBy("label").agg(F.min("least").alias("cluster_id"))
+    labels = materialise(nodes.join(clusters, "label").select("node", "cluster_id"), "clusters")
+    clustered = known.join(labels, "node").select("entry_id", "source_id", "address", "tokens", "cluster_id")
+    linked = pairs.join(labels.withColumnRenamed("node", "a_node"), "a_node")
+    text = [F.concat(F.lit("p"), F.lower(F.hex(c))).alias(c) for c in ("a", "b")]
+    return clustered, linked.select("cluster_id", *text, "score")
 
 
 def cluster_evidence(clustered: DataFrame, pairs: DataFrame) -> DataFrame:
