@@ -97,3 +97,24 @@ def test_spacing_longer_than_a_day(spark, days):
         if last is None or t - last >= dt.timedelta(minutes=1000):
             n, last = n + 1, t
     assert tuple(spacing.count_spaced(df, ["k"], "at", 1000, days).first()) == (1, n, T0, last)
+
+
+def test_parts_of_a_nested_export_are_cut_once(spark, tmp_path, monkeypatch):
+    stored = []
+    monkeypatch.setattr(snapshots, "materialise", lambda df, label, keep=snapshots.materialise: (stored.append(label), keep(df, label))[1])
+    findings = spark.range(300).selectExpr("id % 3 AS portal_id", "concat('rule-', id) AS rule_id")
+    snapshots.export_nested(spark.createDataFrame([(3,)], "portals int"), spark.range(4).withColumnRenamed("id", "portal_id"), findings, str(tmp_path / "doc"), most=500)
+    inner = "portal_id bigint, findings array<struct<rule_id:string>>"
+    rules = [spark.read.schema(inner).json(f"{tmp_path}/doc/{part}").selectExpr("explode(findings.rule_id) AS r") for part in ("portals", "parts")]
+    assert stored == ["parts"] and all(r.count() for r in rules) and rules[0].union(rules[1]).distinct().count() == rules[0].union(rules[1]).count() == 300
+
+
+def test_broken_destinations_name_every_failure_and_keep_null_keys(spark):
+    from webestate.operators.rules.links import broken_destinations
+
+    rows = [(1, "d", 10, "fail", "A", 1), (1, "d", 10, "fail", "B", 2), (1, "d", 11, "fail", "A", 1), (1, "d", None, "not_assessable", None, 1), (1, None, 12, "fail", "A", None), (1, "d", 13, "pass", "C", 9)]
+    links = spark.createDataFrame(rows, "portal_id bigint, destination string, source_page bigint, status string, error_code string, attempts int").withColumn("checked_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    found = broken_destinations(links)
+    got = {r["destination"]: (r["source_pages"], r["link_rows"], r["retried"], r["codes"]) for r in found.collect()}
+    assert got == {"d": (2, 4, True, ["A", "B", "not_assessable"]), None: (1, 1, None, ["A"])}
+    assert "collect_set" not in found._jdf.queryExecution().toString()

@@ -18,18 +18,21 @@ FAILURE_STATUSES = ("fail", "not_assessable")
 def broken_destinations(links: DataFrame) -> DataFrame:
     """Failing links per (portal, destination): distinct source pages, retries, time span.
 
-    Only failing rows reach the shuffle; a popular destination is first counted
-    per source page on the map side. A failure is named by its error code, else its HTTP status, else its check status.
+    Only failing rows reach the shuffle. A popular destination is first summed up per source page, and its distinct failures
+    are found apart, so that no row carries a set. A failure is named by its error code, else its HTTP status, else its check status.
     """
+    keys = ["portal_id", "destination"]
     http = F.col("http_status").cast("string") if "http_status" in links.columns else F.lit(None).cast("string")
-    return links.filter(F.col("status").isin(*FAILURE_STATUSES)).groupBy("portal_id", "destination").agg(
-        F.count_distinct("source_page").alias("source_pages"),
-        F.count("*").alias("link_rows"),
-        F.bool_or(F.col("attempts") > 1).alias("retried"),
-        F.min("checked_at").alias("first_checked"),
-        F.max("checked_at").alias("last_checked"),
-        F.array_sort(F.collect_set(F.coalesce("error_code", http, "status"))).alias("codes"),
-    )
+    failing = links.filter(F.col("status").isin(*FAILURE_STATUSES))
+    per_page = failing.groupBy(*keys, "source_page").agg(
+        F.count("*").alias("n"), F.max(F.col("attempts") > 1).alias("again"), F.min("checked_at").alias("lo"), F.max("checked_at").alias("hi"))
+    counts = per_page.groupBy(*keys).agg(
+        F.count("source_page").alias("source_pages"), F.sum("n").alias("link_rows"), F.max("again").alias("retried"),
+        F.min("lo").alias("first_checked"), F.max("hi").alias("last_checked"))
+    kinds = failing.select(*keys, F.coalesce("error_code", http, "status").alias("code")).distinct()
+    codes = kinds.groupBy(*(F.col(k).alias(f"code_{k}") for k in keys)).agg(F.array_sort(F.collect_list("code")).alias("codes"))
+    same = [F.col(k).eqNullSafe(F.col(f"code_{k}")) for k in keys]
+    return counts.join(codes, same).drop(*(f"code_{k}" for k in keys))
 
 
 def officially_sourced(portals: DataFrame, sources: DataFrame) -> DataFrame:

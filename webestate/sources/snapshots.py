@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webestate.operators import publish
+from webestate.session import materialise
 
 POINTER = "current"
 
@@ -110,7 +111,7 @@ def export_nested(summary: DataFrame, assessments: DataFrame, findings: DataFram
     """The nested document ``{summary, portals[]}`` as JSON lines: ``summary``, one object per portal in ``portals`` with its first
     ``findings`` and ``more_parts``, and further ``{portal_id, part, findings}`` rows in ``parts`` for portals whose findings pass ``most`` characters.
     """
-    packs = nested_parts(findings, most)
+    packs = materialise(nested_parts(findings, most), "parts")
     first = packs.groupBy("portal_id").agg(F.max("part").alias("more_parts"))
     inner = packs.where("part = 0").select("portal_id", "findings").join(first, "portal_id")
     kind = packs.schema["findings"].dataType
