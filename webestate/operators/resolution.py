@@ -124,7 +124,8 @@ def cluster_evidence(clustered: DataFrame, pairs: DataFrame) -> DataFrame:
     def distinct(c: str, name: str) -> DataFrame:
         return clustered.select("cluster_id", c).where(F.col(c).isNotNull()).distinct().groupBy("cluster_id").agg(F.count(F.lit(1)).alias(name))
 
-    size = clustered.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1")
+    size = materialise(clustered.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1"), "sizes")
+    clustered = materialise(clustered.join(size.select("cluster_id"), "cluster_id", "left_semi"), "clustered")
     scores = pairs.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.min("score"), 6).alias("weakest"), F.round(F.avg("score"), 6).alias("mean_score"))
     out = size
     for part in (distinct("source_id", "sources"), distinct("address", "addresses"), distinct("tokens", "names"), scores):
