@@ -172,3 +172,14 @@ def test_a_run_split_over_batches_is_evaluated_whole(spark, tmp_path):
     got = spark.read.parquet(f"{out}/findings/run_id=r1").select("rule_id", "severity").collect()
     want = run_rules(of(spark.createDataFrame(rows, schema), "r1"), only).select("rule_id", "severity").collect()
     assert got == want and len(got) == 1
+
+
+def test_findings_of_a_given_version_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+    df = spark.range(4).selectExpr("id AS n")
+    counted = df.mapInPandas(lambda frames: (made.add(len(f)) or f for f in frames), "n bigint")
+    for _ in range(3):
+        assert sorted(r["n"] for r in flows._once(counted, str(tmp_path / "given")).collect()) == [0, 1, 2, 3]
+    assert made.value == 4
+    spark.range(1).selectExpr("7L AS n").write.parquet(str(tmp_path / "broken" / "rows"))  # a write that did not end
+    assert flows._once(df, str(tmp_path / "broken")).count() == 4

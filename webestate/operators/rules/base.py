@@ -105,6 +105,10 @@ class RuleContext:
     #: Merged :func:`entry_partials` and :func:`address_partials` of checks that are not in ``pages``, for portal rules.
     stored_entry: DataFrame | None = None
     stored_addresses: DataFrame | None = None
+    #: :func:`skip_facts` of ``skips``, if they are known already.
+    stored_skips: DataFrame | None = None
+    #: Names the state of links, skips, portals and sources: two contexts of a run with one name hold the same. None: may differ.
+    version: str | None = None
 
     @property
     def now(self) -> str:
@@ -142,7 +146,7 @@ class RuleContext:
 
     @cached_property
     def coverage(self) -> DataFrame:
-        return coverage_facts(self.stored_addresses if self.stored_addresses is not None else address_partials(self.pages), self.skips)
+        return coverage_facts(self.stored_addresses if self.stored_addresses is not None else address_partials(self.pages), self.stored_skips if self.stored_skips is not None else skip_facts(self.skips))
 
     @cached_property
     def portal_sources(self) -> DataFrame:
@@ -220,19 +224,23 @@ def merged_addresses(partials: DataFrame) -> DataFrame:
     return partials.groupBy("portal_id", "requested_url").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def coverage_facts(per_url: DataFrame, skips: DataFrame) -> DataFrame:
-    """Per portal: distinct addresses observed, time span and skip reasons, from :func:`address_partials`."""
-    seen = per_url.groupBy("portal_id").agg(
-        F.count("*").alias("pages_observed"), F.sum("n").alias("page_rows"),
-        F.min("lo").alias("first_checked"), F.max("hi").alias("last_checked"),
-    )
+def skip_facts(skips: DataFrame) -> DataFrame:
+    """Skips of each portal summed up by reason."""
     reason = F.col("reason")
-    skipped = skips.groupBy("portal_id").agg(
+    return skips.groupBy("portal_id").agg(
         F.count("*").alias("skipped"),
         F.bool_or(reason.rlike("(?i)max ?depth")).alias("depth_reached"),
         F.bool_or(reason.rlike("(?i)max ?pages|budget")).alias("budget_cut"),
         F.count_if(reason.rlike("(?i)robots")).alias("robots_skips"),
     )
+
+
+def coverage_facts(per_url: DataFrame, skipped: DataFrame) -> DataFrame:
+    """Per portal: distinct addresses observed, time span and skip reasons, from :func:`address_partials` and :func:`skip_facts`."""
+    seen = per_url.groupBy("portal_id").agg(
+        F.count("*").alias("pages_observed"), F.sum("n").alias("page_rows"),
+        F.min("lo").alias("first_checked"), F.max("hi").alias("last_checked"),
+    )
     both = seen.join(skipped, "portal_id", "full_outer")
     return both.withColumn("covered", F.lit(True)).fillna(
         {"pages_observed": 0, "page_rows": 0, "skipped": 0, "robots_skips": 0, "depth_reached": False, "budget_cut": False}

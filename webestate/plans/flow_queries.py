@@ -328,7 +328,7 @@ def st09(spark, sf):
     def context(pages, run_id):
         return RuleContext(
             run_id=run_id, analyzed_at=beds.ANALYZED_AT, portals=beds.portals(spark, sf), sources=beds.portal_sources(spark, sf),
-            pages=pages, links=beds.link_observations(spark, sf), skips=beds.skip_log(spark, sf))
+            pages=pages, links=beds.link_observations(spark, sf), skips=beds.skip_log(spark, sf), version="given")
 
     flows.run_available(flows.incremental_findings(incoming, context, base), f"{base}/checkpoint")
     found = spark.read.parquet(f"{base}/findings/run_id=run-1")

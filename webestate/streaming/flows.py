@@ -13,6 +13,7 @@ from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -22,7 +23,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from webestate.functions import checks
 from webestate.operators import experience as ex
 from webestate.operators.rules import RuleContext, run_rules
-from webestate.operators.rules.base import address_partials, entry_partials, merged_addresses, merged_entry, select_rules
+from webestate.operators.rules.base import address_partials, entry_partials, merged_addresses, merged_entry, select_rules, skip_facts
 from webestate.streaming import tables
 
 
@@ -244,6 +245,21 @@ def _run_folder(run_id: str) -> str:
     return "run_id=" + quote(run_id, safe="")
 
 
+def _once(made: DataFrame, path: str) -> DataFrame:
+    """Rows that an earlier batch wrote to ``path``, else written now; a write that did not end does not count."""
+    spark = made.sparkSession
+    try:
+        done = not spark.read.schema("done boolean").parquet(f"{path}/done").isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        done = False
+    if not done:
+        made.write.mode("overwrite").parquet(f"{path}/rows")
+        spark.range(1).select(F.lit(True).alias("done")).coalesce(1).write.mode("overwrite").parquet(f"{path}/done")
+    return spark.read.schema(made.schema).parquet(f"{path}/rows")
+
+
 def incremental_findings(
     observations: DataFrame, context: Callable[[DataFrame, str], RuleContext], out: str, checks_list: list[dict] | None = None
 ) -> DataStreamWriter:
@@ -251,7 +267,8 @@ def incremental_findings(
 
     Each run has keyed tables of partial sums: one row per portal of its entry checks and one per (portal, address). A batch is summed up,
     merged into the tables of the runs it holds, and nothing else is read: observations are stored by run for evidence and not
-    looked at again. Rules over the profile are evaluated on the merged sums; rules over single checks only on the batch, and their findings are
+    looked at again. Findings of table rules and sums of skips do not depend on the batch: with a ``version`` of the context they are made once for it.
+    Rules over the profile are evaluated on the merged sums; rules over single checks only on the batch, and their findings are
     kept per batch. Only the names of a batch's runs reach the driver.
     """
 
@@ -265,9 +282,14 @@ def incremental_findings(
             for name, (part, keys, merge) in sums.items():
                 tables.merge_into(part, f"{out}/{name}/{folder}", epoch, keys[:1], lambda old, new, merge=merge: merge(old.unionByName(new)))
                 merged[name] = tables.read_table(spark, f"{out}/{name}/{folder}", part.schema)
-            whole = replace(ctx, stored_entry=merged["entry"], stored_addresses=merged["addresses"])
+            given = None if ctx.version is None else f"{out}/given/{folder}/version={quote(ctx.version, safe='')}"
+            skipped = _once(skip_facts(ctx.skips), f"{given}/skips") if given else None
+            whole = replace(ctx, stored_entry=merged["entry"], stored_addresses=merged["addresses"], stored_skips=skipped)
             kinds = {r.kind for r, _ in select_rules(checks_list)[0]}
-            frames = [run_rules(whole, checks_list, kinds=(k,)) for k in ("portal", "table") if k in kinds]
+            frames = [run_rules(whole, checks_list, kinds=("portal",))] if "portal" in kinds else []
+            if "table" in kinds:
+                tabled = run_rules(ctx, checks_list, kinds=("table",))
+                frames.append(_once(tabled, f"{given}/findings") if given else tabled)
             if "row" in kinds:
                 run_rules(ctx, checks_list, kinds=("row",)).write.mode("overwrite").parquet(f"{out}/row-findings/{folder}/epoch={epoch}")
                 frames.append(spark.read.parquet(f"{out}/row-findings/{folder}").drop("epoch"))
