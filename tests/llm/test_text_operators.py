@@ -313,6 +313,20 @@ def test_suffix_cells_do_not_depend_on_the_order_of_rows():
     assert (tables[0].at == tables[1].at).all() and (tables[0].raw == tables[1].raw).all() and tables[0].ids == tables[1].ids
 
 
+def test_index_entries_and_contexts_are_spread_over_all_ranges():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    docs = pa.table({"doc_id": list(range(60)), "text": ["".join(rng.choices("abcdefghijklmnop ", k=6000)) for _ in range(60)], "cell": [0] * 60})
+    asks = [r for r in suffixes._ask_suffixes(docs, 400, 8).to_pylist() if r["step"] == 1]
+    held = [len(r["hashes"]) // 8 for r in asks]
+    assert [r["range"] for r in asks] == list(range(8)) and sum(held) > 1500 and max(held) < 1.4 * sum(held) / 8
+    cell = suffixes.Cell(docs, 400)
+    cell.contexts(np.ones(len(cell.prints), dtype=bool))
+    assert np.diff(suffixes.c.cut(cell.f, 8)).max() < 1.4 * len(cell.f) / 8
+
+
 def test_lines_of_a_very_long_text(spark):
     shared = "a shared line that is longer than forty characters"
     rows = [(i, "\n".join(shared if n % 3 == i % 3 else f"line {n}" for n in range(40_000 if i == 0 else 300))) for i in range(9)]
